@@ -6,7 +6,9 @@ import importlib
 
 #: Query name and its module; each module defines a function of the query's name.
 MODULES = {
+    "op6_quality": "quality",
     "op8_packing": "packing",
+    "op10_embeddings": "embeddings",
 }
 
 
