@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op3_urls": "urls",
     "op6_quality": "quality",
+    "op7_pii": "pii",
     "op8_packing": "packing",
     "op10_embeddings": "embeddings",
 }
