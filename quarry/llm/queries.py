@@ -6,6 +6,7 @@ import importlib
 
 #: Query name and its module; each module defines a function of the query's name.
 MODULES = {
+    "op1_minhash": "minhash",
     "op3_urls": "urls",
     "op6_quality": "quality",
     "op7_pii": "pii",
