@@ -7,6 +7,8 @@ free space, independently in randomised groups of documents.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import by_column, materialize, texts_of
 
-#: Words remembered by a worker; beyond it the memory is emptied.  Bounds memory, not results.
+#: Words in a generation of a worker's memory.  Bounds memory, not results.
 CACHE_WORDS = 300_000
 #: Bins in one group's numbering.
 GROUP_BINS = 1 << 32
@@ -28,7 +30,9 @@ class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pattern never crosses ASCII white space, so a text's ids are those of its words
-    in turn; the ids of words met before are looked up.
+    in turn; the ids of words met before are looked up.  A word's last mark, after an ASCII letter, is
+    a token of its own, and letters' case makes no difference, so such forms share an entry.  Of two
+    generations of words the older is dropped when the newer is full; words in use move over.
     """
 
     def __init__(self, path: str):
@@ -36,21 +40,53 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, old, marked, new = self.known, self.old, [], {}
+        for w in words:
+            if w in old:
+                known[w] = old[w]
+            elif w[-1:] in (b".", b",") and w[-2:-1].isalpha():
+                marked.append(w)
+            else:
+                new[w] = None
+        for w in marked:
+            stem = w[:-1]
+            if stem in old and stem not in known:
+                known[stem] = old[stem]
+            if stem not in known:
+                new[stem] = None
+            if w[-1:] not in known:
+                new[w[-1:]] = None
+        missing = list(new)
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
+            known.update(zip(part, self._ids(part), strict=True))
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        # bytes: A-Z only; the strings of special tokens are told by case
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.old = {}, self.known
+        if new := set().union(*split) - self.known.keys():
+            self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, kept over its tasks."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Tokenized pieces: id, start, length, ids_crc32, doc_tokens and (with_ids) the ids themselves.
 
@@ -59,15 +95,13 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = 2048
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(vocabulary).encode, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
             for i in range(0, len(texts), 256):
                 rows: list[tuple] = []
-                for name, ids in zip(names[i : i + 256], encoder.encode(texts[i : i + 256]), strict=True):
+                for name, ids in zip(names[i : i + 256], encode(texts[i : i + 256]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, length):
