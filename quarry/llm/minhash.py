@@ -136,6 +136,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return out
 
 
+def across(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that can be similar, by an exact prefix filter.
+
+    sets: (doc_id, n, c).  Of a set's n shingles, rarest first, two similar sets share one among the
+    first n - ceil(n * percent / 100) + 1; where they share it bounds their intersection.  A passage
+    that many documents hold is frequent and thus in no prefix but those of documents that consist of
+    it, and these were joined by the smallest set of their bucket.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                values, offsets = shingle_sets(texts_of(part.column(1)), words)
+                where = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where)), pa.array(values.astype(np.int64))], names=["doc_id", "s"])
+
+    own = docs.join(sets.select("doc_id"), "doc_id", "left_semi").mapInArrow(explode, "doc_id long, s long")
+    own = materialize(own, "shingles")
+    shared = own.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    held = own.join(shared, "s").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("held"))
+    reach = f"n - ceil(n * {percent} / 100) + 1"
+    prefix = sets.join(held, "doc_id").select("doc_id", "n", "c", F.expr("n - size(held)").alias("single"), "held")
+    prefix = prefix.where(f"{reach} > single").select("doc_id", "n", "c", "single", F.posexplode(F.expr(f"slice(held, 1, cast({reach} - single as int))")).alias("i", "h"))
+    prefix = materialize(prefix.select("doc_id", "n", "c", (F.col("i") + F.col("single")).alias("i"), F.col("h.s").alias("s")), "prefixes")
+    x, y = (prefix.select("s", *(F.col(c).alias(f"{c}_{t}") for c in ("doc_id", "n", "c", "i"))) for t in "xy")
+    bound = f"doc_id_x > doc_id_y and c_x <> c_y and least(n_x, n_y) * 100 >= {percent} * greatest(n_x, n_y) and least(n_x - i_x, n_y - i_y) * {100 + percent} >= {percent} * (n_x + n_y)"
+    pairs = x.join(y, "s").where(bound).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
+    return pairs.distinct()
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents.
 
@@ -148,23 +179,24 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     groups = materialize(table.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "groups")
     reps = table.join(groups.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set_a"])
     buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max(F.struct(F.lit(-1) * F.col("doc_id"), "n")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(buckets.join(hubs.select("key", "hub", F.col("h.n").alias("hub_n")), "key"), "members")
-    fits = f"least(n, hub_n) * 100 >= {percent} * greatest(n, hub_n)"
-    # each set with the least hub of its size class that it meets
-    first = members.where("doc_id <> hub").where(fits).groupBy("doc_id").agg(F.min("hub").alias("b")).select(F.col("doc_id").alias("a"), "b")
-    first = materialize(first, "pairs")
+    # a bucket's hubs: its least document (mostly what the others were copied from), its smallest set
+    least = F.max(F.struct((-F.col("doc_id")).alias("m"), "n"))
+    hubs = buckets.groupBy("key").agg(least.alias("least"), F.min(F.struct("n", "doc_id")).alias("small"), F.count("*").alias("size")).where("size > 1")
+    hubs = hubs.select("key", F.array(F.struct((-F.col("least.m")).alias("id"), F.col("least.n").alias("n")), F.struct(F.col("small.doc_id").alias("id"), F.col("small.n").alias("n"))).alias("hubs"))
+    members = materialize(buckets.join(hubs, "key"), "members")
+    fits = f"x -> x.id <> doc_id and least(x.n, n) * 100 >= {percent} * greatest(x.n, n)"
+    met = members.select("doc_id", F.expr(f"filter(hubs, {fits})").alias("hubs")).where("size(hubs) > 0")
+    met = met.groupBy("doc_id").agg(F.min(F.expr("array_min(hubs.id)")).alias("x"), F.min(F.expr("array_min(transform(hubs, h -> named_struct('n', h.n, 'id', h.id)))")).alias("y"))
+    first = met.select("doc_id", F.explode(F.array("x", "y.id")).alias("hub"))
+    first = materialize(first.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct(), "pairs")
     links = confirmed(first, docs, words, percent)
     label = components(links)
     labelled = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     labelled = materialize(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = labelled.join(mixed, "key")
-    x, y = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "c"))) for s in "xy")
-    rest = x.join(y, "key").where(f"c_x < c_y and least(n_x, n_y) * 100 >= {percent} * greatest(n_x, n_y)")
-    rest = rest.select(F.greatest("doc_id_x", "doc_id_y").alias("a"), F.least("doc_id_x", "doc_id_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(materialize(rest, "pairs"), docs, words, percent)
-    label = components(links.unionByName(more))
+    left = materialize(labelled.join(mixed, "key", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c")), "left")
+    rest = materialize(across(left, docs, words, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    label = components(links.unionByName(confirmed(rest, docs, words, percent)))
     named = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     full = table.where("n_shingles > 0").join(named, ["set_a", "set_b", "n_shingles"])
     out = full.select("doc_id", "n_shingles", "component_id").unionByName(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
