@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_minhash": "minhash",
     "op3_urls": "urls",
+    "op5_substrings": "substrings",
     "op6_quality": "quality",
     "op7_pii": "pii",
     "op8_packing": "packing",
