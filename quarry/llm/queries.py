@@ -8,10 +8,12 @@ import importlib
 MODULES = {
     "op1_minhash": "minhash",
     "op3_urls": "urls",
+    "op4_lines": "lines",
     "op5_substrings": "substrings",
     "op6_quality": "quality",
     "op7_pii": "pii",
     "op8_packing": "packing",
+    "op9_decontamination": "decontamination",
     "op10_embeddings": "embeddings",
 }
 
