@@ -7,6 +7,7 @@ import importlib
 #: Query name and its module; each module defines a function of the query's name.
 MODULES = {
     "op1_minhash": "minhash",
+    "op2_secrets": "secrets",
     "op3_urls": "urls",
     "op4_lines": "lines",
     "op5_substrings": "substrings",
