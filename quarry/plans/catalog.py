@@ -1,15 +1,760 @@
-"""All queries of the reference's operators, by name, with their SQL for DuckDB."""
+"""All queries of the reference's operators over the test tables, with their SQL for DuckDB.
+
+documents stand for crawled records, labels for extracted results, embeddings for the vector
+collection, orders of a customer for circulars that supersede each other, nations and regions for
+entities, pages for crawled HTML, events for failures and progress.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import fixed_values as V
+from quarry.functions import text as T
+from quarry.operators import audit as A
+from quarry.operators import evaluation as E
+from quarry.operators import graph as G
+from quarry.operators import records as R
+from quarry.operators import retrieval as S
+from quarry.operators import sections as C
+from quarry.sources import html as H
+from quarry.streaming import progress as P
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Records derived from documents, as SQL that both engines read.
+RECORD = """doc_id as id, text as content, source as crawler, lang as department, n_chars,
+case doc_id % 5 when 0 then 'CBDT (circular)' when 1 then 'RBI (notifications)' when 2 then 'SEBI-orders' when 3 then '' else 'Gst_Council' end as source,
+case doc_id % 11 when 0 then 'Master Direction on KYC' when 1 then 'Amendment to NPA norms' when 2 then 'NPA classification norms' when 3 then 'Staff memo on office timing' when 4 then 'RBI/2023-2024/100 - Some circular' when 5 then 'Digital lending framework' when 6 then 'Guidelines for 2022 fiscal year' when 7 then 'Revised framework for ECB' when 8 then 'RBI/2025-2026/225 Basel III' when 9 then 'Holiday list for 2023' else 'General office circular' end as title,
+case doc_id % 9 when 0 then 'Mar 04, 2025' when 1 then '10-01-2022' when 2 then '02.03.2026' when 3 then '15/06/2023' when 4 then '10-Jan-2022' when 5 then 'January 15, 2021' when 6 then '2024-06-15' when 7 then '' else null end as date,
+case doc_id % 4 when 0 then 'SLR | 02.3.2026 | text' when 1 then 'Ref: 15.12.2019 circular' when 2 then '' else null end as details,
+case when doc_id % 7 = 0 then null else concat('https://example.org/', cast(doc_id % 400 as varchar(20))) end as link,
+case when doc_id % 3 = 0 then '' else concat('RBI/2024-25/', cast(doc_id as varchar(20))) end as number"""
+RECORDS = f"with records as (select {RECORD} from documents) "
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr(*_items(RECORD.replace("varchar(20)", "string")))
+
+
+def _items(select: str) -> list[str]:
+    """The items of a select list (commas within brackets do not count)."""
+    out, depth, now = [], 0, ""
+    quoted = False
+    for c in select:
+        quoted ^= c == "'"
+        depth += (c == "(") - (c == ")") if not quoted else 0
+        if c == "," and depth == 0 and not quoted:
+            out.append(now)
+            now = ""
+        else:
+            now += c
+    return [*out, now]
+
+
+# ---- audits -----------------------------------------------------------------------------------
+
+
+@query("""select source as crawler, count(*) as total, count(quality) as with_content, count(*) - count(quality) as empty_content,
+round(100.0 * count(quality) / nullif(count(*), 0), 1) as pct from documents d left join (select distinct doc_id, 1 as quality from labels) l using (doc_id) group by 1""")
+def audit_coverage(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").select("doc_id", F.lit("1").alias("content")).distinct()
+    return A.coverage(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("crawler")).join(done, "doc_id", "left"), "crawler", "content")
+
+
+@query("""select source as crawler, count(*) filter (where n_chars = 500) as exact_500, count(*) filter (where n_chars = 1000) as exact_1000,
+count(*) filter (where n_chars between 490 and 510) as near_500, count(*) filter (where n_chars between 990 and 1010) as near_1000 from documents group by 1
+having count(*) filter (where n_chars between 490 and 510) > 0 or count(*) filter (where n_chars between 990 and 1010) > 0""")
+def audit_truncation(spark, sf_dir):
+    return A.truncation(table(spark, sf_dir, "documents").withColumnRenamed("source", "crawler"), "crawler", F.col("n_chars"), (500, 1000))
+
+
+@query("""select source as crawler, count(*) filter (where l.doc_id is not null) as with_attachment, count(*) filter (where l.doc_id is not null and n_chars < 500) as gap
+from documents d left join (select distinct doc_id from labels) l using (doc_id) group by 1 having count(*) filter (where l.doc_id is not null and n_chars < 500) > 0""")
+def audit_pdf_gaps(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("has")).distinct()
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("source").alias("crawler")).join(labels, "doc_id", "left")
+    return A.attachment_gaps(rows, "crawler", F.coalesce("has", F.lit(False)), F.col("n_chars") >= 500)
+
+
+@query("""select user_id % 10 as crawler, json_extract_string(props, '$.k') as error_type, count(*) as cnt from events where event_type = 'error' group by 1, 2""")
+def audit_dead_letter(spark, sf_dir):
+    bad = table(spark, sf_dir, "events").where("event_type = 'error'").select((F.col("user_id") % 10).alias("crawler"), F.get_json_object("props", "$.k").alias("error_type"))
+    return A.dead_letters(bad, "crawler", "error_type")
+
+
+@query("""select source as crawler, count(distinct d.doc_id) as docs, count(distinct l.doc_id) as cached, count(distinct d.doc_id) - count(distinct l.doc_id) as missing
+from documents d left join labels l on l.doc_id = d.doc_id group by 1""")
+def audit_cache_completeness(spark, sf_dir):
+    return A.cache_completeness(table(spark, sf_dir, "documents").withColumnRenamed("source", "crawler"), table(spark, sf_dir, "labels"), "doc_id", "crawler")
+
+
+_METHOD = "case when n_chars < 50 then 'ocr' when n_chars < 500 then 'mixed' else 'text' end"
+
+
+@query(f"select source as crawler, {_METHOD} as method, count(*) as cnt from documents group by 1, 2")
+def audit_method_distribution(spark, sf_dir):
+    return A.distribution(table(spark, sf_dir, "documents").withColumnRenamed("source", "crawler"), "crawler", F.expr(_METHOD))
+
+
+@query("select source as crawler, count(*) as cnt, min(n_chars) as shortest, cast(round(avg(n_chars)) as integer) as mean_length from documents where n_chars > 0 and n_chars < 500 group by 1")
+def audit_short_content(spark, sf_dir):
+    return A.short_content(table(spark, sf_dir, "documents").withColumnRenamed("source", "crawler"), "crawler", F.col("n_chars"))
+
+
+# ---- selections and reports -------------------------------------------------------------------
+
+
+@query("select doc_id, source, n_chars from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) and n_chars > 500 order by n_chars desc, doc_id limit 50")
+def unprocessed_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").where("n_chars > 500")
+    return R.unprocessed(docs, table(spark, sf_dir, "labels"), "doc_id").orderBy(F.desc("n_chars"), "doc_id").limit(50)
+
+
+@query(RECORDS + "select id, link from records where (content is null or content = '' or n_chars < 100) and link is not null")
+def missing_content(spark, sf_dir):
+    return records(spark, sf_dir).where((A.missing("content") | (F.col("n_chars") < 100)) & F.col("link").isNotNull()).select("id", "link")
+
+
+def _results(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id", "left").where("toxic = 0 and lang = 'en'")
+
+
+@query("select doc_id, source, quality from labels left join documents using (doc_id) where toxic = 0 and lang = 'en' order by quality desc nulls last, doc_id limit 20 offset 20")
+def obligations_page(spark, sf_dir):
+    return R.page(_results(spark, sf_dir).select("doc_id", "source", "quality"), 2, 20, F.desc_nulls_last("quality"), F.col("doc_id"))
+
+
+@query("select count(*) as total, cast(greatest(1, ceil(count(*) / 20.0)) as integer) as pages from labels left join documents using (doc_id) where toxic = 0 and lang = 'en'")
+def obligations_count(spark, sf_dir):
+    return R.page_count(_results(spark, sf_dir), 20)
+
+
+@query("select count(*) as n_rows, cast(sum(len(string_split(text, ' '))) as bigint) as obligations, cast(sum(n_chars // 100) as bigint) as thresholds, count(*) filter (where toxic = 1) as high, count(*) filter (where quality is not null) as linked from documents left join labels using (doc_id)")
+def dashboard_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.agg(F.count("*").alias("n_rows"), F.sum(F.size(F.split("text", " "))).alias("obligations"), F.sum(F.expr("n_chars div 100")).alias("thresholds"), F.count_if(F.col("toxic") == 1).alias("high"), F.count_if(F.col("quality").isNotNull()).alias("linked"))
+
+
+@query("select distinct split_part(source, 'c', 2) as source from documents where lang in ('en', 'de') and source like 'src1%'")
+def source_filter_values(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de") & F.col("source").startswith("src1"))
+    return docs.select(F.split_part("source", F.lit("c"), F.lit(2)).alias("source")).distinct()
+
+
+# ---- text functions ---------------------------------------------------------------------------
+
+_STRPTIME = "['%b %d, %Y', '%d-%m-%Y', '%d.%m.%Y', '%d/%m/%Y', '%d-%b-%Y', '%B %d, %Y', '%Y-%m-%d']"
+_YEAR_SQL = rf"""coalesce(year(try_strptime(trim(date), {_STRPTIME})), try_cast(nullif(regexp_extract(coalesce(details, ''), '\b(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})\b', 3), '') as integer),
+try_cast(nullif(regexp_extract(coalesce(title, '') || ' ' || coalesce(details, ''), 'RBI/(\d{{4}})-(\d{{4}})/', 2), '') as integer), try_cast(nullif(regexp_extract(coalesce(title, ''), '\b((19|20)\d{{2}})\b', 1), '') as integer))"""
+
+
+@query(
+    RECORDS
+    + f""", years as (select id, coalesce(title, '') || ' ' || coalesce(details, '') as t, cast({_YEAR_SQL} as integer) as year from records)
+select id, year, regexp_matches(t, '{V.MASTER}') or regexp_matches(t, '{V.AMENDMENT}') or (coalesce(year < 2024, true) and regexp_matches(t, '{V.KEYWORDS}')) as keep from years"""
+)
+def importance_filter(spark, sf_dir):
+    c = [F.col(x) for x in ("title", "date", "details")]
+    return records(spark, sf_dir).select("id", T.record_year(*c).alias("year"), T.is_important(*c).alias("keep"))
+
+
+_SOURCES_SQL = ", ".join(f"'{s}'" for s in V.VALID_SOURCES)
+_BASE_SQL = r"lower(trim(regexp_replace(source, '\s*\(.*\)\s*$', '')))"
+
+
+@query(
+    RECORDS
+    + rf"""select id, case when coalesce(source, '') = '' then 'other' when {_BASE_SQL} in ({_SOURCES_SQL}) then {_BASE_SQL} else lower(source) end as source_key,
+case when coalesce(source, '') = '' then 'Unknown' when upper(trim(string_split_regex(source, '[(\-/]')[1])) <> '' then upper(trim(string_split_regex(source, '[(\-/]')[1])) else upper(trim(source)) end as display from records"""
+)
+def normalize_source(spark, sf_dir):
+    return records(spark, sf_dir).select("id", T.normalize_source(F.col("source")).alias("source_key"), T.display_source(F.col("source")).alias("display"))
+
+
+@query(RECORDS + "select id, coalesce(strftime(try_strptime(trim(date), ['%B %d, %Y', '%b %d, %Y', '%d-%m-%Y', '%d-%b-%Y']), '%Y-%m-%d'), trim(date), '') as iso from records")
+def normalize_date(spark, sf_dir):
+    return records(spark, sf_dir).select("id", T.iso_date(F.col("date")).alias("iso"))
+
+
+_SIZED = "concat('(\n', cast(doc_id % 900 as varchar(9)), ' KB\n)\n\n\n\n', text, '\n\n\n\n\nend  ')"
+
+
+@query("select doc_id, sha256(cleaned) as cleaned_sha256, length(cleaned) as n from (select doc_id, trim(regexp_replace(regexp_replace(" + _SIZED.replace("\n", "' || chr(10) || '") + r", '(?is)^\(\s*\d+\s*kb\s*\)\s*', ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(13) || chr(9) || ' ') as cleaned from documents)")
+def clean_content(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SIZED.replace("varchar(9)", "string")).alias("t"))
+    out = docs.select("doc_id", T.clean_content(F.col("t")).alias("c"))
+    return out.select("doc_id", F.sha2(F.col("c").cast("binary"), 256).alias("cleaned_sha256"), F.length("c").cast("long").alias("n"))
+
+
+@query("select doc_id, case when coalesce(text, '') <> '' then sha256(text) end as content_hash, length(text) as content_length from documents")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("content_length"))
+
+
+@query(
+    RECORDS
+    + """select id, concat_ws(' | ', 'Source: ' || coalesce(source, 'Unknown'), 'Title: ' || coalesce(title, 'Untitled'),
+case when coalesce(strftime(try_strptime(trim(date), ['%B %d, %Y', '%b %d, %Y', '%d-%m-%Y', '%d-%b-%Y']), '%Y-%m-%d'), trim(date), '') <> '' then 'Date: ' || coalesce(strftime(try_strptime(trim(date), ['%B %d, %Y', '%b %d, %Y', '%d-%m-%Y', '%d-%b-%Y']), '%Y-%m-%d'), trim(date), '') end,
+case when number <> '' then 'Circular Number: ' || number end, 'Link: ' || link) as header from records"""
+)
+def document_header(spark, sf_dir):
+    c = [F.col(x) for x in ("source", "title", "date", "number", "link", "content", "details")]
+    return records(spark, sf_dir).select("id", F.regexp_extract(T.document_text(*c), r"(?s)^\[(.*?)\]\n\n", 1).alias("header"))
+
+
+@query(
+    r"""with w as (select doc_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z]{2,}') and x not in ('PDF', 'FAQ', 'URL', 'API')) as a from documents)
+select doc_id, coalesce(list_aggregate(list_slice(a, 1, 3), 'string_agg', ','), '') as keywords from w"""
+)
+def acronym_keywords(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.acronyms(F.col("text")), ",").alias("keywords"))
+
+
+@query(r"select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '')) as n_sentences from documents")
+def sentence_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+_HEADING = "case id % 8 when 0 then 'Definitions' when 1 then 'Scope of this direction' when 2 then 'Exemptions' when 3 then 'Limits' when 4 then 'Filing' when 5 then 'Compliance' else 'Notes' end"
+_BODY = "case id % 6 when 0 then 'Banks shall file the return within 30 days and must keep records.' when 1 then 'Exposure of 10 % or 5 crore.' when 2 then 'This shall not apply to them.' when 3 then 'It applies to all banks.' when 4 then 'Rs. 500 and Rs 700 only' else 'Nothing here' end"
+
+
+def _type_sql() -> str:
+    cases = []
+    for name, words, patterns, least in V.SECTION_TYPES:
+        hits = " or ".join(f"contains(lower(h), '{w}')" for w in words)
+        count = " + ".join(f"regexp_matches(lower(b), '{p}')::int" for p in patterns)
+        cases.append(f"when {hits} or {count} >= {least} then '{name}'")
+    return "case " + " ".join(cases) + " else 'general' end"
+
+
+@query(RECORDS + f"select id, {_type_sql()} as section_type from (select id, {_HEADING} as h, {_BODY} as b from records)")
+def section_type(spark, sf_dir):
+    rows = records(spark, sf_dir).select("id", F.expr(_HEADING).alias("h"), F.expr(_BODY).alias("b"))
+    return rows.select("id", T.section_type(F.col("h"), F.col("b")).alias("section_type"))
+
+
+@query("select doc_id, cast(('0x' || substr(sha256(concat(source, ':', cast(doc_id as varchar), ':chunk_', cast(doc_id % 5 as varchar))), 1, 15)) as bigint) as point_id from documents")
+def point_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.point_id(T.chunk_id(F.col("source"), F.col("doc_id").cast("string"), F.col("doc_id") % 5)).alias("point_id"))
+
+
+_QUESTION = "case item_id % 6 when 0 then concat('What changed in RBI/2024-2025/', cast(item_id as varchar(9)), ' today?') when 1 then 'Explain Section 16 of the CGST Act' when 2 then 'rule 89a of CGST Rules' when 3 then 'sebi/2023-24/77 latest version and amendment history of KYC?' when 4 then 'How has the compliance procedure for NBFC and ECB limits changed over time?' else 'Which entities must comply, what is the impact?' end"
+_QUESTIONS = f"with q as (select item_id, {_QUESTION} as q from benchmark) "
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.expr(_QUESTION.replace("varchar(9)", "string")).alias("q"))
+
+
+@query(
+    _QUESTIONS
+    + rf"""select item_id, nullif(regexp_replace(upper(regexp_extract(q, '{V.QUESTION_REFERENCE}')), '(\d{{4}})-\d{{2}}(\d{{2}})', '\1-\2'), '') as number,
+case when regexp_extract(q, '{V.SECTION_OF_ACT}', 1) <> '' then replace(upper(regexp_extract(q, '{V.SECTION_OF_ACT}', 2)), ' ', '_') || '-S' || regexp_extract(q, '{V.SECTION_OF_ACT}', 1)
+when regexp_extract(q, '{V.RULE_OF_RULES}', 1) <> '' then replace(upper(regexp_extract(q, '{V.RULE_OF_RULES}', 2)), ' ', '_') || '_RULES-R' || regexp_extract(q, '{V.RULE_OF_RULES}', 1) end as section from q"""
+)
+def question_references(spark, sf_dir):
+    return questions(spark, sf_dir).select("item_id", T.question_number(F.col("q")).alias("number"), T.section_reference(F.col("q")).alias("section"))
+
+
+@query("select doc_id, case when strpos(text, ' the ') > 0 and strpos(text, ' of ') > strpos(text, ' the ') then substr(text, strpos(text, ' the '), strpos(text, ' of ') - strpos(text, ' the ') + 4) else text end as excerpt from documents")
+def marker_excerpt(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.excerpt(F.col("text"), F.lit(" the "), F.lit(" of ")).alias("excerpt"))
+
+
+_WORD_STOP = ("the", "and", "that", "was", "are", "with", "for")
+
+
+@query("select item_id, list_aggregate(list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: trim(w, '?,.''\"')), lambda w: length(w) > 2 and w not in ('the', 'and', 'that', 'was', 'are', 'with', 'for')), 'string_agg', ' ') as terms from benchmark")
+def key_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.key_terms(F.col("text"), _WORD_STOP), " ").alias("terms"))
+
+
+# ---- taxonomies and intents -------------------------------------------------------------------
+
+#: A taxonomy for the generated text (the general operator takes any).
+TAXONOMY = {"alpha": ("ther", "tion", "onen"), "beta": ("eau", "ment", "elle"), "gamma": ("keit", "lich", "ung"), "delta": ("ción", "mente", "las "), "epsilon": ("license", "rights", "token")}
+
+
+def _count_sql(text: str, words) -> str:
+    return " + ".join("contains({}, '{}')::int".format(text, w.replace("'", "''")) for w in words)
+
+
+_TOPIC_ROWS = " union all ".join(f"select doc_id, '{n}' as topic, {i} as pos, {_count_sql('lower(substr(text, 1, 2000))', ws)} as cnt from documents" for i, (n, ws) in enumerate(TAXONOMY.items()))
+
+
+@query(f"select doc_id, topic, rn as rank from (select *, row_number() over (partition by doc_id order by cnt desc, pos) as rn from ({_TOPIC_ROWS}) where cnt >= 2) where rn <= 3")
+def topic_assign(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.topics(F.substring("text", 1, 2000), TAXONOMY)).alias("i", "topic"))
+    return docs.select("doc_id", "topic", (F.col("i") + 1).cast("long").alias("rank"))
+
+
+_INTENT_ROWS = " union all ".join(f"select item_id, '{n}' as name, {i} as pos, {_count_sql('lower(q)', ws)} as cnt from q" for i, (n, ws) in enumerate(V.INTENT_WORDS.items()))
+_TYPE_ROWS = " union all ".join(f"select item_id, '{n}' as name, {i} as pos, {_count_sql('lower(q)', ws)} as cnt from q" for i, (n, ws) in enumerate(V.TYPE_WORDS.items()))
+
+
+@query(
+    _QUESTIONS
+    + f""", i as (select item_id, name from (select *, row_number() over (partition by item_id order by cnt desc, pos) as rn from ({_INTENT_ROWS}) where cnt > 0) where rn = 1),
+t as (select item_id, string_agg(name, ',' order by pos) as types from ({_TYPE_ROWS}) where cnt > 0 group by 1)
+select q.item_id, i.name as intent, coalesce(t.types, '') as types from q left join i using (item_id) left join t using (item_id)"""
+)
+def intent_detect(spark, sf_dir):
+    types = F.array_join(F.transform(S.matched_words(F.col("q"), V.TYPE_WORDS), lambda c: c["name"]), ",")
+    return questions(spark, sf_dir).select("item_id", S.most_matched(F.col("q"), V.INTENT_WORDS).alias("intent"), types.alias("types"))
+
+
+# ---- upserts and snapshots --------------------------------------------------------------------
+
+_OLD = "select link, title, content, n_chars from (select *, row_number() over (partition by link order by id) as rn from records where link is not null and id % 2 = 0) where rn = 1"
+_NEW = "select id, link, title, case when id % 3 = 0 then '' else content end as content, n_chars from records where id % 2 = 1"
+
+
+@query(
+    RECORDS
+    + f""", old as ({_OLD}), new as ({_NEW}), folded as (select link, arg_max(title, id) as title, arg_max(content, id) filter (where content <> '') as content, max(n_chars) as n_chars from new where link is not null group by 1)
+select coalesce(o.link, n.link) as link, case when n.link is not null then n.title else o.title end as title, sha256(coalesce(n.content, o.content)) as content, greatest(o.n_chars, n.n_chars) as n_chars from old o full join folded n on o.link = n.link
+union all select link, title, sha256(content), n_chars from new where link is null"""
+)
+def upsert_merge(spark, sf_dir):
+    r = records(spark, sf_dir)
+    old = R.first_seen(r.where("link is not null and id % 2 = 0"), "link", "id").select("link", "title", "content", "n_chars")
+    new = r.where("id % 2 = 1").select("id", "link", "title", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("content")).alias("content"), "n_chars")
+    out = R.upsert(old, new, "link", {"title": R.OVERWRITE, "content": R.KEEP_IF_EMPTY, "n_chars": R.GREATEST}, "id")
+    return out.select("link", "title", F.sha2(F.col("content").cast("binary"), 256).alias("content"), "n_chars")
+
+
+@query("select doc_id, lang, 'old' as version from documents where not (lang = 'de' and doc_id % 10 < 8) union all select doc_id + 1000000 as doc_id, lang, 'new' as version from documents where lang = 'de' and doc_id % 2 = 0")
+def replace_partition(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    fresh = docs.where("lang = 'de' and doc_id % 2 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), "lang", F.lit("new").alias("version"))
+    return R.replace_partition(docs.withColumn("version", F.lit("old")), fresh, F.expr("lang = 'de' and doc_id % 10 < 8"))
+
+
+@query(RECORDS + "select id, link from records r where id % 2 = 1 and (link is null or not exists (select 1 from records o where o.id % 2 = 0 and o.link = r.link))")
+def incremental_new_records(spark, sf_dir):
+    r = records(spark, sf_dir).select("id", "link")
+    return R.new_records(r.where("id % 2 = 1"), r.where("id % 2 = 0").select("link"), "link").select("id", "link")
+
+
+_FAILURES = "select event_id, user_id % 50 as k, concat('u/', cast(event_id % 7 as varchar(9))) as url from events where event_type = 'error'"
+_CACHE = "select doc_id as copy, doc_id % 50 as k, case when doc_id % 3 = 0 then concat('u/', cast(doc_id % 7 as varchar(9))) else concat('u/', cast(doc_id % 7 as varchar(9)), '?p=1') end as url from documents"
+
+
+@query(
+    f"""with f as ({_FAILURES}), c as ({_CACHE}), exact as (select f.*, (select min(copy) from c where c.k = f.k and c.url = f.url) as e from f)
+select event_id, k, url, coalesce(e, (select min(copy) from c where c.k = x.k and starts_with(c.url, x.url))) as copy from exact x"""
+)
+def dlq_retry_join(spark, sf_dir):
+    fix = lambda sql: sql.replace("varchar(9)", "string")
+    failures = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr(*_items(fix(_FAILURES)[7:].split(" from ")[0]))
+    cache = table(spark, sf_dir, "documents").selectExpr(*_items(fix(_CACHE)[7:].split(" from ")[0]))
+    return R.retry_sources(failures, cache, "k", "url")
+
+
+@query("select doc_id, case when err or length(trim(t)) <= 10 then 'failed' when length(trim(t)) < 200 then 'partial' else 'success' end as outcome from (select doc_id, substr(text, 1, cast(doc_id % 400 as bigint)) as t, doc_id % 13 = 0 as err from documents)")
+def extraction_outcome(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, 1, cast(doc_id % 400 as int))").alias("t"), F.expr("case when doc_id % 13 = 0 then 'timeout' end").alias("e"))
+    return docs.select("doc_id", R.outcome(F.col("t"), F.col("e")).alias("outcome"))
+
+
+@query("select event_type, event_id, ts from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events) where rn = 1")
+def last_wins(spark, sf_dir):
+    return R.last_wins(table(spark, sf_dir, "events"), ["event_type"], F.col("ts"), F.col("event_id")).select("event_type", "event_id", "ts")
+
+
+# ---- retrieval --------------------------------------------------------------------------------
+
+_SCORED = """with v as (select vec_id as id, label, embedding::double[] as e, vec_id % 3 as kind, label % 4 as number_, 'text ' || (vec_id % 40) as text from embeddings),
+scored as (select id, label, kind, text, case when label < 8 then 'C' || label else '' end as number, 'T' || label as title,
+round(list_dot_product(e, (select e from v where id = 0)) / sqrt(list_dot_product(e, e)) / sqrt((select list_dot_product(e, e) from v where id = 0)), 6) as score from v) """
+
+
+def chunks(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), "label", (F.col("vec_id") % 3).alias("kind"), F.concat(F.lit("text "), (F.col("vec_id") % 40).cast("string")).alias("text"), F.when(F.col("label") < 8, F.concat(F.lit("C"), F.col("label").cast("string"))).otherwise("").alias("number"), F.concat(F.lit("T"), F.col("label").cast("string")).alias("title"), "embedding")
+
+
+def first_vector(spark, sf_dir) -> list[float]:
+    """The vector of id 0, as the question's; zeros without it."""
+    row = table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
+    return list(row[0]) if row else [0.0] * 64
+
+
+@query(_SCORED + "select id, label, score from scored where score >= 0.0 order by score desc, id limit 12")
+def vector_topk(spark, sf_dir):
+    return S.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), 12, 0.0).select("id", "label", "score")
+
+
+@query(_SCORED + "select id, label, score from scored where score >= 0.05 and label in (1, 2, 3) order by score desc, id limit 12")
+def vector_topk_filtered(spark, sf_dir):
+    return S.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), 12, 0.05, F.col("label").isin(1, 2, 3)).select("id", "label", "score")
+
+
+_WORDS = "string_split_regex(lower(d.text), '[^a-z]+')"
+
+
+@query(_SCORED + f"select s.id, s.score from scored s join documents d on d.doc_id = s.id where (list_contains({_WORDS}, 'license') or (list_contains({_WORDS}, 'all') and list_contains({_WORDS}, 'rights'))) and s.score >= -1 order by s.score desc, s.id limit 12")
+def keyword_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.split(F.lower("text"), "[^a-z]+").alias("tokens"))
+    hits = docs.where(S.has_keywords(F.col("tokens"), ["license", "All rights"])).select("id")
+    return S.search(chunks(spark, sf_dir).join(hits, "id", "left_semi"), first_vector(spark, sf_dir), 12, -1.0).select("id", "score")
+
+
+@query(_SCORED + "select id, kind, round(score + case when kind = 1 then 0.1 else 0.0 end, 6) as score from (select * from scored where score >= 0.0 order by score desc, id limit 24) order by score desc, id limit 12")
+def type_boost_search(spark, sf_dir):
+    return S.search_by_type(chunks(spark, sf_dir).withColumn("kind", F.col("kind").cast("string")), first_vector(spark, sf_dir), "kind", ["1"], 12, 0.0).select("id", F.col("kind").cast("long").alias("kind"), "score")
+
+
+_HIER = (
+    _SCORED
+    + """, pos as (select * from scored where score >= 0), fetched as (select * from pos order by score desc, id limit 50),
+g as (select number, max(score) as best from fetched where number <> '' group by 1 order by best desc, number limit 5), r as (select *, row_number() over (order by best desc, number) as rank, count(*) over () as n, sum(best) over () as total from g),
+t as (select *, (select best from r where rank = 1) as b1, coalesce((select best from r where rank = 2), 0.0) as b2, greatest(2, cast(round_even(12 * best / total, 0) as integer)) as slots from r),
+a as (select number, case when b1 > 0.6 and (n = 1 or b1 > b2 * 1.2) then case when rank = 1 then greatest(12 - 2 * (n - 1), 6) else 2 end else greatest(0, least(slots, 12 - coalesce(sum(slots) over (order by rank rows between unbounded preceding and 1 preceding), 0))) end as slots from t),
+w as (select id, label, kind, text, score, 0 as src from (select s.*, a.slots, row_number() over (partition by s.number order by s.score desc, s.id) as rn from pos s join a using (number)) where rn <= slots),
+o as (select id, label, kind, text, score, 1 as src from (select *, dense_rank() over (order by b desc, title) as grp from (select *, max(score) over (partition by title) as b, row_number() over (partition by title order by score desc, id) as rn from fetched where number = '')) where grp <= 5 and rn <= 3),
+m as (select *, row_number() over (partition by substr(text, 1, 200) order by src, score desc, id) as k from (select * from w union all select * from o))
+select id, label, round(score + case when kind = 2 then 0.1 else 0.0 end, 6) as score from m where src = 0 or k = 1 order by score desc, id limit 12"""
+)
+
+
+@query(_HIER)
+def hierarchical_search(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("kind", F.col("kind").cast("string"))
+    return S.hierarchical(c, first_vector(spark, sf_dir), "number", "title", "text", 12, 5, "kind", ["2"]).select("id", "label", "score")
+
+
+_LISTS = _SCORED + """, vec as (select *, row_number() over (order by score desc, id) as pos from (select * from scored where score >= 0 order by score desc, id limit 24)),
+kw as (select *, row_number() over (order by score desc, id) as pos from (select * from scored where label in (4, 5) order by score desc, id limit 24)) """
+
+
+def _positions(hits):
+    return hits.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # a result list
+
+
+@query(_LISTS + ", b as (select *, row_number() over (partition by substr(text, 1, 100) order by src, pos) as k from (select *, 0 as src from kw where pos <= 6 union all select *, 1 as src from vec)) select id, score, rank from (select *, row_number() over (order by src, pos) as rank from b where k = 1) where rank <= 12")
+def hybrid_merge(spark, sf_dir):
+    c, q = chunks(spark, sf_dir), first_vector(spark, sf_dir)
+    out = S.hybrid_merge(_positions(S.search(c, q, 24, 0.0)), _positions(S.search(c, q, 24, -1.0, F.col("label").isin(4, 5))), "text", 12)
+    return out.select("id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_LISTS + "select id, score from (select *, row_number() over (partition by substr(text, 1, 100) order by score desc, pos) as k from vec) where k = 1 order by score desc, pos limit 10")
+def dedup_results(spark, sf_dir):
+    return S.deduplicated(_positions(S.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), 24, 0.0)), "text", 10).select("id", "score")
+
+
+_RELEVANCE = "(label % 5) / 5.0"
+
+
+@query(
+    _LISTS
+    + f""", d as (select id, score, round(score * (0.7 + 0.3 * coalesce(case when label <> 9 then {_RELEVANCE} end, 0.5)) * case when count(*) over (partition by title) >= 2 then 1.0 else 0.85 end, 6) as adjusted from vec),
+r as (select *, row_number() over (order by adjusted desc, id) as rank, max(adjusted) over () as top from d), k as (select *, top <= 0 or adjusted >= top * 0.7 as keep, sum((top <= 0 or adjusted >= top * 0.7)::int) over () as kept from r)
+select id, adjusted, rank from k where (kept >= 3 and keep) or (kept < 3 and rank <= 3)"""
+)
+def prune_coherence(spark, sf_dir):
+    hits = S.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), 24, 0.0)
+    relevance = spark.range(9).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"), ((F.col("id") % 5) / F.lit(5.0)).alias("title_relevance"))
+    return S.coherent(hits, "title", relevance).select("id", "adjusted", F.col("rank").cast("long").alias("rank"))
+
+
+_AGED = "case label % 4 when 0 then '2024-06-15' when 1 then '2019-01-31' when 2 then 'unknown' else '2010-05-05' end"
+
+
+@query(
+    _LISTS
+    + f""", one as (select *, {_AGED} as date from (select *, row_number() over (partition by title order by score desc, id) as k from vec) where k = 1),
+s as (select title, id, label, round(round(score, 4) * greatest(0.7, 1.0 - coalesce(date_diff('day', try_strptime(date, '%Y-%m-%d')::date, date '2026-01-01') / 365.25, 0.0) * 0.04), 4) as score from one),
+p as (select title, id, case when {_RELEVANCE} < 0.5 then round(score * (0.7 + 0.6 * {_RELEVANCE}), 4) else score end as relevance_score from s),
+r as (select *, row_number() over (order by relevance_score desc, title) as rank, max(relevance_score) over () as top from p)
+select title, id, relevance_score, rank from r where relevance_score >= top * 0.75 and rank <= 8"""
+)
+def source_ranking(spark, sf_dir):
+    hits = S.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), 24, 0.0).withColumn("date", F.expr(_AGED))
+    out = S.ranked_sources(hits, "title", "date", "2026-01-01", relevance=F.expr("cast(label % 5 as double) / 5.0D"))
+    return out.select("title", "id", "relevance_score", F.col("rank").cast("long").alias("rank"))
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Top hits by cosine, each text once, ranked."""
+    hits = S.deduplicated(_positions(S.search(chunks(spark, sf_dir), first_vector(spark, sf_dir), 24, 0.0)), "text", 12)
+    return _positions(hits.drop("pos")).select(F.col("pos").alias("rank"), F.col("id").alias("vec_id"), "label", "score")
+
+
+@query(
+    RECORDS
+    + """select arg_max(title, length(title) * 10000000000 - rn) as title, arg_min(source, rn) as source, min(nullif(date, '')) as date, nullif(arg_min(coalesce(link, ''), rn), '') as link, count(*) as n,
+string_agg(id::varchar, ',' order by rn) filter (where rn <= 5) as texts from (select *, row_number() over (partition by k order by id) as rn from (select *, 'N' || (id % 60) as k from records)) group by k"""
+)
+def circular_grouping(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("k", F.concat(F.lit("N"), (F.col("id") % 60).cast("string"))).withColumn("text", F.col("id").cast("string"))
+    n = r.groupBy(F.col("k").alias("number")).agg(F.count("*").alias("n"))
+    out = G.group_chunks(r, "k", "id").join(n, "number")
+    return out.select("title", "source", "date", "link", "n", F.array_join("texts", ",").alias("texts"))
+
+
+# ---- graph ------------------------------------------------------------------------------------
+
+_EDGES = "edges as (select o_orderkey as src, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as dst from orders), sup as (select src, dst from edges where dst is not null)"
+
+
+def supersedes(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), F.lag("o_orderkey").over(w).alias("dst"))
+    return e.where("dst is not null")
+
+
+#: The circular asked about (chain and latest take one), and all of them (freshness and impact take lists).
+_START = "starts as (select min(o_orderkey) as node from orders)"
+_ALL = "starts as (select o_orderkey as node from orders)"
+
+
+def start(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(F.min("o_orderkey").alias("node"))
+
+
+def every(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))
+
+
+@query(f"with recursive {_EDGES}, {_START}, down(start, node) as (select node, node from starts union select d.start, s.dst from down d join sup s on s.src = d.node), up(start, node) as (select node, node from starts union select u.start, s.src from up u join sup s on s.dst = u.node) select start, node from down union select start, node from up")
+def amendment_chain(spark, sf_dir):
+    return G.chain(supersedes(spark, sf_dir), start(spark, sf_dir))
+
+
+@query(f"with recursive {_EDGES}, {_START}, up(start, node) as (select node, node from starts union select u.start, s.src from up u join sup s on s.dst = u.node) select start, max(node) as latest from up where not exists (select 1 from sup where sup.dst = up.node) group by 1")
+def latest_version(spark, sf_dir):
+    nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_orderdate").alias("date"))
+    return G.latest(supersedes(spark, sf_dir), start(spark, sf_dir), nodes)
+
+
+def _nodes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("node"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("source"))
+
+
+_NODES = "nodes as (select o_orderkey as node, strftime(o_orderdate, '%Y-%m-%d') as date, o_orderpriority as source from orders)"
+_ABOUT = "about as (select distinct l_orderkey as src, p_brand as dst from lineitem join part on p_partkey = l_partkey)"
+_APPLIES = "applies as (select distinct o_orderkey as src, n_name as dst from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey)"
+
+
+def about(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("dst"))
+    return table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_orderkey").alias("src")).join(part, F.col("l_partkey") == F.col("p_partkey")).select("src", "dst").distinct()
+
+
+def applies_to(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("dst"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("src"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("src", "dst").distinct()
+
+
+@query(f"with {_NODES}, {_ABOUT}, {_APPLIES}, found as (select b.src as node from about a join about b using (dst) where a.src = 1 and b.src <> 1 union select b.src from applies a join applies b using (dst) where a.src = 1 and b.src <> 1) select node, date from found join nodes using (node) order by date desc, node limit 10")
+def related_circulars(spark, sf_dir):
+    return G.related(1, [about(spark, sf_dir), applies_to(spark, sf_dir)], _nodes(spark, sf_dir).select("node", "date"))
+
+
+@query(f"with {_EDGES}, {_ALL} select node, max(src) is null as is_latest, max(src) as superseded_by from starts join orders on o_orderkey = node left join sup on dst = node group by 1")
+def freshness_check(spark, sf_dir):
+    return G.freshness(every(spark, sf_dir), _nodes(spark, sf_dir), supersedes(spark, sf_dir))
+
+
+@query(f"with {_ALL}, {_ABOUT}, {_APPLIES} select node, coalesce((select string_agg(dst, ',' order by dst) from applies where src = node), '') as entities, coalesce((select string_agg(dst, ',' order by dst) from about where src = node), '') as regulations from starts")
+def impact_analysis(spark, sf_dir):
+    return G.impact(every(spark, sf_dir), applies_to(spark, sf_dir), about(spark, sf_dir))
+
+
+@query(f"with {_NODES}, {_ABOUT} select node, date, source, coalesce((select string_agg(dst, ',' order by dst) from about where src = node), '') as topics from nodes where lower(source) = '1-urgent' and date >= '1995-01-01' and date <= '1995-12-31'")
+def source_summary(spark, sf_dir):
+    return G.source_summary(_nodes(spark, sf_dir), about(spark, sf_dir), "1-URGENT", "1995-01-01", "1995-12-31")
+
+
+@query(f"with {_NODES}, {_ABOUT} select node, date, source, rn from (select *, row_number() over (partition by source order by date desc, node) as rn from nodes where node in (select src from about where contains(lower(dst), 'brand#1'))) where rn <= 5")
+def cross_source_topic(spark, sf_dir):
+    return G.by_topic(_nodes(spark, sf_dir), about(spark, sf_dir), "BRAND#1", 5).select("node", "date", "source", F.col("rn").cast("long").alias("rn"))
+
+
+@query(f"with {_APPLIES}, is_a as (select n_name as src, r_name as dst from nation join region on r_regionkey = n_regionkey), start as (select min(r_name) as e from region), below as (select e as dst from start union select src from is_a, start where is_a.dst = e) select src, dst from applies join below using (dst)")
+def entity_descendants(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    is_a = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"))
+    return G.under_entity(is_a, r.agg(F.min("r_name")).first()[0], applies_to(spark, sf_dir), None)
+
+
+@query(f"with {_EDGES}, {_ABOUT}, {_APPLIES} select (select count(*) from orders) as nodes, (select count(*) from sup) as supersedes, (select count(*) from about) as about, (select count(*) from applies) as applies_to")
+def graph_stats(spark, sf_dir):
+    return G.stats(_nodes(spark, sf_dir), supersedes=supersedes(spark, sf_dir), about=about(spark, sf_dir), applies_to=applies_to(spark, sf_dir))
+
+
+@query("select c_custkey, coalesce(r_name, c_mktsegment) as entity from customer left join region on lower(r_name) = lower(case c_custkey % 3 when 0 then c_mktsegment when 1 then 'asia' else 'EUROPE' end)")
+def canonical_entity(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.expr("case c_custkey % 3 when 0 then c_mktsegment when 1 then 'asia' else 'EUROPE' end").alias("entity"))
+    aliases = table(spark, sf_dir, "region").select(F.col("r_name").alias("alias"), F.col("r_name").alias("canonical"))
+    return G.canonical(names, "entity", aliases).select("c_custkey", "entity")
+
+
+_CITED = "concat('x ', case doc_id % 4 when 0 then 'supersedes circular RBI/2023-2024/' when 1 then 'SEBI/2022-23/5 is hereby withdrawn from ' when 2 then 'earlier circular no. RBI/2021-22/' else 'see RBI/2020-21/' end, cast(doc_id as string), ' of the date')"
+
+
+@query("select 'N' || doc_id as number, case doc_id % 4 when 0 then 'RBI/2023-24/' || doc_id when 1 then 'SEBI/2022-23/5' else 'RBI/2021-22/' || doc_id end as ref from documents where doc_id % 4 < 3")
+def superseded_references(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("number"), F.expr(_CITED).alias("text"))
+    return C.superseded(docs)
+
+
+# ---- sections and chunks ----------------------------------------------------------------------
+
+_LINES = "lines as (select conv_id, turn, role, len(string_split_regex(trim(text), '\\s+')) as tokens, case when role = 'user' then turn || '. ' || text else text end as line from conversations)"
+
+
+def lines(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    text = F.when(F.col("role") == "user", F.concat(F.col("turn").cast("string"), F.lit(". "), F.col("text"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", "role", F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("tokens"), text.alias("line"))
+
+
+@query(f"with {_LINES}, cut as (select *, sum((role = 'user')::int) over (partition by conv_id order by turn) as section from lines) select conv_id, cast(section as bigint) as section, count(*) as n_lines, min(turn) as first_turn from cut group by 1, 2")
+def section_split(spark, sf_dir):
+    cut = C.islands(lines(spark, sf_dir), "conv_id", "turn", F.coalesce(C.heading_of(F.col("line"))["level"] == 1, F.lit(False)) & (F.col("role") == "user"))
+    return cut.groupBy("conv_id", F.col("section").cast("long").alias("section")).agg(F.count("*").alias("n_lines"), F.min("turn").alias("first_turn"))
+
+
+@query(f"with {_LINES}, m as (select *, sum((tokens >= 50 or rn = 1)::int) over (partition by conv_id order by turn) as merged from (select *, row_number() over (partition by conv_id order by turn) as rn from lines)) select conv_id, cast(merged as bigint) as merged, count(*) as n, cast(sum(tokens) as bigint) as tokens from m group by 1, 2")
+def short_section_merge(spark, sf_dir):
+    m = C.merge_short(lines(spark, sf_dir), "conv_id", "turn", "tokens")
+    return m.groupBy("conv_id", F.col("merged").cast("long").alias("merged")).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
+@query()
+def chunk_document(spark, sf_dir):
+    return C.chunks(table(spark, sf_dir, "documents"), 100, 80, 140, 10).select("doc_id", "chunk_index", "total_chunks", "token_count", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+_ACT = "concat('Preamble.\n', 'Section 1. — Short title —\n', text, '\nSection 2. — Scope —\n', text, '\nSCHEDULE A ', source)"
+
+
+@query("select doc_id, part from documents, (values ('1'), ('2'), ('SCHEDULES')) as p(part)")
+def legislation_parts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ACT).alias("text"))
+    return C.split_parts(docs, "act").select("doc_id", "part")
+
+
+@query()
+def html_extract(spark, sf_dir):
+    return H.extract(table(spark, sf_dir, "pages")).select("page_id", "title", F.length("content").alias("n"), "n_links")
+
+
+@query("select page_id, cast(len(regexp_extract_all(html, '<a\\s[^>]*href=')) as integer) as n_links from pages")
+def html_links(spark, sf_dir):
+    return H.extract(table(spark, sf_dir, "pages")).select("page_id", "n_links")
+
+
+@query()
+def html_listing(spark, sf_dir):
+    return H.listing(table(spark, sf_dir, "pages")).select("page_id", "pos", "title", "link")
+
+
+# ---- evaluation and streams -------------------------------------------------------------------
+
+_SCORES = "scores as (select doc_id as question, b.baseline, c.criterion, greatest(1, least(5, cast((doc_id * (c.criterion + 2) + ascii(b.baseline)) % 7 as integer))) as score from labels, (values ('rag'), ('gpt'), ('custom')) as b(baseline), (values (0), (1), (2), (3), (4)) as c(criterion) where baseline <> 'custom' or doc_id % 2 = 0), av as (select question, baseline, round(avg(score), 6) as average from scores group by 1, 2)"
+
+
+def scores(spark, sf_dir):
+    one = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question"), F.explode(F.array(*map(F.lit, ("rag", "gpt", "custom")))).alias("baseline"))
+    long = one.select("question", "baseline", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("criterion")).where("baseline <> 'custom' or question % 2 = 0")
+    return long.withColumn("score", E.clamped(((F.col("question") * (F.col("criterion") + 2) + F.ascii("baseline")) % 7).cast("int")))
+
+
+@query(f"with {_SCORES}, m as (select baseline, count(*) as questions, avg(average) as m from av group by 1) select baseline, questions, round(m, 2) as mean, round((select m from m where baseline = 'rag') - m, 2) as advantage from m")
+def eval_summary(spark, sf_dir):
+    return E.summary(scores(spark, sf_dir), "rag")
+
+
+@query(f"with {_SCORES} select baseline, criterion, round(avg(score), 2) as mean from scores group by 1, 2")
+def criterion_means(spark, sf_dir):
+    return E.criterion_means(scores(spark, sf_dir))
+
+
+@query(f"with {_SCORES} select o.baseline, count(*) filter (where r.average > o.average) as wins, count(*) filter (where r.average < o.average) as losses, count(*) filter (where r.average = o.average) as ties from av o join av r on r.question = o.question and r.baseline = 'rag' where o.baseline <> 'rag' group by 1")
+def win_loss_tie(spark, sf_dir):
+    return E.wins(scores(spark, sf_dir), "rag")
+
+
+@query(f"with {_SCORES} select case when average >= 4 then 'OK' when average >= 3 then 'WEAK' else 'FAIL' end as band, count(*) as cnt, count(*) filter (where average >= 4.5) as excellent from av where baseline = 'rag' group by 1")
+def quality_bands(spark, sf_dir):
+    return E.bands(scores(spark, sf_dir), "rag")
+
+
+@query(
+    """with v as (select vec_id, label, embedding::double[] as e from embeddings), q as (select vec_id as question, label as expected, e from v where vec_id % 50 = 0),
+s as (select question, expected, vec_id, label, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)), 6) as score from q, v where vec_id <> question),
+h as (select * from (select *, row_number() over (partition by question order by score desc, vec_id) as rn from s) where rn <= 10)
+select question, count(*) as hits, count(*) filter (where label = expected) as correct, round(100.0 * count(*) filter (where label <> expected) / count(*), 1) as issue_rate, round(max(score) - min(score), 6) as drop_off,
+case when 100.0 * count(*) filter (where label <> expected) / count(*) < 25 then 'LOW' when 100.0 * count(*) filter (where label <> expected) / count(*) < 50 then 'MEDIUM' else 'HIGH' end as severity from h group by 1"""
+)
+def retrieval_diagnosis(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    asked = e.where("id % 50 = 0").select(F.col("id").alias("question"), F.col("label").alias("expected"), "embedding")
+    hits = S.search_many(e, asked.select("question", "embedding"), 11).where("id <> question")
+    w = Window.partitionBy("question").orderBy(F.desc("score"), "id")
+    hits = hits.withColumn("rn", F.row_number().over(w)).where("rn <= 10")
+    return E.diagnosis(hits.join(asked.drop("embedding"), "question").join(e.select("id", "label"), "id"), "expected", "label")
+
+
+@query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as rn from conversations) where rn <= 2")
+def last_turns(spark, sf_dir):
+    return E.last_turns(table(spark, sf_dir, "conversations"), 2).select("conv_id", "turn", "role")
+
+
+@query("""with e as (select user_id, event_id, (event_type = 'error')::int as bad from events), o as (select *, sum(1 - bad) over (partition by user_id order by event_id) as ok from e),
+s as (select *, sum(bad) over (partition by user_id, ok order by event_id) as streak from o), t as (select *, coalesce(max((streak >= 2)::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as stop from s)
+select user_id, count(*) as seen, cast(max(streak) as integer) as worst from t where stop = 0 group by 1""")
+def failure_breaker(spark, sf_dir):
+    rows = E.breaker(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error", 2)
+    return rows.groupBy("user_id").agg(F.count("*").alias("seen"), F.max("streak").alias("worst"))
+
+
+@query("select source from documents where lang = 'en' except select source from documents where lang = 'es' and n_chars > 3000")
+def source_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.where("lang = 'en'").select("source").subtract(docs.where("lang = 'es' and n_chars > 3000").select("source"))
+
+
+@query("select event_type, count(*) as cnt from events group by 1")
+def crawl_progress_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return P.progress(spark, f"{sf_dir}/events.parquet", "*.parquet", schema, "event_type")
