@@ -32,8 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least id, of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return _columns(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct().hint("merge")
+    return _columns(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))  # one exchange of texts for both
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
