@@ -46,10 +46,10 @@ class Page(HTMLParser):
         tags = [t for t, _ in self.open]
         if "title" in tags:
             self.title.append(data)
-        if _SKIP & set(tags):
-            return
         if "a" in tags and self.links:
             self.links[-1][1] += data
+        if _SKIP & set(tags):
+            return
         if "td" in tags and self.rows and self.rows[-1]:
             self.rows[-1][-1][0] += data
             if "a" in tags:
