@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed_values as V
 from quarry.functions import text as T
+from quarry.operators import assistant as AS
 from quarry.operators import audit as A
 from quarry.operators import evaluation as E
 from quarry.operators import graph as G
 from quarry.operators import records as R
 from quarry.operators import retrieval as S
 from quarry.operators import sections as C
+from quarry.sources import connectors as N
 from quarry.sources import html as H
 from quarry.streaming import progress as P
 
@@ -758,3 +760,54 @@ def source_diff(spark, sf_dir):
 def crawl_progress_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     return P.progress(spark, f"{sf_dir}/events.parquet", "*.parquet", schema, "event_type")
+
+
+# ---- connectors and composites ----------------------------------------------------------------
+
+_GAZETTE = "case doc_id % 4 when 0 then concat('CG-DL-E-16022026-', cast(doc_id as varchar(9))) when 1 then 'CG-2702' when 2 then 'A-B-CDEF-7' else concat('X-05012019-', cast(doc_id as varchar(9))) end"
+_MEETING = "concat(cast(doc_id % 60 as varchar(9)), case doc_id % 3 when 0 then 'th' when 1 then ' ST' else '' end, ' Meeting')"
+_WRITTEN = "case doc_id % 4 when 0 then concat(cast(doc_id % 28 + 1 as varchar(9)), 'th August 2023') when 1 then 'June 7, 2022 at noon' when 2 then '28th & 29th march 2021' else 'soon' end"
+_TITLED = "concat(source, ' notice (', cast(doc_id % 9 as varchar(9)), '.5 MB) ')"
+
+
+@query(
+    rf"""select doc_id, case when len(string_split(g, '-')) >= 3 and regexp_matches(right(string_split(g, '-')[-2], 4), '^[0-9]{{4}}$') then 'https://e/WriteReadData/' || right(string_split(g, '-')[-2], 4) || '/' || string_split(g, '-')[-1] || '.pdf' else '' end as gazette,
+case when regexp_extract(m, '(?i)(\d+)\s*(?:st|nd|rd|th)', 1) <> '' then 'GST-COUNCIL-' || regexp_extract(m, '(?i)(\d+)\s*(?:st|nd|rd|th)', 1) else '' end as meeting,
+case doc_id % 4 when 0 then '2023-08-' || lpad(cast(doc_id % 28 + 1 as varchar), 2, '0') when 1 then '2022-06-07' when 2 then '2021-03-29' else '' end as date,
+trim(regexp_replace(t, '\(\d+(?:\.\d+)?\s*[KMG]?B\)\s*$', '')) as title, case when doc_id % 2 = 0 then doc_id || '/2024' else doc_id || '/2023-24' end as number
+from (select doc_id, {_GAZETTE} as g, {_MEETING} as m, {_TITLED} as t from documents)"""
+)
+def connector_fields(spark, sf_dir):
+    fix = lambda sql: F.expr(sql.replace("varchar(9)", "string"))
+    docs = table(spark, sf_dir, "documents")
+    number = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 1, "/2023-24").otherwise(""))
+    year = F.when(F.col("doc_id") % 2 == 1, "2023-24").otherwise("2024")
+    return docs.select("doc_id", N.gazette_url(fix(_GAZETTE), "https://e").alias("gazette"), N.meeting_number(fix(_MEETING)).alias("meeting"), N.written_date(fix(_WRITTEN)).alias("date"), N.without_size(fix(_TITLED)).alias("title"), N.trade_number(number, year).alias("number"))
+
+
+@query("select conv_id, string_agg(chr(10) || turn || ': ' || text, '' order by turn, role, text) as block from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as rn from conversations) where rn <= 10 group by 1")
+def conversation_context(spark, sf_dir):
+    c = E.last_turns(table(spark, sf_dir, "conversations"), 10)
+    part = F.concat(F.lit("\n"), F.col("turn").cast("string"), F.lit(": "), F.col("text"))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", part.alias("p")))), lambda x: x["p"]), "").alias("block"))
+
+
+@query()
+def index_records(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("file_name", F.col("crawler"))
+    return AS.index(r).select("doc_id", "chunk_index", "id", "kind", F.size("embedding").alias("dim"))
+
+
+@query()
+def ask_question(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("source", F.lit("rbi")).withColumn("kind", F.lit("rule"))
+    return AS.ask(c, AS.planned(spark, "Which requirement applies to NBFC lending?"), first_vector(spark, sf_dir)).select("rank", "id", "score")
+
+
+@query("select kind, cnt from (values ('about', 0)) v(kind, cnt) where false union all select 'supersedes' as kind, count(*) as cnt from documents where doc_id % 4 < 3 union all select 'circulars' as kind, count(*) as cnt from documents")
+def graph_from_chunks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("number"), F.col("source").alias("title"), F.lit("").alias("date"), "source", F.lit("").alias("link"), F.expr(_CITED).alias("text"), F.lit(0).alias("pos"))
+    aliases = spark.createDataFrame([("Banks", "Bank")], "alias string, canonical string")
+    g = AS.graph_from_chunks(docs, TAXONOMY, ("Banks",), aliases)
+    count = lambda k: g[k].agg(F.count("*").alias("cnt")).select(F.lit(k).alias("kind"), "cnt")
+    return count("circulars").unionByName(count("supersedes"))
