@@ -25,6 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch: long texts make even these a few MB, which is held several times over.
+BATCH_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS, where the session has Spark's default of 10,000."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back.
 
@@ -32,6 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     shuffle files of the query that made it are dropped when it is complete.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/quarry/{uuid.uuid4().hex}/{name}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -87,4 +99,5 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def by_column(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of the test data."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from quarry.llm import wordhash as H
 from quarry.llm.common import by_column, components, discard, materialize, texts_of
 
-#: 40 bands of 5: a pair at a similarity of 0.8 shares no band with a probability of 1.3e-7.
-BANDS, ROWS = 40, 5
+#: 32 bands of 5: a pair at a similarity of 0.8 shares no band with a probability of 3e-6, at 0.82 of 3e-7.
+BANDS, ROWS = 32, 5
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -128,7 +128,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "sets")
+    own = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, s binary"), "sets")
     side = lambda c: own.select(F.col("doc_id").alias(c), F.col("s").alias(f"s_{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b")
     out = materialize(joined.mapInArrow(compare, "a long, b long"), "confirmed")
@@ -153,7 +153,7 @@ def across(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
                 where = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(where)), pa.array(values.astype(np.int64))], names=["doc_id", "s"])
 
-    own = docs.join(sets.select("doc_id"), "doc_id", "left_semi").mapInArrow(explode, "doc_id long, s long")
+    own = docs.join(sets.select("doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(explode, "doc_id long, s long")
     own = materialize(own, "shingles")
     shared = own.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     held = own.join(shared, "s").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("held"))
@@ -164,7 +164,9 @@ def across(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     x, y = (prefix.select("s", *(F.col(c).alias(f"{c}_{t}") for c in ("doc_id", "n", "c", "i"))) for t in "xy")
     bound = f"doc_id_x > doc_id_y and c_x <> c_y and least(n_x, n_y) * 100 >= {percent} * greatest(n_x, n_y) and least(n_x - i_x, n_y - i_y) * {100 + percent} >= {percent} * (n_x + n_y)"
     pairs = x.join(y, "s").where(bound).select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
-    return pairs.distinct()
+    out = materialize(pairs.distinct(), "across")
+    discard(own, prefix)
+    return out
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,21 +182,22 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     reps = table.join(groups.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set_a"])
     buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     # a bucket's hubs: its least document (mostly what the others were copied from), its smallest set
-    least = F.max(F.struct((-F.col("doc_id")).alias("m"), "n"))
-    hubs = buckets.groupBy("key").agg(least.alias("least"), F.min(F.struct("n", "doc_id")).alias("small"), F.count("*").alias("size")).where("size > 1")
-    hubs = hubs.select("key", F.array(F.struct((-F.col("least.m")).alias("id"), F.col("least.n").alias("n")), F.struct(F.col("small.doc_id").alias("id"), F.col("small.n").alias("n"))).alias("hubs"))
-    members = materialize(buckets.join(hubs, "key"), "members")
-    fits = f"x -> x.id <> doc_id and least(x.n, n) * 100 >= {percent} * greatest(x.n, n)"
-    met = members.select("doc_id", F.expr(f"filter(hubs, {fits})").alias("hubs")).where("size(hubs) > 0")
-    met = met.groupBy("doc_id").agg(F.min(F.expr("array_min(hubs.id)")).alias("x"), F.min(F.expr("array_min(transform(hubs, h -> named_struct('n', h.n, 'id', h.id)))")).alias("y"))
-    first = met.select("doc_id", F.explode(F.array("x", "y.id")).alias("hub"))
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("least"), F.min("n").alias("fewest"), F.count("*").alias("size")).where("size > 1")
+    members = materialize(buckets.join(hubs.select("key", "least", "fewest"), "key"), "members")
+    fits = lambda hub, size: f"{hub} <> doc_id and least({size}, n) * 100 >= {percent} * greatest({size}, n)"
+    small = members.where("n = fewest").groupBy("key").agg(F.min("doc_id").alias("small"))
+    least = members.where(fits("least.doc_id", "least.n")).groupBy("doc_id").agg(F.min("least.doc_id").alias("hub"))
+    small = members.where(f"fewest * 100 >= {percent} * n").join(small, "key").where("small <> doc_id").groupBy("doc_id").agg(F.min(F.struct("fewest", "small")).alias("h")).select("doc_id", F.col("h.small").alias("hub"))
+    first = least.unionByName(small)
     first = materialize(first.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct(), "pairs")
     links = confirmed(first, docs, words, percent)
     label = components(links)
     labelled = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     labelled = materialize(labelled, "labelled")
+    discard(members)
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     left = materialize(labelled.join(mixed, "key", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c")), "left")
+    discard(labelled)
     rest = materialize(across(left, docs, words, percent).join(first, ["a", "b"], "left_anti"), "pairs")
     label = components(links.unionByName(confirmed(rest, docs, words, percent)))
     named = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

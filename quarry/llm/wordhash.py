@@ -9,15 +9,17 @@ every retry computes the same values.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 
 U64 = np.uint64
 #: Texts are hashed in groups of about this many bytes, which bounds the working memory.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
+@functools.cache
 def constant(name: str) -> np.uint64:
     """An odd 64-bit constant derived from a name."""
     return U64(int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "little") | 1)
@@ -42,25 +44,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(32))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i up to n; only the largest table so far is kept."""
-    have = next(iter(_POWERS), 0)
-    if have < n:
-        size = max(n, BLOCK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            up = np.full(size, _BASE, dtype=U64)
-            down = np.full(size, _INVERSE, dtype=U64)
-            up[0] = down[0] = 1
-            np.multiply.accumulate(up, out=up)
-            np.multiply.accumulate(down, out=down)
-        if size > 4 * BLOCK_BYTES:  # a huge text: not worth keeping
-            return up, down
-        _POWERS.clear()
-        _POWERS[size] = up, down
-    return next(iter(_POWERS.values()))
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for the positions of a block."""
+    with np.errstate(over="ignore"):
+        up = np.full(BLOCK_BYTES, _BASE, dtype=U64)
+        down = np.full(BLOCK_BYTES, _INVERSE, dtype=U64)
+        up[0] = down[0] = 1
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+    return up, down
 
 
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,14 +66,33 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the given byte ranges."""
+    """64-bit hashes of the given byte ranges, which are in order and do not overlap.
+
+    The bytes are taken in pieces of BLOCK_BYTES that end with a range; of a range longer than that the
+    pieces are hashed, then the sequence of their hashes.
+    """
     if len(starts) == 0:
         return np.empty(0, dtype=U64)
-    up, down = _powers(len(buf))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(buf) + 1, dtype=U64)
-        np.cumsum(_TABLE[_LOWER[buf] if lower else buf] * up[: len(buf)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    out = np.empty(len(starts), dtype=U64)
+    up, down = _powers()
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(ends, base + BLOCK_BYTES, side="right"))
+        if j <= i:  # one huge word
+            cuts = np.arange(base, int(ends[i]), BLOCK_BYTES)
+            parts = hash_spans(buf, cuts, np.minimum(cuts + BLOCK_BYTES, ends[i]), lower)
+            out[i] = shingles(parts, len(parts))[0]
+            i += 1
+            continue
+        piece = buf[base : int(ends[j - 1])]
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(piece) + 1, dtype=U64)
+            np.cumsum(_TABLE[_LOWER[piece] if lower else piece] * up[: len(piece)], out=sums[1:])
+            s, e = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64))
+        i = j
+    return out
 
 
 def blocks(texts: list[bytes]) -> list[tuple[int, int]]:
