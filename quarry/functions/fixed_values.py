@@ -79,3 +79,27 @@ SPLITTERS = {
     "markdown": (r"^##\s+(.+)$",),
 }
 LETTERED = r"(?:^|\n)\s*([A-Z])\s*[.\-–]\s+([^\n]{5,80})"
+
+# fixed values: words of a question that name a domain, and the sources of each
+DOMAINS = {
+    "gst": (
+        ("gst", "cgst", "igst", "sgst", "utgst", "itc", "input tax credit", "gstr", "gstr-1", "gstr-3b", "gstr-9", "gstr-9c", "section 128a", "section 16", "section 17", "section 54",
+         "section 14", "section 103", "section 143", "section 171", "rule 89", "rule 36", "rule 42", "rule 43", "rule 164", "compensation cess", "e-way bill", "ims", "invoice management",
+         "anti-profiteering", "advance ruling", "gstat", "appellate tribunal", "spl-01", "spl-02", "drc-03", "rcm", "reverse charge", "hsn", "sac", "gta", "job worker", "inverted duty",
+         "job work", "challan", "moulds", "dies", "jigs", "fixtures", "credit note", "debit note", "banquet", "advance payment", "health insurance premium", "blocked credit",
+         "mrp", "legal metrology", "binding effect", "table 8a", "table 8c", "qrmp", "quarterly return", "capital subsidy", "state incentive", "emi deferred duty"),
+        ("cbic", "legislation", "gst_council", "practitioner_knowledge"),
+    ),
+    "customs": (("customs", "bill of entry", "hs code", "import duty", "reassessment", "voluntary compliance", "customs act", "importer", "customs duty"), ("cbic", "legislation", "practitioner_knowledge")),
+    "rbi": (
+        ("rbi", "nbfc", "npa", "crar", "kyc", "ecb", "sbr", "scale-based", "gold loan", "securitisation", "master direction", "reserve bank", "ucb", "urban co-operative bank", "cooperative bank",
+         "gold lending", "ltv", "loan-to-value", "uapa", "sanctions", "str", "fiu-ind", "fiu", "nbfc-factor", "factoring", "floating rate", "floating-rate", "emi reset"),
+        ("rbi", "practitioner_knowledge"),
+    ),
+    "sebi": (("sebi", "lodr", "sast", "stock broker", "mutual fund", "ipo", "insider trading", "takeover"), ("sebi", "practitioner_knowledge")),
+}
+# fixed values: how an asker names their own kind of entity
+ASKER = (
+    r"(?i)(?:we are|I am|as a|our company is|we're)\s+(?:a |an )?((?:Type\s*[1-4]\s+)?(?:NBFC|HFC|bank|manufacturer|manufacturing company|exporter|importer|borrower|listed company|unlisted company|"
+    r"SIDBI|shipping company|infrastructure company|startup|MSME|corporate|partnership firm|LLP|mutual fund|insurance company|broker|dealer|registered entity|category [I-IV]+ ?(?:AIF|FPI|merchant banker)?))"
+)

@@ -194,3 +194,28 @@ def table_markdown(rows: Column) -> Column:
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(used)), " | "), F.lit(" |"))
     body = F.transform(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), line)
     return F.when((F.size(rows) > 0) & (F.size(kept) > 0), F.array_join(F.concat(F.array(line(kept[0]), rule), body), "\n")).otherwise("")
+
+
+def sub_questions(question: Column) -> Column:
+    """The parts of a question that end in a question mark and are longer than ten characters, or all of it."""
+    parts = F.filter(F.transform(F.split(question, r"\?"), F.trim), lambda p: F.length(p) > 10)
+    return F.when(F.size(parts) > 0, F.transform(parts, lambda p: F.concat(p, F.lit("?")))).otherwise(F.array(F.trim(question)))
+
+
+def asker(question: Column) -> Column:
+    """The kind of entity that the asker says to be; null without."""
+    return F.nullif(F.trim(F.regexp_extract(question, V.ASKER, 1)), F.lit(""))
+
+
+def domain_sources(question: Column) -> Column:
+    """Sorted sources of all domains with a word in the question; null without any.  Words match anywhere."""
+    q = F.lower(question)
+    found = [F.when(_or([F.contains(q, F.lit(w)) for w in words]), F.array(*map(F.lit, sources))).otherwise(F.array().cast("array<string>")) for words, sources in V.DOMAINS.values()]
+    all_ = F.array_sort(F.array_distinct(F.concat(*found)))
+    return F.when(F.size(all_) > 0, all_)
+
+
+def all_attachments(links: Column, single: Column) -> Column:
+    """The list of attachments with the single one, if that is not in it."""
+    listed = F.coalesce(links, F.array().cast("array<string>"))
+    return F.when(F.coalesce(single, F.lit("")) == "", listed).otherwise(F.array_union(listed, F.array(single)))

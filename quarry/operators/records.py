@@ -104,3 +104,56 @@ def outcome(content: Column, error: Column) -> Column:
     """failed, partial or success of an extraction."""
     n = F.length(F.trim(F.coalesce(content, F.lit(""))))
     return F.when(error.isNotNull() | (n <= 10), "failed").when(n < 200, "partial").otherwise("success")
+
+
+def update_content(stored: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Stored rows with new content: a number is kept if there is one, attempts are at least 1.
+
+    updates: key, content, number; a key that is not stored changes nothing.
+    """
+    new = updates.groupBy(key).agg(F.max_by("content", F.length("content")).alias("_content"), F.max("number").alias("_number"))
+    out = stored.join(new, key, "left")
+    hit = F.col("_content").isNotNull()
+    changed = {"content": F.coalesce("_content", "content"), "number": F.when(hit, F.coalesce(F.nullif("number", F.lit("")), "_number")).otherwise(F.col("number")), "attempts": F.when(hit, F.greatest(F.col("attempts"), F.lit(1))).otherwise(F.col("attempts"))}
+    return out.withColumns(changed).drop("_content", "_number")
+
+
+def resolved(failures: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Failures with ``resolved`` set for the keys that are done, and one attempt more for the others tried."""
+    flag = done.select(key, "ok").groupBy(key).agg(F.max("ok").alias("_ok"))
+    out = failures.join(flag, key, "left")
+    return out.withColumn("resolved", F.col("resolved") | F.coalesce("_ok", F.lit(False))).withColumn("attempts", F.col("attempts") + F.col("_ok").isNotNull().cast("int")).drop("_ok")
+
+
+def dead_letter(key: Column, url: Column, kind: Column, message: Column) -> Column:
+    """A row of the dead-letter queue; the message is cut at 500 characters."""
+    return F.struct(key.alias("document_link"), url.alias("source_url"), kind.alias("error_type"), F.substring(message, 1, 500).alias("error_message"), F.lit(1).alias("attempt_number"), F.lit(False).alias("resolved"))
+
+
+def with_ids(stored: DataFrame, new: DataFrame, id_col: str, *order: str) -> DataFrame:
+    """New rows with ids after the greatest stored one, in order of a total order.
+
+    The numbers are dealt by range partition: counts of the ranges before, plus the place in the range.
+    """
+    last = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_last"))  # one row
+    rows = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    rows = rows.withColumn("_part", F.shiftright("_m", 33)).withColumn("_in", F.col("_m").bitwiseAND((1 << 33) - 1))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each range
+    out = rows.join(F.broadcast(before), "_part").crossJoin(F.broadcast(last))
+    return out.withColumn(id_col, F.col("_last") + F.col("_before") + F.col("_in") + 1).drop("_m", "_part", "_in", "_before", "_last")
+
+
+def with_fallback(content: Column, page: Column, least: int = 50) -> Column:
+    """The page's text where the content is short and the page has more."""
+    n, m = (F.length(F.coalesce(c, F.lit(""))) for c in (content, page))
+    return F.when((n < least) & (m > n), page).otherwise(content)
+
+
+def index_summary(rows: DataFrame, content: str, source: str) -> DataFrame:
+    """One row: records, those with content, and the sources in order, joined."""
+    return rows.agg(F.count("*").alias("records"), F.count_if(~(F.col(content).isNull() | (F.col(content) == ""))).alias("with_content"), F.array_join(F.sort_array(F.collect_set(source)), ",").alias("sources"))
+
+
+def most_common(rows: DataFrame, by: str, k: int) -> DataFrame:
+    return rows.groupBy(by).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), by).limit(k)

@@ -811,3 +811,57 @@ def graph_from_chunks(spark, sf_dir):
     g = AS.graph_from_chunks(docs, TAXONOMY, ("Banks",), aliases)
     count = lambda k: g[k].agg(F.count("*").alias("cnt")).select(F.lit(k).alias("kind"), "cnt")
     return count("circulars").unionByName(count("supersedes"))
+
+
+_DOMAIN_ROWS = " union all ".join(f"select item_id, '{s}' as source from q where " + " or ".join("contains(lower(q), '{}')".format(w.replace("'", "''")) for w in ws) for ws, ss in V.DOMAINS.values() for s in ss)
+_ASKED = "case item_id % 5 when 0 then 'We are a Type 2 NBFC. Which KYC rule applies to us? And what of customs duty?' when 1 then 'What is the ITC limit under rule 36?' when 2 then 'as an importer, is a bill of entry needed?' when 3 then 'insider trading norms of SEBI' else 'Nothing of note' end"
+
+
+@query(f"with q as (select item_id, {_ASKED} as q from benchmark) select item_id, string_agg(distinct source, ',' order by source) as sources from ({_DOMAIN_ROWS}) group by 1")
+def domain_detect(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASKED).alias("q"))
+    return q.select("item_id", F.array_join(T.domain_sources(F.col("q")), ",").alias("sources")).where("sources is not null")
+
+
+@query(f"with q as (select item_id, {_ASKED} as q from benchmark) select item_id, nullif(trim(regexp_extract(q, '{V.ASKER.replace(chr(39), chr(39) * 2)}', 1)), '') as asker, case when len(list_filter(string_split(q, '?'), lambda p: length(trim(p)) > 10)) > 0 and contains(q, '?') then len(list_filter(string_split(q, '?'), lambda p: length(trim(p)) > 10)) else 1 end as parts from q")
+def question_parts(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASKED).alias("q"))
+    return q.select("item_id", T.asker(F.col("q")).alias("asker"), F.size(T.sub_questions(F.col("q"))).cast("long").alias("parts"))
+
+
+@query(RECORDS + ", u as (select id, concat('new ', title) as content, concat('N', cast(id as varchar(9))) as number from records where n_chars > 2000) select r.id, sha256(coalesce(u.content, r.content)) as content, case when u.id is not null then coalesce(nullif(r.number, ''), u.number) else r.number end as number, case when u.id is not null then greatest(r.id % 2, 1) else r.id % 2 end as attempts from records r left join u using (id)")
+def content_update(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("attempts", F.col("id") % 2)
+    u = r.where("n_chars > 2000").select("id", F.concat(F.lit("new "), "title").alias("content"), F.concat(F.lit("N"), F.col("id").cast("string")).alias("number"))
+    out = R.update_content(r.select("id", "content", "number", "attempts"), u, "id")
+    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("content"), "number", F.col("attempts").cast("long").alias("attempts"))
+
+
+@query("select event_id, event_type = 'click' or (event_type in ('error', 'view') and value > 50) as resolved, 1 + (event_type in ('error', 'view'))::int as attempts from events")
+def dlq_resolve(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    failures = e.select("event_id", (F.col("event_type") == "click").alias("resolved"), F.lit(1).alias("attempts"))
+    done = e.where(F.col("event_type").isin("error", "view")).select("event_id", (F.col("value") > 50).alias("ok"))
+    return R.resolved(failures, done, "event_id").select("event_id", "resolved", "attempts")
+
+
+@query("select doc_id, (select max(item_id) from benchmark) + row_number() over (order by doc_id) as item_id from documents where lang = 'fr'")
+def insert_with_ids(spark, sf_dir):
+    new = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id")
+    return R.with_ids(table(spark, sf_dir, "benchmark"), new, "item_id", "doc_id").select("doc_id", "item_id")
+
+
+@query("select count(*) as records, count(*) filter (where text <> '') as with_content, string_agg(distinct source, ',' order by source) as sources from documents")
+def index_summary(spark, sf_dir):
+    return R.index_summary(table(spark, sf_dir, "documents"), "text", "source")
+
+
+@query("select event_type, count(*) as cnt from events group by 1 order by cnt desc, event_type limit 3")
+def most_common(spark, sf_dir):
+    return R.most_common(table(spark, sf_dir, "events"), "event_type", 3)
+
+
+@query("select doc_id, case when doc_id % 3 = 0 then 'a.pdf,b.pdf' when doc_id % 3 = 1 then 'a.pdf,b.pdf,' || source || '.pdf' else 'a.pdf,b.pdf' end as links from documents")
+def attachment_union(spark, sf_dir):
+    single = F.expr("case doc_id % 3 when 0 then 'b.pdf' when 1 then concat(source, '.pdf') else '' end")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.all_attachments(F.array(F.lit("a.pdf"), F.lit("b.pdf")), single), ",").alias("links"))

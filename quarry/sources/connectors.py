@@ -84,7 +84,11 @@ def written_date(text: Column) -> Column:
 def council(rows: DataFrame) -> DataFrame:
     """Records of meetings (name, date_text, venue, agenda, minutes as arrays of url and text): one for
     each document, minutes first."""
-    docs = F.concat(*(F.transform(c, lambda d, k=k, t=t: F.struct(d["url"].alias("url"), F.when(d["text"] != "", d["text"]).otherwise(F.concat(F.lit(f"{t} - "), F.col("name"))).alias("title"), F.lit(k).alias("doc_type"))) for c, k, t in (("minutes", "Meeting Minutes", "Minutes"), ("agenda", "Agenda", "Agenda"))))
+    def of(column: str, kind: str, word: str) -> Column:
+        title = lambda d: F.when(d["text"] != "", d["text"]).otherwise(F.concat(F.lit(f"{word} - "), F.col("name")))
+        return F.transform(column, lambda d: F.struct(d["url"].alias("url"), title(d).alias("title"), F.lit(kind).alias("doc_type")))
+
+    docs = F.concat(of("minutes", "Meeting Minutes", "Minutes"), of("agenda", "Agenda", "Agenda"))
     out = rows.select("name", "date_text", "venue", F.explode(docs).alias("d"))
     return out.select(F.lit("gst_council").alias("source"), F.col("d.title").alias("title"), written_date(F.col("date_text")).alias("date"), F.col("d.url").alias("link"), meeting_number(F.col("name")).alias("circular_number"), F.col("d.doc_type").alias("doc_type"), F.concat_ws(" | ", F.lit("GST Council"), "name", "venue").alias("details"))
 

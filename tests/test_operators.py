@@ -5,8 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from quarry.functions import providers
-from quarry.operators import graph, records, retrieval, sections
-from quarry.sources import html
+from quarry.operators import assistant, graph, records, retrieval, sections
+from quarry.sources import connectors, html
 from quarry.sources import records as src
 from quarry.streaming import progress
 
@@ -103,3 +103,32 @@ def test_providers_fall_back(spark):
     out = {r["doc_id"]: r for r in providers.extracted(docs, providers.Silent()).collect()}
     assert out[1]["error"] == "text is too short" and out[2]["raw"] is None
     assert len(providers.embed(docs, "text").first()["embedding"]) == 64
+
+
+def test_connectors(spark):
+    cells = spark.createDataFrame([(["1", "60", "2025-26", "A trade notice", "01/02/2026"], ["https://content.dgft.gov.in/x"]), (["1", "60/2025-26", "2025-26", "", "01/02/2026"], []), (["1"], [])], "cells array<string>, links array<string>")
+    got = {(r["title"], r["circular_number"], r["link"]) for r in connectors.trade(cells, "n", "https://d").collect()}
+    assert got == {("A trade notice", "60/2025-26", "https://content.dgft.gov.in/x"), ("60/2025-26", "60/2025-26", "https://d/CP/?opt=n&num=60/2025-26")}
+    links = spark.createDataFrame([("Some title of ours - (01-02-2024)", "https://x/a.PDF"), ("short", "https://x"), ("A long enough text", "mailto:x")], "text string, href string")
+    assert [tuple(r)[1:] for r in connectors.accountants(links, "l").collect()] == [("Some title of ours", "01-02-2024", "https://x/a.PDF", ["https://x/a.PDF"])]
+    item = '{"id": 7, "circularNo": "12", "circularName": "N", "circularDt": "2024-03-05T00:00:00", "docFilePath": "a\\\\b.pdf"}'
+    row = connectors.tax_documents(spark.createDataFrame([(item, 1000001, "Cat"), ("{}", 1, None)], "body string, tax_id int, category string"), "circular", "https://c").collect()
+    assert [(r["title"], r["date"], r["link"], r["details"], r["source"]) for r in row] == [("N", "05-Mar-2024", "https://c/content/pdf/a/b.pdf", "12 | Cat", "CBIC (GST)")]
+    meeting = spark.createDataFrame([("51st Meeting", "28th & 29th June 2022", "Delhi", [("u1", "")], [("u2", "M")])], "name string, date_text string, venue string, agenda array<struct<url:string,text:string>>, minutes array<struct<url:string,text:string>>")
+    assert [(r["title"], r["date"], r["circular_number"]) for r in connectors.council(meeting).collect()] == [("M", "2022-06-29", "GST-COUNCIL-51"), ("Agenda - 51st Meeting", "2022-06-29", "GST-COUNCIL-51")]
+    one = spark.createDataFrame([("1 to 25 of 60", "x?file=a.pdf&b", "RBI/2024\nMarch 1, 2024\ntext")], "p string, f string, t string")
+    r = one.select(connectors.more_pages(F.col("p")).alias("m"), connectors.framed_pdf(F.col("f")).alias("f"), connectors.detail_lines(F.col("t")).alias("d")).first()
+    assert (r["m"], r["f"], r["d"]["number"], r["d"]["date"]) == (True, "a.pdf", "RBI/2024", "March 1, 2024")
+
+
+def test_index_then_ask(spark):
+    text = "1. Scope\nNBFC lenders shall file returns within 30 days and must keep records.\n2. Limits\nExposure of 10 % or 5 crore."
+    recs = spark.createDataFrame([(1, "rbi", "KYC norms", "10-01-2024", "l1", "RBI/2024-25/1", text, "", "f"), (2, "sebi", "Brokers", "", "l2", "", "Stock brokers must register. " * 5, "", "g")], "id long, source string, title string, date string, link string, number string, content string, details string, file_name string")
+    chunks = assistant.index(recs)
+    stored = spark.createDataFrame(chunks.collect(), chunks.schema)
+    assert assistant.index(recs, stored).count() == 0
+    exact = assistant.ask(stored, assistant.planned(spark, "What does RBI/2024-2025/1 say?")).collect()
+    assert exact and {r["number"] for r in exact} == {"RBI/2024-25/1"}
+    plan = assistant.planned(spark, "Which NBFC must file returns?", source="rbi")
+    assert plan.sources == ("rbi",) and "rule" in plan.types
+    assert {r["source"] for r in assistant.ask(stored, plan).collect()} == {"rbi"}
