@@ -51,17 +51,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by materialize() that nothing reads any more."""
     for df in frames:
         with contextlib.suppress(Exception):  # files that are already gone
-            jvm = df.sparkSession._jvm
-            for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -88,6 +88,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         new = materialize(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
         discard(edges)
         edges = new
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -175,6 +175,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     Components of links at percent of Jaccard similarity on shingles of ``words`` words, letters A-Z in
     lower case.  Null, empty and white-space texts have no shingles, link with nothing and are kept.
     Rows that repeat an id count as copies of one document if their texts agree; each row is returned.
+    A row without an id belongs to the component of the equal texts with one; without such it has a null
+    component and no say about keeping.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = materialize(sketch_table(docs, words), "sketches")
@@ -209,3 +211,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
 def op1_minhash(spark, sf_dir) -> DataFrame:
     """All documents on shingles of four words at 80 percent."""
     return near_duplicates(by_column(spark, sf_dir, "documents"), words=4)
+
+
+ORACLE_SQL = r"""
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+sets as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from words),
+sizes as (select doc_id, count(*) as n from sets group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+edges as (select a, b from links union select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select r.doc_id, e.b from reach r join edges e on e.a = r.other)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from (select doc_id, min(other) as component_id from reach group by 1) left join sizes using (doc_id)
+"""
