@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import wordhash as H
-from quarry.llm.common import by_column, discard, materialize, texts_of
+from quarry.llm.common import by_column, materialize, texts_of
 
 #: Leading tokens of the tree, least tokens of a template and of the wider templates, and the least
 #: number of neighbourhoods.
 DEPTH, SHORT, LONG, RECUR = 3, 3, 12, 10
+#: Templates that are sent to every task (8 bytes each); beyond that they are joined.
+MOST_KEYS = 1_000_000
 _FIELD = H.constant("variable field")
 
 
@@ -37,7 +39,7 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         if not len(h):
             continue
         digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
-        h = np.where(digits[ends] > digits[starts], _FIELD, h)
+        raw, h = h, np.where(digits[ends] > digits[starts], _FIELD, h)
         newlines = np.concatenate([[0], np.cumsum(buf == 10)])
         doc = np.repeat(np.arange(b - a), np.diff(first))
         offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
@@ -56,10 +58,11 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
             all_, lead = np.add.reduceat(term, begin), total(place < DEPTH)
             n = count.astype(np.uint64)
             exact = H.mix(all_ + n * H.constant("exact"))
+            as_is = H.mix(np.add.reduceat(raw * power[place], begin))
             halves = [H.mix(lead * H.constant(f"lead {k}") + H.mix(total(m) + n * H.constant(f"half {k}"))) for k, m in enumerate(((place >= DEPTH) & (place < half), place >= half))]
         own = doc[begin]
         apart = own[1:] != own[:-1]
-        before, after = np.append(H.U64(0), np.where(apart, H.U64(0), exact[:-1])), np.append(np.where(apart, H.U64(0), exact[1:]), H.U64(0))
+        before, after = np.append(H.U64(0), np.where(apart, H.U64(0), as_is[:-1])), np.append(np.where(apart, H.U64(0), as_is[1:]), H.U64(0))
         with np.errstate(over="ignore"):
             around = H.mix(before * H.constant("before") + after * H.constant("after"))
         number = newlines[starts[begin]] - newlines[offset[own]]
@@ -71,53 +74,70 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def drop_recurring(documents: DataFrame, recur: int = RECUR) -> DataFrame:
+def recurring(docs: DataFrame, recur: int) -> DataFrame:
+    """(key) of the templates that recur in docs (id, th, text).
+
+    A row for each template of a line; both groupings are pre-aggregated, so a line that a third of all
+    documents hold is a few rows of each task.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, _, key, around = templates(texts_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(key.astype(np.int64)), pa.array(around.astype(np.int64))], names=["doc", "key", "around"])
+
+    found = docs.select(F.xxhash64("id", "th").alias("doc"), "text").mapInArrow(emit, "doc long, key long, around long")
+    places = found.groupBy("key", "around").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
+    places = places.groupBy("key", "doc").agg(F.sum("n").alias("n"))  # neighbourhoods first met in one document count once
+    return places.groupBy("key").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where(f"places >= {recur} and 2 * places >= n").select("key")
+
+
+def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MOST_KEYS) -> DataFrame:
     """The columns of documents (doc_id, text and any others), with the text's remaining lines, and
     n_lines and n_dropped.
 
     A null text stays null with no lines; a text without recurring lines stays as it is.  Rows that
-    repeat an id and a text get the same result each.
+    repeat an id and a text get the same result each.  Up to ``most_keys`` recurring templates go to
+    every task; more are joined to the lines.  Both ways give the same rows.
     """
     names = documents.drop("n_lines", "n_dropped").columns
     docs = documents.select(*(F.col(f"`{c}`") for c in names)).toDF(*(f"c{i}" for i in range(len(names))))
     at = names.index("text")
     docs = docs.withColumn("id", F.col(f"c{names.index('doc_id')}").cast("long")).withColumn("th", F.xxhash64(f"c{at}"))
+    often = materialize(recurring(docs.select("id", "th", F.col(f"c{at}").alias("text")), recur), "recurring")
+    few = often.count() <= most_keys
+    known = np.sort(np.asarray(often.toArrow()["key"], dtype=np.int64)) if few else None
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                text, line, key, around = templates(texts_of(part.column(2)))
-                ids = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(ids), part.column(1).take(ids), pa.array(line.astype(np.int32)), pa.array(key.astype(np.int64)), pa.array(around.astype(np.int64))], names=["id", "th", "line", "key", "around"])
-
-    found = docs.select("id", "th", F.col(f"c{at}").alias("text")).mapInArrow(emit, "id long, th long, line int, key long, around long")
-    found = materialize(found, "lines")
-    counts = found.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "line")).alias("one")).select("key", "n", "one")
-    # neighbourhoods first met in one document count once
-    counts = counts.groupBy("key", "one.id", "one.th").agg(F.sum("n").alias("n"))
-    often = counts.groupBy("key").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where(f"places >= {recur} and 2 * places >= n").select("key")
-    gone = found.join(often, "key").groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+            text, line, key, _ = templates(texts_of(batch.column(2)))
+            ids = pa.array(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(line.astype(np.int32)), pa.array(key.astype(np.int64))], names=["id2", "th2", "line", "key"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n, dropped = [], [], []
-            for text, lines in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                split = text.split(b"\n") if text is not None else []
-                n.append(len(split))
-                dropped.append(len(lines or ()))
-                if lines:
-                    skip = set(lines)
-                    text = b"\n".join([x for i, x in enumerate(split) if i not in skip])
-                out.append(text if text is None else text.decode())
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[2:], "text", "n_lines", "n_dropped"])
-
-    gone = materialize(gone, "gone")
-    discard(found)
-    gone = gone.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "gone")
-    joined = docs.join(gone, F.expr("id <=> id2 and th = th2"), "left")
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            if known is None:
+                gone = [set(x or ()) for x in batch.column(1).to_pylist()]
+            else:
+                gone = [set() for _ in texts]
+                text, line, key, _ = templates([t or b"" for t in texts])
+                hit = np.flatnonzero(np.isin(key.astype(np.int64), known))
+                for i, k in zip(text[hit].tolist(), line[hit].tolist(), strict=True):
+                    gone[i].add(k)
+            n = [0 if t is None else t.count(b"\n") + 1 for t in texts]
+            out = [b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in g]) if g else t for t, g in zip(texts, gone, strict=True)]
+            dropped = [len(g) for g in gone]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([t if t is None else t.decode() for t in out], pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[2:], "text", "n_lines", "n_dropped"])
+
+    if few:
+        docs = docs.withColumn("gone", F.lit(None).cast("array<int>"))
+    else:
+        found = docs.select("id", "th", F.col(f"c{at}").alias("text")).mapInArrow(emit, "id2 long, th2 long, line int, key long")
+        gone = found.join(often, "key").groupBy("id2", "th2").agg(F.collect_set("line").alias("gone"))
+        docs = docs.join(gone, F.expr("id <=> id2 and th = th2"), "left")
     other = [f"c{i}" for i in range(len(names)) if i != at]
-    full = joined.select(F.col(f"c{at}").alias("text"), "gone", *other)
+    full = docs.select(F.col(f"c{at}").alias("text"), "gone", *other)
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in other)
     out = full.mapInArrow(keep, f"{schema}, text string, n_lines long, n_dropped long")
     return out.select(*(F.col("text" if i == at else f"c{i}") for i in range(len(names))), "n_lines", "n_dropped").toDF(*names, "n_lines", "n_dropped")
