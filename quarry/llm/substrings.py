@@ -76,12 +76,18 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                 g, _, found = window_anchors(h, first, window, k)
                 at = np.unique(found)
                 row = np.searchsorted(first, at, side="right") - 1
-                ids = pa.array(row + a)
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].astype(np.int64)), batch.column(0).take(ids), batch.column(1).take(ids), pa.array((at - first[row]).astype(np.int32))], names=["key", "doc_id", "th", "pos"])
-
-    anchors = materialize(docs.mapInArrow(find, "key long, doc_id long, th long, pos int"), "anchors")
-    twice = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = anchors.join(twice, "key").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+                order = np.lexsort((at, g[at], row))
+                at, row = at[order], row[order]
+                key = g[at]
+                begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))) if len(at) else np.empty(0, dtype=np.int64)
+                ids = pa.array(row[begin] + a)
+                pos = _lists((at - first[row]).astype(np.int32), np.append(begin, len(at)), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(key[begin].astype(np.int64)), batch.column(0).take(ids), batch.column(1).take(ids), pos], names=["key", "doc_id", "th", "pos"])
+
+    # a text's anchors of the same words are one row, however often a text repeats itself
+    anchors = materialize(docs.mapInArrow(find, "key long, doc_id long, th long, pos array<int>"), "anchors")
+    twice = anchors.groupBy("key").agg(F.sum(F.size("pos")).alias("n")).where("n > 1").select("key")
+    held = anchors.join(twice, "key").groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("at"))
     held = materialize(held, "held")
     discard(anchors)
 
@@ -261,3 +267,14 @@ def op5_substrings(spark, sf_dir) -> DataFrame:
 def sha256(words: list[bytes]) -> str:
     """The digest of kept words, for tests."""
     return hashlib.sha256(b" ".join(words)).hexdigest()
+
+
+ORACLE_SQL = r"""
+with docs as (select row_number() over () as row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+windows as (select row, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) as h from docs, unnest(range(1, len(w) - 33)) as t(i) where len(w) >= 35),
+repeated as (select h from windows group by h having count(*) > 1),
+gone as (select distinct row, i + k as i from windows join repeated using (h), range(35) as r(k)),
+words as (select row, i, w[i] as word from docs, unnest(range(1, len(w) + 1)) as t(i)),
+kept as (select row, string_agg(word, ' ' order by i) as kept, count(*) as n from words anti join gone using (row, i) group by 1)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs left join kept using (row)
+"""
