@@ -5,9 +5,11 @@ token with a digit counts as a variable field.  At the leaf it belongs to the te
 tokens with variable fields masked, and, in lines of LONG tokens or more, to two wider templates that
 agree in the first or in the second half of the other tokens, so that words may vary too.
 
-A template recurs if enough documents hold it among other lines: what counts is the number of different
-neighbourhoods (the lines before and after), which must also be most of the documents that hold it.
-Whole copies of a document repeat its neighbourhoods, so they are left to document dedup.
+A template recurs if enough documents hold it that are no copies of each other.  Mostly its neighbourhoods
+(the lines before and after) show it: there are enough of them, and they are most of its occurrences.
+Lines within a repeated block, lines that a text repeats and lines of much copied documents have fewer;
+for these the near-duplicate classes of the texts that hold them are counted.  So copies and near copies
+of a document are one, and are left to document dedup.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import wordhash as H
-from quarry.llm.common import by_column, materialize, texts_of
+from quarry.llm.common import by_column, discard, materialize, texts_of
+from quarry.llm.minhash import near_duplicates
 
 #: Leading tokens of the tree, least tokens of a template and of the wider templates, and the least
-#: number of neighbourhoods.
+#: number of neighbourhoods or of near-duplicate classes.
 DEPTH, SHORT, LONG, RECUR = 3, 3, 12, 10
 #: Templates that are sent to every task (8 bytes each); beyond that they are joined.
 MOST_KEYS = 1_000_000
@@ -74,7 +77,12 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def recurring(docs: DataFrame, recur: int) -> DataFrame:
+def known_keys(keys: DataFrame, most_keys: int) -> np.ndarray | None:
+    """The sorted keys, to be sent to every task; None if there are more than ``most_keys``."""
+    return np.sort(np.asarray(keys.toArrow()["key"], dtype=np.int64)) if keys.count() <= most_keys else None
+
+
+def recurring(docs: DataFrame, recur: int, most_keys: int = MOST_KEYS) -> DataFrame:
     """(key) of the templates that recur in docs (id, th, text).
 
     A row for each template of a line; both groupings are pre-aggregated, so a line that a third of all
@@ -89,7 +97,46 @@ def recurring(docs: DataFrame, recur: int) -> DataFrame:
     found = docs.select(F.xxhash64("id", "th").alias("doc"), "text").mapInArrow(emit, "doc long, key long, around long")
     places = found.groupBy("key", "around").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
     places = places.groupBy("key", "doc").agg(F.sum("n").alias("n"))  # neighbourhoods first met in one document count once
-    return places.groupBy("key").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where(f"places >= {recur} and 2 * places >= n").select("key")
+    often = places.groupBy("key").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where(f"n >= {recur}")
+    often = materialize(often.select("key", F.expr(f"places >= {recur} and 2 * places >= n").alias("settled")), "often")
+    settled = often.where("settled").select("key")
+    return settled.unionByName(recurring_by_class(docs, often.where("not settled").select("key"), recur, most_keys))
+
+
+def recurring_by_class(docs: DataFrame, keys: DataFrame, recur: int, most_keys: int) -> DataFrame:
+    """Those of the templates (key) that texts of ``recur`` near-duplicate classes hold.
+
+    A text counts once, whatever it repeats and however many documents are copies of it.  Only texts
+    that hold one of the templates, and only templates in ``recur`` different texts, are looked at.
+    """
+    known = known_keys(keys, most_keys)
+    if known is not None and not len(known):
+        return keys
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, _, key, _ = templates(texts_of(batch.column(1)))
+            key = key.astype(np.int64)
+            if known is not None:
+                hit = np.isin(key, known)
+                text, key = text[hit], key[hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(key)], names=["th", "key"])
+
+    held = docs.select("th", "text").mapInArrow(emit, "th long, key long")
+    held = held if known is not None else held.join(keys, "key", "left_semi")
+    held = materialize(held.select("th", "key").distinct(), "held")
+    enough = held.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {recur}").select("key")
+    few = materialize(held.join(enough, "key", "left_semi"), "held")
+    discard(held)
+    if few.isEmpty():
+        return few.select("key")
+    texts = docs.select("th", "text").join(few.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    texts = materialize(texts, "texts")
+    classes = near_duplicates(texts, id_col="th").select(F.col("doc_id").alias("th"), "component_id")
+    out = few.join(classes, "th").select("key", "component_id").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    out = materialize(out.where(f"n >= {recur}").select("key"), "by_class")
+    discard(few, texts)
+    return out
 
 
 def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MOST_KEYS) -> DataFrame:
@@ -104,9 +151,8 @@ def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MO
     docs = documents.select(*(F.col(f"`{c}`") for c in names)).toDF(*(f"c{i}" for i in range(len(names))))
     at = names.index("text")
     docs = docs.withColumn("id", F.col(f"c{names.index('doc_id')}").cast("long")).withColumn("th", F.xxhash64(f"c{at}"))
-    often = materialize(recurring(docs.select("id", "th", F.col(f"c{at}").alias("text")), recur), "recurring")
-    few = often.count() <= most_keys
-    known = np.sort(np.asarray(often.toArrow()["key"], dtype=np.int64)) if few else None
+    often = materialize(recurring(docs.select("id", "th", F.col(f"c{at}").alias("text")), recur, most_keys), "recurring")
+    known = known_keys(often, most_keys)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +176,7 @@ def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MO
             dropped = [len(g) for g in gone]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([t if t is None else t.decode() for t in out], pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[2:], "text", "n_lines", "n_dropped"])
 
-    if few:
+    if known is not None:
         docs = docs.withColumn("gone", F.lit(None).cast("array<int>"))
     else:
         found = docs.select("id", "th", F.col(f"c{at}").alias("text")).mapInArrow(emit, "id2 long, th2 long, line int, key long")

@@ -177,6 +177,24 @@ def test_lines_equal_brute_force(docs):
     assert often and {i: n for i, (n, _) in out[0].items() if n} == dict(want)
 
 
+def own_lines(i: int, n: int) -> list[str]:
+    """Lines of twelve words without digits that only document i has."""
+    word = lambda *x: "".join(chr(97 + int(d)) for y in x for d in f"{y:04d}")
+    return [" ".join(word(i, j, k) for k in range(12)) for j in range(n)]
+
+
+def test_lines_drop_whole_blocks(spark):
+    footer = [f"footer line {c} of the site's own words" for c in ("alpha", "beta", "gamma", "delta", "epsilon")]
+    body = lambda i: own_lines(i, 2)
+    rows = [(i, "\n".join([*body(i), *footer])) for i in range(2000)]
+    copied = [" ".join(f"{chr(97 + j)}{chr(97 + k)}copied" for k in range(10)) for j in range(20)]
+    rows += [(5000 + i, "\n".join([*copied[: i % 20], own_lines(5000 + i, 1)[0], *copied[i % 20 :]])) for i in range(60)]
+    for way in (0, 10**6):
+        out = {r["doc_id"]: r["text"] for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"), 10, way).collect()}
+        assert all(out[i].split("\n") == body(i) for i in range(2000))
+        assert all(len(set(copied) - set(out[5000 + i].split("\n"))) == 0 for i in range(60))  # near copies keep their lines
+
+
 def test_lines_edge_cases(awkward, empty):
     out = lines.drop_recurring(awkward)
     assert out.columns == [*awkward.columns[:2], "a.b", "score", "key", "component_id", "leaks", "n", "n_lines", "n_dropped"] and out.count() == len(DOCS)
