@@ -195,6 +195,18 @@ def test_lines_drop_whole_blocks(spark):
         assert all(len(set(copied) - set(out[5000 + i].split("\n"))) == 0 for i in range(60))  # near copies keep their lines
 
 
+def test_lines_repeated_within_texts_and_in_copies(spark):
+    body = lambda i: own_lines(i, 3)
+    reply, share = "Reply to this post", "Share this on your page"
+    rows = [(i, "\n".join(x for line in body(i) for x in (line, reply))) for i in range(300)]  # three times each
+    rows += [(1000 + i, "\n".join([*body(1000 + i), share])) for i in range(90)]
+    rows += [(2000 + i, "\n".join([*body(2000), share])) for i in range(200)]  # one text of 200 copies
+    out = {r["doc_id"]: r["text"].split("\n") for r in lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == body(i) for i in range(300))
+    assert all(out[1000 + i] == body(1000 + i) for i in range(90))
+    assert all(out[2000 + i] == body(2000) for i in range(200))
+
+
 def test_lines_edge_cases(awkward, empty):
     out = lines.drop_recurring(awkward)
     assert out.columns == [*awkward.columns[:2], "a.b", "score", "key", "component_id", "leaks", "n", "n_lines", "n_dropped"] and out.count() == len(DOCS)
