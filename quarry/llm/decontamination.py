@@ -4,7 +4,8 @@ The test items are the indexed documents and every passage of a training documen
 lie in blocks; a term's largest weight in a block bounds what it can add to any item there, so a
 passage is scored only if its bound for some block reaches the block's least threshold (WAND with
 block maxima; all passages of a batch are moved through the postings together).  An item's threshold
-is a share of its own score.  What is retrieved is verified by the share of the item's question and
+is a share of its own score or of its question's, whichever is less, and never above what a passage
+that passes the check can score.  What is retrieved is verified by the share of the item's question and
 answer that occurs in the document in five-word shingles.
 """
 
@@ -37,7 +38,7 @@ def plain(text: bytes) -> bytes:
 class Index:
     """Postings of the items' terms, exact and by block, and the shingles of question and answer."""
 
-    def __init__(self, items: list[tuple[int, str, str]], share: float = 0.5, words: int = 5):
+    def __init__(self, items: list[tuple[int, str, str]], share: float = 0.5, words: int = 5, overlap: float = 0.8):
         self.ids = np.array([i for i, _, _ in items], dtype=np.int64)
         self.words = words
         n = len(items)
@@ -58,8 +59,12 @@ class Index:
             term.append(t)
             item.append(np.full(len(t), i))
             weight.append(w)
-            if len(t):
-                self.threshold[i] = share * w.sum()
+            own = self._words(plain(items[i][1].encode()))
+            for k, of in ((0, np.isin(self.terms[t], own)), (2, np.ones(len(t), dtype=bool))):
+                if of.any():
+                    most = self._missing(len(self.parts[i][k]), len(own if k == 0 else parts[i]) - self.sizes[i][k] + 1, overlap)
+                    sorted_ = np.sort(w[of])
+                    self.threshold[i] = min(self.threshold[i], share * w[of].sum(), (1 - 1e-9) * sorted_[: max(0, len(sorted_) - most)].sum())
         term, item, weight = (np.concatenate([*x, np.empty(0)]) for x in (term, item, weight))
         term, item = term.astype(np.int64), item.astype(np.int64)
         self.postings = self._grouped(term, item, weight)
@@ -71,6 +76,16 @@ class Index:
         self.least = np.full(self.blocks, np.inf)
         np.minimum.at(self.least, np.arange(n) // BLOCK, self.threshold)
 
+    @staticmethod
+    def _missing(distinct: int, places: int, overlap: float) -> int:
+        """The most terms that a text can lack of which it has ``overlap`` of the shingles.
+
+        Terms left of a shingle that is there each lack the one that starts with them, terms right of it
+        the one that ends with them; where shingles repeat, one may be both.
+        """
+        lacking = distinct - math.ceil(overlap * distinct - 1e-9)
+        return lacking if distinct == places else 2 * lacking
+
     @staticmethod
     def _words(text: bytes) -> np.ndarray:
         return H.words([text], lower=True)[3]
@@ -167,7 +182,7 @@ def split_item(text: str | None, least: int = 10) -> tuple[str, str]:
     return text, ""
 
 
-def indexes(items: DataFrame, most: int = MAX_ITEMS, share: float = 0.5) -> Iterator[Index]:
+def indexes(items: DataFrame, most: int = MAX_ITEMS, share: float = 0.5, *, overlap: float = 0.8) -> Iterator[Index]:
     """Indexes of at most about ``most`` items each (dealt by a hash of the id).
 
     items: (item_id, text) or (item_id, question, answer).  Items without words retrieve nothing.
@@ -179,7 +194,7 @@ def indexes(items: DataFrame, most: int = MAX_ITEMS, share: float = 0.5) -> Iter
             rows = [(r["item_id"], r["question"] or "", r["answer"] or "") for r in part.select("item_id", "question", "answer").collect()]
         else:
             rows = [(r["item_id"], *split_item(r["text"])) for r in part.select("item_id", "text").collect()]
-        yield Index(rows, share)
+        yield Index(rows, share, overlap=overlap)
 
 
 def leaks(docs: DataFrame, items: DataFrame, overlap: float = 0.8, text_col: str = "text") -> DataFrame:
@@ -193,7 +208,7 @@ def leaks(docs: DataFrame, items: DataFrame, overlap: float = 0.8, text_col: str
     names = docs.drop("leaks").columns
     out = docs.drop("leaks").toDF(*(f"c{i}" for i in range(len(names))))
     at, added = names.index(text_col), []
-    for index in indexes(items):
+    for index in indexes(items, overlap=overlap):
 
         def scan(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("item_id", pa.int64()), *((c, pa.float64()) for c in ("bm25", "question_overlap", "answer_overlap", "overlap"))]))

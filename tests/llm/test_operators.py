@@ -431,6 +431,15 @@ def test_leaks_edge_cases(spark, awkward, empty):
     assert decontamination.leaks(awkward, items.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_leaks_of_questions_with_long_answers(spark):
+    items = [(i, own_lines(i, 1)[0], " ".join(own_lines(100 + i, 5))) for i in range(40)]
+    rows = [(i, f"some text before {q} and some after") for i, q, _ in items]
+    rows += [(100 + i, " ".join(["begin", *q.split()[:-1], "end"])) for i, q, _ in items] + [(1000, "nothing of any item")]
+    items, docs = spark.createDataFrame(items, "item_id long, question string, answer string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, items).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id").collect()}
+    assert got == {(d + i, i) for i in range(40) for d in (0, 100)}
+
+
 def test_leaks_in_several_indexes(spark, data, docs, monkeypatch):
     items = spark.read.parquet(f"{data}/benchmark.parquet")
     pairs = lambda: {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, items).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id").collect()}
