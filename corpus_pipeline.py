@@ -7,6 +7,7 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, lines, minhash, packing, quality
 from quarry.llm.common import by_column, materialize
@@ -31,9 +32,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct().hint("merge")
-    return _columns(docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))  # one exchange of texts for both
+    """One document of each group of near-duplicates: the one of the least id, of those that share it the
+    one of the least text hash.
+
+    Decided by texts, not by ids: different texts under one id are documents of their own, and a text
+    without an id stays if no other is like it.  Rows without an id stand behind all that have one.  Of
+    texts without words, which are like nothing, those equal in id and text are one.
+    """
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    first = rows.groupBy("_h").agg(F.min("doc_id").alias("_i"), F.first("text").alias("text"))  # equal texts are one
+    first = materialize(first, "texts")
+    group = minhash.near_duplicates(first.select("_h", "text"), id_col="_h").where("n_shingles > 0").selectExpr("doc_id as _h", "component_id as _c")
+    best = F.min(F.struct(F.col("_i").isNull().alias("none"), "_i", "_h")).alias("b")
+    kept = first.select("_h", "_i").join(group, "_h").groupBy("_c").agg(best).selectExpr("b._h as _k", "b._i as _i")
+    blank = rows.where(r"not rlike(coalesce(text, ''), '[^\\x20\\x09-\\x0D]')").selectExpr("_h as _k", "doc_id as _i").distinct()
+    kept = materialize(kept.unionByName(blank), "kept").hint("merge")
+    out = rows.join(kept, F.expr("_h = _k and doc_id <=> _i"), "left_semi")
+    return _columns(out.dropDuplicates(["_h", "doc_id"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
