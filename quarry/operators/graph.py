@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int = 64) -> DataFrame:
-    """(start, node) of all nodes on paths of at most ``depth`` edges, each start included.
+def _written(df: DataFrame) -> DataFrame:
+    """Written to the folder in spark.checkpoint.dir (a local one only where that is unset) and read back."""
+    spark = df.sparkSession
+    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/quarry/{uuid.uuid4().hex}/graph"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node) of all nodes on paths from each start, which is included.
 
-    A bounded recursion; what cycles repeat is removed at the end.
+    Paths of twice as many edges at each step, so a chain of thousands takes a few steps; each is
+    written.  It ends when a step adds no pair, so cycles are no matter.
     """
-    query = f"""
-    with recursive walk(start, node, d) as (
-      select node, node, 0 from {{starts}} union all
-      select w.start, e.dst, w.d + 1 from walk w join {{edges}} e on e.src = w.node where w.d < {depth})
-    select distinct start, node from walk"""
-    return edges.sparkSession.sql(query, starts=starts.select("node"), edges=edges.select("src", "dst"))
+    hops = _written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    walk, before, now = _written(starts.select(F.col("node").alias("start"), "node").distinct()), -1, 0
+    while now != before:  # walk: within 2^i - 1 edges; hops: of exactly 2^i
+        before = now
+        more = walk.join(hops, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+        walk = _written(walk.unionByName(more).distinct())
+        now = walk.count()
+        hops = _written(hops.alias("x").join(hops.alias("y"), F.expr("x.dst = y.src")).selectExpr("x.src as src", "y.dst as dst").distinct())
+    return walk
 
 
 def reverse(edges: DataFrame) -> DataFrame:

@@ -62,6 +62,14 @@ def test_graph_with_a_cycle(spark):
     assert {tuple(r) for r in latest.collect()} == {(4, 5), (6, 6)}
 
 
+def test_graph_with_a_long_chain(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(3000)], "src long, dst long")
+    start = spark.createDataFrame([(1000,)], "node long")
+    assert {r["node"] for r in graph.chain(edges, start).collect()} == set(range(3001))
+    nodes = spark.range(3001).selectExpr("id as node", "'2020' as date")
+    assert [tuple(r) for r in graph.latest(edges, start, nodes).collect()] == [(1000, 3000)]
+
+
 def test_allocations(spark):
     g = spark.createDataFrame([("a", 0.9, 1), ("b", 0.5, 2), ("c", 0.4, 3)], "number string, best double, rank int")
     assert {r["number"]: r["slots"] for r in retrieval.allocations(g, 12).collect()} == {"a": 8, "b": 2, "c": 2}
