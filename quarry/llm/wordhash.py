@@ -56,6 +56,11 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def is_space(buf: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return _SPACE[buf]
+
+
 def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every word of a byte array."""
     inside = np.empty(len(buf) + 2, dtype=np.int8)

@@ -247,9 +247,43 @@ def test_sequences_are_padded(spark):
     assert [(r["n_tokens"], len(r["ids"]), r["padding"]) for r in out] == [(7, 16, 9)]
 
 
+ODD = ["", " ", "don't stop! it's é.à İstanbul <|endoftext|> x<|ENDOFTEXT|>. a<|endoftext|>b.", "A.B. é. क़. ÅNG, ÀÉ!! 'tis 12,5% x#1.  y z ﬁ. ß. ×.", "a" * 300_000, "日本語。 한국어. "]
+
+
+@pytest.mark.parametrize("vocabulary", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_tokenizer(monkeypatch, vocabulary):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 40)
+    encoder = packing.Encoder(public_tokenizers.path(vocabulary))
+    texts = ODD + [f"Some words{i} of {i}, and WORDS!! of {i % 7}." for i in range(60)]
+    for some in ([t] for t in texts):
+        ids, ends = encoder.encode([t.encode() for t in some], 1)
+        assert ids.tolist() == [i for t in some for i in [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1]]
+        assert ends[-1] == len(ids)
+    ids, ends = encoder.encode([t.encode() for t in texts], 1)
+    assert np.diff(ends, prepend=0).tolist() == [len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+
+
+def test_encoder_tells_words_of_one_hash_apart(monkeypatch):
+    encoder = packing.Encoder(packing.vocabulary_path())
+    monkeypatch.setattr(packing.H, "hash_spans", lambda buf, starts, ends: np.ones(len(starts), dtype=np.uint64))
+    for text in ("word", "other words", "word"):
+        assert encoder.encode([text.encode()], 1)[0].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_packing_groups_whole_documents_and_splits_repeated_ids(spark):
+    rows = [(None, "the same words again and again"), (7, "the same words again and again")] * 400 + [(8, "w " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = packing.pack(packing.pieces(df, packing.vocabulary_path(), with_ids=False), 2048, 100).collect()
+    groups = Counter(r["sequence_id"] // packing.GROUP_BINS for r in out if r["doc_id"] != 8)
+    assert len(groups) == 8 and max(groups.values()) < 200
+    assert len({r["sequence_id"] // packing.GROUP_BINS for r in out if r["doc_id"] == 8}) == 1
+
+
 def test_first_fit_decreasing_equals_a_plain_loop():
     rng = np.random.default_rng(1)
-    lengths = rng.integers(1, 100, 300)
+    lengths = rng.integers(1, 101, 300)
     free, want = [], np.zeros(300, dtype=int)
     for i in np.argsort(-lengths, kind="stable"):
         b = next((k for k, f in enumerate(free) if f >= lengths[i]), len(free))
