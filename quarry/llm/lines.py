@@ -1,15 +1,15 @@
 """Line dedup (operator 4): a log-template tree; templates that recur across documents are dropped.
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, where a
-token with a digit counts as a variable field.  At the leaf it belongs to the template of all its
-tokens with variable fields masked, and, in lines of LONG tokens or more, to two wider templates that
-agree in the first or in the second half of the other tokens, so that words may vary too.
-
-A template recurs if enough documents hold it that are no copies of each other.  Mostly its neighbourhoods
-(the lines before and after) show it: there are enough of them, and they are most of its occurrences.
-Lines within a repeated block, lines that a text repeats and lines of much copied documents have fewer;
-for these the near-duplicate classes of the texts that hold them are counted.  So copies and near copies
-of a document are one, and are left to document dedup.
+token with a digit counts as a variable field.  At the leaf it belongs to the template of all its tokens
+with such fields masked.  Lines of one leaf are merged into a wider template where enough of their tokens
+agree: the tokens after the leading ones lie in up to PARTS parts, and lines that agree in all but one
+part share the template in which that part is a field.  So names and words may vary too, and a leaf of
+any size is merged by grouping, without comparing its lines with each other.
+
+A template recurs if texts of enough near-duplicate classes hold it.  Copies and near copies of a document
+are one class, however many there are, and are left to document dedup; a line that a text repeats counts
+once.
 """
 
 from __future__ import annotations
@@ -25,25 +25,25 @@ from quarry.llm import wordhash as H
 from quarry.llm.common import by_column, discard, materialize, texts_of
 from quarry.llm.minhash import near_duplicates
 
-#: Leading tokens of the tree, least tokens of a template and of the wider templates, and the least
-#: number of neighbourhoods or of near-duplicate classes.
-DEPTH, SHORT, LONG, RECUR = 3, 3, 12, 10
+#: Leading tokens of the tree, least tokens of a template, parts of the other tokens, least tokens that a
+#: merged template has outside its field, and the least number of near-duplicate classes.
+DEPTH, SHORT, PARTS, AGREE, RECUR = 2, 3, 4, 4, 10
 #: Templates that are sent to every task (8 bytes each); beyond that they are joined.
 MOST_KEYS = 1_000_000
 _FIELD = H.constant("variable field")
 
 
-def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, line, key, neighbourhood) of each template of each line that has any; a text's line
-    numbers count newlines from 0."""
+def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, line, key) of each template of each line that has any; a text's line numbers count
+    newlines from 0."""
     parts = []
     for a, b in H.blocks(texts):
         buf, starts, ends, h, first = H.words(texts[a:b])
         if not len(h):
             continue
-        digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57))])
-        raw, h = h, np.where(digits[ends] > digits[starts], _FIELD, h)
-        newlines = np.concatenate([[0], np.cumsum(buf == 10)])
+        digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57), dtype=np.int32)])
+        h = np.where(digits[ends] > digits[starts], _FIELD, h)
+        newlines = np.concatenate([[0], np.cumsum(buf == 10, dtype=np.int32)])
         doc = np.repeat(np.arange(b - a), np.diff(first))
         offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
         line = newlines[starts] + doc  # a text begins a line
@@ -52,28 +52,26 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         place = np.arange(len(h)) - np.repeat(begin, count)
         power = np.full(int(count.max()), H.constant("place"), dtype=np.uint64)
         power[0] = 1
-        np.multiply.accumulate(power, out=power)
         with np.errstate(over="ignore"):
+            np.multiply.accumulate(power, out=power)
             term = h * power[place]
-            total = lambda mask: np.add.reduceat(np.where(mask, term, H.U64(0)), begin)  # noqa: E731, B023
-            sizes = np.repeat(count, count)
-            half = DEPTH + (sizes - DEPTH) // 2
-            all_, lead = np.add.reduceat(term, begin), total(place < DEPTH)
-            n = count.astype(np.uint64)
+            tail = np.maximum(0, count - DEPTH)
+            some = np.repeat(np.minimum(PARTS, tail), count)
+            part = np.where(place < DEPTH, -1, (place - DEPTH) * some // np.maximum(1, np.repeat(tail, count)))
+            change = np.append(True, (part[1:] != part[:-1]) | (line[1:] != line[:-1]))
+            cut = np.flatnonzero(change)
+            sums, of, size = np.add.reduceat(term, cut), np.repeat(np.arange(len(begin)), count)[cut], np.diff(np.append(cut, len(h)))
+            all_, n = np.add.reduceat(term, begin), count.astype(np.uint64)
             exact = H.mix(all_ + n * H.constant("exact"))
-            as_is = H.mix(np.add.reduceat(raw * power[place], begin))
-            halves = [H.mix(lead * H.constant(f"lead {k}") + H.mix(total(m) + n * H.constant(f"half {k}"))) for k, m in enumerate(((place >= DEPTH) & (place < half), place >= half))]
+            wide = np.flatnonzero((part[cut] >= 0) & (count[of] - size >= AGREE))
+            merged = H.mix(H.mix(all_[of[wide]] - sums[wide]) + n[of[wide]] * H.constant("merged") + part[cut[wide]].astype(np.uint64))
         own = doc[begin]
-        apart = own[1:] != own[:-1]
-        before, after = np.append(H.U64(0), np.where(apart, H.U64(0), as_is[:-1])), np.append(np.where(apart, H.U64(0), as_is[1:]), H.U64(0))
-        with np.errstate(over="ignore"):
-            around = H.mix(before * H.constant("before") + after * H.constant("after"))
         number = newlines[starts[begin]] - newlines[offset[own]]
-        for keys, least in ((exact, SHORT), (halves[0], LONG), (halves[1], LONG)):
-            use = count >= least
-            parts.append((own[use] + a, number[use], keys[use], around[use]))
+        use = np.flatnonzero(count >= SHORT)
+        rows = np.concatenate([use, of[wide]])
+        parts.append((own[rows] + a, number[rows], np.concatenate([exact[use], merged])))
     if not parts:
-        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, dtype=t) for t in (np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -83,62 +81,59 @@ def known_keys(keys: DataFrame, most_keys: int) -> np.ndarray | None:
 
 
 def recurring(docs: DataFrame, recur: int, most_keys: int = MOST_KEYS) -> DataFrame:
-    """(key) of the templates that recur in docs (id, th, text).
+    """(key) of the templates that texts of ``recur`` near-duplicate classes hold; docs: (th, text).
 
-    A row for each template of a line; both groupings are pre-aggregated, so a line that a third of all
-    documents hold is a few rows of each task.
+    A text counts once, whatever it repeats and however many documents are copies of it.  Occurrences are
+    counted first, pre-aggregated; only templates with ``recur`` of them, and then in as many different
+    texts, and only the texts that hold these, are looked at further.  Classes are those of texts linked
+    with the hubs of their buckets.
     """
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, _, key, around = templates(texts_of(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(key.astype(np.int64)), pa.array(around.astype(np.int64))], names=["doc", "key", "around"])
-
-    found = docs.select(F.xxhash64("id", "th").alias("doc"), "text").mapInArrow(emit, "doc long, key long, around long")
-    places = found.groupBy("key", "around").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
-    places = places.groupBy("key", "doc").agg(F.sum("n").alias("n"))  # neighbourhoods first met in one document count once
-    often = places.groupBy("key").agg(F.count("*").alias("places"), F.sum("n").alias("n")).where(f"n >= {recur}")
-    often = materialize(often.select("key", F.expr(f"places >= {recur} and 2 * places >= n").alias("settled")), "often")
-    settled = often.where("settled").select("key")
-    return settled.unionByName(recurring_by_class(docs, often.where("not settled").select("key"), recur, most_keys))
-
-
-def recurring_by_class(docs: DataFrame, keys: DataFrame, recur: int, most_keys: int) -> DataFrame:
-    """Those of the templates (key) that texts of ``recur`` near-duplicate classes hold.
+            _, _, key = templates(texts_of(batch.column(0)))
+            key, n = np.unique(key.astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    A text counts once, whatever it repeats and however many documents are copies of it.  Only texts
-    that hold one of the templates, and only templates in ``recur`` different texts, are looked at.
-    """
+    often = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n >= {recur}").select("key")
+    keys = materialize(often, "often")
     known = known_keys(keys, most_keys)
     if known is not None and not len(known):
         return keys
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, _, key, _ = templates(texts_of(batch.column(1)))
+            text, _, key = templates(texts_of(batch.column(1)))
             key = key.astype(np.int64)
             if known is not None:
-                hit = np.isin(key, known)
+                hit = np.flatnonzero(_among(key, known))
                 text, key = text[hit], key[hit]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(key)], names=["th", "key"])
 
-    held = docs.select("th", "text").mapInArrow(emit, "th long, key long")
+    held = docs.select("th", "text").mapInArrow(hold, "th long, key long")
     held = held if known is not None else held.join(keys, "key", "left_semi")
     held = materialize(held.select("th", "key").distinct(), "held")
     enough = held.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {recur}").select("key")
     few = materialize(held.join(enough, "key", "left_semi"), "held")
-    discard(held)
+    discard(keys, held)
     if few.isEmpty():
         return few.select("key")
     texts = docs.select("th", "text").join(few.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
     texts = materialize(texts, "texts")
-    classes = near_duplicates(texts, id_col="th").select(F.col("doc_id").alias("th"), "component_id")
+    classes = near_duplicates(texts, id_col="th", by_hubs=True).select(F.col("doc_id").alias("th"), "component_id")
     out = few.join(classes, "th").select("key", "component_id").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    out = materialize(out.where(f"n >= {recur}").select("key"), "by_class")
+    out = materialize(out.where(f"n >= {recur}").select("key"), "recurring")
     discard(few, texts)
     return out
 
 
+def _among(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among the known, sorted ones."""
+    if not len(known):
+        return np.zeros(len(key), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+
+
 def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MOST_KEYS) -> DataFrame:
     """The columns of documents (doc_id, text and any others), with the text's remaining lines, and
     n_lines and n_dropped.
@@ -151,12 +146,12 @@ def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MO
     docs = documents.select(*(F.col(f"`{c}`") for c in names)).toDF(*(f"c{i}" for i in range(len(names))))
     at = names.index("text")
     docs = docs.withColumn("id", F.col(f"c{names.index('doc_id')}").cast("long")).withColumn("th", F.xxhash64(f"c{at}"))
-    often = materialize(recurring(docs.select("id", "th", F.col(f"c{at}").alias("text")), recur, most_keys), "recurring")
+    often = recurring(docs.select("th", F.col(f"c{at}").alias("text")), recur, most_keys)
     known = known_keys(often, most_keys)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, line, key, _ = templates(texts_of(batch.column(2)))
+            text, line, key = templates(texts_of(batch.column(2)))
             ids = pa.array(text)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(ids), batch.column(1).take(ids), pa.array(line.astype(np.int32)), pa.array(key.astype(np.int64))], names=["id2", "th2", "line", "key"])
 
@@ -167,8 +162,8 @@ def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MO
                 gone = [set(x or ()) for x in batch.column(1).to_pylist()]
             else:
                 gone = [set() for _ in texts]
-                text, line, key, _ = templates([t or b"" for t in texts])
-                hit = np.flatnonzero(np.isin(key.astype(np.int64), known))
+                text, line, key = templates([t or b"" for t in texts])
+                hit = np.flatnonzero(_among(key.astype(np.int64), known))
                 for i, k in zip(text[hit].tolist(), line[hit].tolist(), strict=True):
                     gone[i].add(k)
             n = [0 if t is None else t.count(b"\n") + 1 for t in texts]

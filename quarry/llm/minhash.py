@@ -169,14 +169,26 @@ def across(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
     return out
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _missed(members: DataFrame, label: DataFrame, docs: DataFrame, first: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between sets of one bucket that the hubs left in different components."""
+    labelled = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    labelled = materialize(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    left = materialize(labelled.join(mixed, "key", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c")), "left")
+    discard(labelled)
+    rest = materialize(across(left, docs, words, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    return confirmed(rest, docs, words, percent)
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_hubs: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents.
 
     Components of links at percent of Jaccard similarity on shingles of ``words`` words, letters A-Z in
     lower case.  Null, empty and white-space texts have no shingles, link with nothing and are kept.
     Rows that repeat an id count as copies of one document if their texts agree; each row is returned.
     A row without an id belongs to the component of the equal texts with one; without such it has a null
-    component and no say about keeping.
+    component and no say about keeping.  With ``by_hubs`` only links with the hubs of a set's buckets are
+    followed, which is enough where classes serve for counting.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = materialize(sketch_table(docs, words), "sketches")
@@ -194,14 +206,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     first = materialize(first.select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b")).distinct(), "pairs")
     links = confirmed(first, docs, words, percent)
     label = components(links)
-    labelled = members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    labelled = materialize(labelled, "labelled")
+    if not by_hubs:
+        label = components(links.unionByName(_missed(members, label, docs, first, words, percent)))
     discard(members)
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = materialize(labelled.join(mixed, "key", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c")), "left")
-    discard(labelled)
-    rest = materialize(across(left, docs, words, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    label = components(links.unionByName(confirmed(rest, docs, words, percent)))
     named = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     full = table.where("n_shingles > 0").join(named, ["set_a", "set_b", "n_shingles"])
     out = full.select("doc_id", "n_shingles", "component_id").unionByName(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
