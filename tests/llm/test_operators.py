@@ -478,11 +478,59 @@ def test_leaks_of_questions_with_long_answers(spark):
     assert got == {(d + i, i) for i in range(40) for d in (0, 100)}
 
 
+def test_leaks_far_apart(spark):
+    q, a = own_lines(1, 1)[0], " ".join(own_lines(2, 3))
+    between = " ".join(own_lines(3, 40))
+    items = spark.createDataFrame([(1, q, a)], "item_id long, question string, answer string")
+    words = f"{q} {a}".split()
+    rows = [(1, f"{q} {between} {a}"), (2, f"{a} {between} {q}"), (3, f"{between} {a}"), (4, " ".join(f"{' '.join(words[k : k + 5])} {between}" for k in range(0, len(words), 5)))]
+    got = {r["doc_id"] for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).where("size(leaks) > 0").collect()}
+    assert got == {1, 2}
+
+
+def test_wand_equals_scoring_all_items_and_skips():
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    draw = lambda n: " ".join(vocabulary[int(3000 * x**4)] for x in rng.random(n))
+    items = [(i, draw(rng.integers(1, 50)), draw(rng.integers(0, 12))) for i in range(700)] + [(700, "", "")]
+    index = decontamination.Index(items)
+    for k in range(60):
+        text = draw(60) if k % 3 else " ".join(f"{q} {a}" for _, q, a in items[k : k + 3])
+        terms = np.unique(np.flatnonzero(np.isin(index.terms, index._words(text.encode()))))
+        score = np.zeros(len(items))
+        for t in terms:
+            score[index.lists[t][0]] += index.lists[t][1]
+        want = {i: score[i] for i in np.flatnonzero(score >= index.threshold)}
+        got = dict(index.wand(terms.tolist()))
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in got)
+    assert index.seen["scored"] < index.seen["postings"] / 4
+
+
+def test_few_passages_enter_the_loop(spark, docs, data):
+    items = [(r["item_id"], *decontamination.split_item(r["text"])) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    index = decontamination.Index(items)
+    index.search([(r["text"] or "").encode() for r in docs.collect()])
+    assert 0 < index.seen["entering"] < index.seen["passages"] / 5
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_threshold_is_what_missing_words_leave(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 11))
+    size, lacking, weights = min(3, n), int(rng.integers(0, n)), rng.random(n).tolist()
+    best = 0.0
+    for m in range(1 << n):
+        gone = [i for i in range(n) if m >> i & 1]
+        if sum(any(j <= i < j + size for i in gone) for j in range(n - size + 1)) <= lacking:
+            best = max(best, sum(weights[i] for i in gone))
+    assert decontamination._heaviest(weights, lacking, size) == pytest.approx(best)
+
+
 def test_leaks_in_several_indexes(spark, data, docs, monkeypatch):
     items = spark.read.parquet(f"{data}/benchmark.parquet")
     pairs = lambda: {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, items).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.item_id").collect()}
     one = pairs()
-    monkeypatch.setattr(decontamination.indexes, "__defaults__", (15, 0.5))
+    monkeypatch.setattr(decontamination.indexes, "__defaults__", (15, 0.75))
     assert pairs() == one
 
 
