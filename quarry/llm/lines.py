@@ -41,12 +41,11 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         buf, starts, ends, h, first = H.words(texts[a:b])
         if not len(h):
             continue
-        digits = np.concatenate([[0], np.cumsum((buf >= 48) & (buf <= 57), dtype=np.int32)])
-        h = np.where(digits[ends] > digits[starts], _FIELD, h)
-        newlines = np.concatenate([[0], np.cumsum(buf == 10, dtype=np.int32)])
+        h[np.searchsorted(starts, np.flatnonzero(buf - 48 < 10), side="right") - 1] = _FIELD  # words with a digit
+        newlines = np.flatnonzero(buf == 10)
         doc = np.repeat(np.arange(b - a), np.diff(first))
         offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
-        line = newlines[starts] + doc  # a text begins a line
+        line = np.searchsorted(newlines, starts) + doc  # a text begins a line
         begin = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
         count = np.diff(np.append(begin, len(h)))
         place = np.arange(len(h)) - np.repeat(begin, count)
@@ -66,7 +65,7 @@ def templates(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             wide = np.flatnonzero((part[cut] >= 0) & (count[of] - size >= AGREE))
             merged = H.mix(H.mix(all_[of[wide]] - sums[wide]) + n[of[wide]] * H.constant("merged") + part[cut[wide]].astype(np.uint64))
         own = doc[begin]
-        number = newlines[starts[begin]] - newlines[offset[own]]
+        number = np.searchsorted(newlines, starts[begin]) - np.searchsorted(newlines, offset[own])
         use = np.flatnonzero(count >= SHORT)
         rows = np.concatenate([use, of[wide]])
         parts.append((own[rows] + a, number[rows], np.concatenate([exact[use], merged])))
