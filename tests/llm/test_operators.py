@@ -569,3 +569,32 @@ def test_embeddings_nothing(spark):
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_embeddings_of_several_lengths_without_ids_and_in_doubles(spark):
+    e = [1.0, 0.0, 0.0]
+    rows = [(1, e), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.001]), (5, [1e300, 0.0, 1e290]), (6, [1.0]), (None, e), (None, [0.0, 0.0, 1.0]), (7, [0.0, 1.0, 0.0]), (7, [0.0, 0.0, -1.0]), (8, [0.0, 1.0, 0.02]), (9, [0.0, 0.0, -2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"h": F.lit(0), "node": F.lit("x"), "a.b": F.lit(1)})
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect())
+    want = [(1, 3, 1, True), (2, 3, 1, False), (5, 3, 1, False), (None, 3, 1, False), (None, 0, None, False), (3, 1, 3, True), (4, 1, 3, False), (6, 0, 6, True), (7, 1, 7, True), (8, 1, 7, False), (7, 1, 7, True), (9, 1, 7, False)]
+    assert got == sorted((str(i), *x) for i, *x in want)
+
+
+def test_embeddings_in_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "TILE", 4)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(150, 24)) * np.linspace(3, 0.1, 24)
+    x = np.concatenate([base, base[:60] + rng.normal(scale=0.05, size=(60, 24)), base[:1] + rng.normal(scale=0.02, size=(120, 24))])
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T >= 0.95).sum(1) - 1).tolist()))
+
+
+def test_sketches_never_lie_further_apart_than_vectors():
+    rng = np.random.default_rng(7)
+    x = embeddings._unit(rng.normal(size=(200, 40)))
+    y = embeddings._unit(x + rng.normal(scale=rng.choice([0.001, 0.03, 0.1], (200, 1)), size=x.shape))
+    axes = np.linalg.qr(rng.normal(size=(40, 16)))[0]
+    apart = np.linalg.norm((embeddings._sketch(x, axes).astype(float) - embeddings._sketch(y, axes)) / embeddings.STEPS, axis=1)
+    assert (apart <= [embeddings._reach(e, 17) for e in np.linalg.norm(x - y, axis=1)]).all()
