@@ -1,20 +1,22 @@
 """Substring dedup (operator 5): prefix-partitioned suffix trees over repeated windows of words.
 
-A window is W consecutive words of one document.  Of the K-word prefixes inside it the one with the
-least hash is its anchor, so equal windows have equal anchors.  Anchors whose K words occur once in all
-documents cannot lie in a repeated window and are dropped.  The other anchors partition the suffixes
-(the windows, by the words from their start) by their anchor's words: a partition holds for each of
-its anchors the words around it, equal surroundings once with their number.  In a partition of at most
-GROUP different surroundings the suffixes are sorted, and the nodes of their tree at a depth of W words
-are the runs of suffixes that agree in W words; a node of two or more leaves is a repeat.  Partitions
-that are larger are split by the longest prefix, all W words, where a node is a group and its leaves
-are counted.  So no task holds more than GROUP surroundings of one prefix, however often it occurs.
+A window is W consecutive words of one document; the suffixes that matter are those that start one.  Of
+the K-word prefixes inside a window the one with the least hash is its anchor, so equal windows have equal
+anchors.  Anchors whose K words occur once in all documents cannot lie in a repeated window and are
+dropped.  The other anchors partition the suffixes by a prefix of K words: a partition holds for each of
+its anchors the words around it, equal surroundings once with their number.
+
+A partition of more than GROUP different surroundings is split by longer prefixes of the suffixes
+themselves, of the lengths in LONGER in turn, until what shares a prefix fits into memory; at the last
+length, W words, all leaves of a group are equal and need only be counted.  In every other partition the
+suffixes are sorted by their words and the longest common prefixes of neighbours give the inner nodes of
+their tree; a suffix below a node that is W words deep or more starts a repeated window.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from quarry.llm import wordhash as H
 from quarry.llm.common import by_column, discard, materialize, texts_of
 
-#: Words in an anchor, and the different surroundings of an anchor that one tree is built of.
-K, GROUP = 12, 256
+#: Words in an anchor, the most surroundings or suffixes of one prefix that a tree is built of, and the
+#: lengths of prefixes, as shares of a window, that larger groups are split by.
+K, GROUP, LONGER = 12, 2048, (0.5, 0.75, 1.0)
 _SEGMENT = 1 << 19
 _MASK = np.uint64((1 << 20) - 1)
 
@@ -60,6 +63,38 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def tree(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix tree of some suffixes (a row of word hashes each): their order as leaves, and the depth of
+    the lowest inner node above each leaf and the next."""
+    _, rank = np.unique(words, return_inverse=True)
+    rank = rank.reshape(words.shape).astype(np.uint64)
+    bits = max(1, int(rank.max(initial=0)).bit_length())
+    some, keys = 64 // bits, []
+    for i in range(0, words.shape[1], some):  # several words in a sort key
+        key = np.zeros(len(words), dtype=np.uint64)
+        for j in range(i, min(i + some, words.shape[1])):
+            key = (key << np.uint64(bits)) | rank[:, j]
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    same = rank[order[1:]] == rank[order[:-1]]
+    return order, np.where(same.all(axis=1), words.shape[1], np.argmin(same, axis=1))
+
+
+def deep_leaves(words: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Which suffixes lie below an inner node as deep as the rows are long.
+
+    path: a hash of each row; a suffix whose hash no other has cannot, and stays out of the tree.
+    """
+    _, of, n = np.unique(path, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(n[of] > 1)
+    deep = np.zeros(len(words), dtype=bool)
+    if len(some):
+        order, depth = tree(words[some])
+        node = np.flatnonzero(depth == words.shape[1])
+        deep[some[order[node]]] = deep[some[order[node + 1]]] = True
+    return deep
+
+
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, th, pos, mask) lists of anchors in each text with the repeated windows around them.
 
@@ -86,10 +121,11 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
     # a text's anchors of the same words are one row, however often a text repeats itself
     anchors = materialize(docs.mapInArrow(find, "key long, doc_id long, th long, pos array<int>"), "anchors")
-    twice = anchors.groupBy("key").agg(F.sum(F.size("pos")).alias("n")).where("n > 1").select("key")
+    # written, so that the join reads two plain exchanges, of which Spark can split a frequent key's
+    twice = materialize(anchors.groupBy("key").agg(F.sum(F.size("pos")).alias("n")).where("n > 1").select("key"), "twice")
     held = anchors.join(twice, "key").groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pos")))).alias("at"))
     held = materialize(held, "held")
-    discard(anchors)
+    discard(anchors, twice)
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "th", "pos", "key", "ca", "cb", "nl", "own", "words"]
@@ -144,75 +180,98 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         m[row, np.arange(len(h)) - first[row] + (left - nl)[row]] = h
         return m, np.asarray(batch.column("n")), np.asarray(batch.column("own"))
 
-    def paths(m: np.ndarray, own: np.ndarray, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """l, rows with that window, and the hash of its words."""
+    def suffixes(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and l of each window whose anchor a surrounding's is."""
+        at, row = np.nonzero((own[None, :] >> np.arange(left + 1)[:, None]) & 1)
+        return row, at
+
+    def paths(words: np.ndarray, length: int, name: str) -> np.ndarray:
+        """A hash of the first words of each suffix."""
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(words), dtype=np.uint64)
+            for j in range(length):
+                total += words[:, j] * H.constant(f"path {name} {j}")
+        return H.mix(total)
+
+    def below(table: pa.Table) -> pa.RecordBatch:
+        m, n, own = matrix(table)
+        row, at = suffixes(own)
+        path = np.empty(len(row), dtype=np.uint64)
+        cuts = np.searchsorted(at, np.arange(left + 2))
         for l in range(left + 1):
-            rows = np.flatnonzero((own >> l) & 1)
-            if len(rows):
-                with np.errstate(over="ignore"):
-                    total = np.zeros(len(rows), dtype=np.uint64)
-                    part = m[rows, left - l : left - l + window]
-                    for j in range(window):
-                        total += part[:, j] * H.constant(f"path {name} {j}")
-                yield l, rows, H.mix(total)
-
-    def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def nodes(table: pa.Table) -> pa.RecordBatch:
-            m, n, own = matrix(table)
-            found = list(paths(m, own, "a"))
-            row = np.concatenate([r for _, r, _ in found])
-            at = np.concatenate([np.full(len(r), l) for l, r, _ in found])
-            order = np.argsort(np.concatenate([p for _, _, p in found]), kind="stable")
-            path = np.concatenate([p for _, _, p in found])[order]
-            row, at = row[order], at[order]
-            next_ = np.flatnonzero(path[1:] == path[:-1])
-            columns = np.arange(window)
-            same = (m[row[next_][:, None], left - at[next_][:, None] + columns] == m[row[next_ + 1][:, None], left - at[next_ + 1][:, None] + columns]).all(axis=1)
-            deep = n[row] > 1
-            deep[next_[same]] = deep[next_[same] + 1] = True
-            mask = np.zeros(table.num_rows, dtype=np.int64)
-            np.bitwise_or.at(mask, row[deep], np.int64(1) << at[deep])
-            return pa.RecordBatch.from_arrays([table["ca"].combine_chunks(), table["cb"].combine_chunks(), pa.array(mask.astype(np.int32))], names=["ca", "cb", "mask"])
+            some = slice(cuts[l], cuts[l + 1])
+            path[some] = paths(m[row[some], left - l : left - l + window], window, "a")
+        _, of, count = np.unique(path, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(count[of] > 1)
+        deep = n[row] > 1
+        deep[some] |= deep_leaves(m[row[some][:, None], (left - at[some])[:, None] + np.arange(window)], path[some])
+        mask = np.zeros(table.num_rows, dtype=np.int64)
+        np.bitwise_or.at(mask, row[deep], np.int64(1) << at[deep])
+        return pa.RecordBatch.from_arrays([table["ca"].combine_chunks(), table["cb"].combine_chunks(), pa.array(mask.astype(np.int32))], names=["ca", "cb", "mask"])
+
+    lengths = sorted({min(window, max(K + 1, round(x * window))) for x in LONGER})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["ca", "cb", "bit", "n", "words", *(f"p{i}" for i in range(len(lengths))), "pb"]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                m, n, own = matrix(part)
+                row, at = suffixes(own)
+                words = m[row[:, None], (left - at)[:, None] + np.arange(window)]
+                ids = pa.array(row)
+                prints = [paths(words, k, "a") for k in lengths] + [paths(words, window, "b")]
+                yield pa.RecordBatch.from_arrays([part.column("ca").take(ids), part.column("cb").take(ids), pa.array((1 << at).astype(np.int32)), pa.array(n[row]), pa.array([w.tobytes() for w in words], pa.binary()), *(pa.array(x.astype(np.int64)) for x in prints)], names=names)
+
+    def below_longer(table: pa.Table) -> pa.RecordBatch:
+        words = np.frombuffer(b"".join(table["words"].to_pylist()), dtype=np.uint64).reshape(-1, window)
+        deep = deep_leaves(words, paths(words, window, "a")) | (np.asarray(table["n"]) > 1)
+        mask = np.where(deep, np.asarray(table["bit"]), 0)
+        return pa.RecordBatch.from_arrays([table["ca"].combine_chunks(), table["cb"].combine_chunks(), pa.array(mask.astype(np.int32))], names=["ca", "cb", "mask"])
+
+    columns = ["key", "ca", "cb", "nl", "own", "words", "n"]
+    masks = _by_group(several.where(f"size <= {GROUP}").select(columns), "key", below)
+    heavy = rest = materialize(several.where(f"size > {GROUP}").select(columns).mapInArrow(split, "ca long, cb long, bit int, n long, words binary, " + ", ".join(f"p{i} long" for i in range(len(lengths))) + ", pb long"), "suffixes")
+    for i in range(len(lengths) - 1):  # suffixes alone with their prefix are leaves at once
+        sizes = materialize(rest.groupBy(f"p{i}").agg(F.count("*").alias("size")).where("size > 1"), "prefixes")
+        grouped = rest.join(sizes, f"p{i}")
+        masks = masks.unionByName(_by_group(grouped.where(f"size <= {GROUP}").select(f"p{i}", "ca", "cb", "bit", "n", "words"), f"p{i}", below_longer))
+        rest = grouped.where(f"size > {GROUP}").drop("size")
+    whole = [f"p{len(lengths) - 1}", "pb"]
+    nodes = rest.groupBy(*whole).agg(F.sum("n").alias("leaves")).where("leaves > 1").select(*whole)
+    masks = masks.unionByName(rest.join(nodes, whole).select("ca", "cb", F.col("bit").alias("mask")))
+    masks = masks.unionByName(leaves.where("n > 1 and own <> 0").select("ca", "cb", F.col("own").alias("mask")))
+    masks = materialize(masks.where("mask <> 0").groupBy("ca", "cb").agg(F.bit_or("mask").alias("mask")), "masks")
+    hits = around.select("doc_id", "th", "pos", "ca", "cb").join(masks, ["ca", "cb"])
+    out = materialize(hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "mask")).alias("hits")), "hits")
+    discard(leaves, heavy, around, masks)
+    return out
+
 
+def _by_group(rows: DataFrame, key: str, below: Callable[[pa.Table], pa.RecordBatch], least: int = 2048) -> DataFrame:
+    """(ca, cb, mask) of below() over whole groups of a key, some groups at a time."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < 2048:
+            if sum(b.num_rows for b in held) < least:
                 continue
             table = pa.Table.from_batches(held)
-            keys = np.asarray(table["key"])
+            keys = np.asarray(table[key])
             cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
-            for i, j in _runs(keys[:cut]):
-                yield nodes(table.slice(i, j - i))
+            for i, j in _runs(keys[:cut], least):
+                yield below(table.slice(i, j - i))
             held = table.slice(cut).to_batches()
         if sum(b.num_rows for b in held):
             table = pa.Table.from_batches(held)
-            for i, j in _runs(np.asarray(table["key"])):
-                yield nodes(table.slice(i, j - i))
+            for i, j in _runs(np.asarray(table[key]), least):
+                yield below(table.slice(i, j - i))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                m, n, own = matrix(part)
-                for (l, rows, pa_), (_, _, pb) in zip(paths(m, own, "a"), paths(m, own, "b"), strict=True):
-                    ids = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(pa_.astype(np.int64)), pa.array(pb.astype(np.int64)), part.column("ca").take(ids), part.column("cb").take(ids), pa.array(np.full(len(rows), 1 << l, dtype=np.int32)), pa.array(n[rows])], names=["wa", "wb", "ca", "cb", "bit", "n"])
-
-    columns = ["key", "ca", "cb", "nl", "own", "words", "n"]
-    light = several.where(f"size <= {GROUP}").select(columns).repartition("key").sortWithinPartitions("key").mapInArrow(tree, "ca long, cb long, mask int")
-    heavy = materialize(several.where(f"size > {GROUP}").select(columns).mapInArrow(split, "wa long, wb long, ca long, cb long, bit int, n long"), "windows")
-    nodes = heavy.groupBy("wa", "wb").agg(F.sum("n").alias("leaves")).where("leaves > 1").select("wa", "wb")
-    deep = heavy.join(nodes, ["wa", "wb"]).groupBy("ca", "cb").agg(F.bit_or("bit").alias("mask"))
-    equal = leaves.where("n > 1 and own <> 0").select("ca", "cb", F.col("own").alias("mask"))
-    masks = light.unionByName(deep).unionByName(equal).where("mask <> 0").groupBy("ca", "cb").agg(F.bit_or("mask").alias("mask"))
-    hits = around.select("doc_id", "th", "pos", "ca", "cb").join(masks, ["ca", "cb"])
-    out = materialize(hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "mask")).alias("hits")), "hits")
-    discard(leaves, heavy, around)
-    return out
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(apply, "ca long, cb long, mask int")
 
 
-def _runs(keys: np.ndarray, least: int = 2048) -> list[tuple[int, int]]:
+def _runs(keys: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Ranges of at least that many rows (but the last) that end with a key's last row."""
     ends = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1 if len(keys) else []
     out, begin = [], 0

@@ -125,11 +125,30 @@ def test_substrings_equal_brute_force(request, which, monkeypatch):
     assert sorted(got, key=str) == sorted(brute_kept(rows, 35), key=str)
 
 
-def test_large_prefix_groups_are_split(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "GROUP", 4)
+@pytest.mark.parametrize("group", [1, 4, 20])
+def test_large_prefix_groups_are_split(spark, monkeypatch, group):
+    monkeypatch.setattr(substrings, "GROUP", group)
+    rng = np.random.default_rng(9)
     rows = [(i, " ".join([f"own{i}x{k}" for k in range(20)] + PASSAGE.split() + [f"more{i}x{k}" for k in range(20)])) for i in range(40)]
-    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {(r["n_words"], r["n_removed"]) for r in got.collect()} == {(90, 50)}
+    words = PASSAGE.split()
+    for i in range(40, 100):  # parts of the passage with one word changed, so that groups differ in their depth
+        w = list(words)
+        w[int(rng.integers(0, 50))] = f"other{i % 5}"
+        rows.append((i, " ".join([f"own{i}", *w[int(rng.integers(0, 8)) :], f"more{i}"])))
+    got = [tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256)).collect()]
+    assert sorted(got) == sorted(brute_kept(rows, 35)) and {r[2] for r in got if r[0] < 40} == {50}
+
+
+def test_tree_of_suffixes():
+    rng = np.random.default_rng(10)
+    words = rng.integers(0, 3, (200, 6)).astype(np.uint64)
+    order, depth = substrings.tree(words)
+    rows = [tuple(w) for w in words.tolist()]
+    assert [rows[i] for i in order] == sorted(rows)
+    want = [next((k for k in range(6) if x[k] != y[k]), 6) for x, y in zip(sorted(rows), sorted(rows)[1:], strict=False)]
+    assert depth.tolist() == want
+    seen = Counter(rows)
+    assert substrings.deep_leaves(words, np.array([hash(r) for r in rows])).tolist() == [seen[r] > 1 for r in rows]
 
 
 # ---- 4 ----------------------------------------------------------------------------------------
