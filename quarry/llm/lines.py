@@ -30,6 +30,7 @@ from quarry.llm.minhash import near_duplicates
 DEPTH, SHORT, PARTS, AGREE, RECUR = 2, 3, 4, 4, 10
 #: Templates that are sent to every task (8 bytes each); beyond that they are joined.
 MOST_KEYS = 1_000_000
+_BLANK = b" \t\n\v\f\r"
 _FIELD = H.constant("variable field")
 
 
@@ -133,13 +134,14 @@ def _among(key: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
 
 
-def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MOST_KEYS) -> DataFrame:
+def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MOST_KEYS, whole: bool = False) -> DataFrame:
     """The columns of documents (doc_id, text and any others), with the text's remaining lines, and
     n_lines and n_dropped.
 
     A null text stays null with no lines; a text without recurring lines stays as it is.  Rows that
     repeat an id and a text get the same result each.  Up to ``most_keys`` recurring templates go to
-    every task; more are joined to the lines.  Both ways give the same rows.
+    every task; more are joined to the lines.  Both ways give the same rows.  With ``whole`` a text that
+    would keep nothing but white space stays as it is, with n_dropped 0, so that no document is lost.
     """
     names = documents.drop("n_lines", "n_dropped").columns
     docs = documents.select(*(F.col(f"`{c}`") for c in names)).toDF(*(f"c{i}" for i in range(len(names))))
@@ -167,6 +169,9 @@ def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MO
                     gone[i].add(k)
             n = [0 if t is None else t.count(b"\n") + 1 for t in texts]
             out = [b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in g]) if g else t for t, g in zip(texts, gone, strict=True)]
+            if whole:
+                gone = [set() if g and t and not o.strip(_BLANK) else g for g, t, o in zip(gone, texts, out, strict=True)]
+                out = [o if g else t for o, t, g in zip(out, texts, gone, strict=True)]
             dropped = [len(g) for g in gone]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([t if t is None else t.decode() for t in out], pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[2:], "text", "n_lines", "n_dropped"])
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import by_column, materialize
+from quarry.llm.spans import apart, literal, matches
 
 # The kinds in their order, and the patterns of base spans.  The patterns are written
 # with possessive quantifiers and look-behinds, which match the same spans without backtracking or
@@ -53,21 +54,12 @@ CONTEXT = {
     "phone": r"phone|tel\b|tel[.:]|call|mobile|fax|cell|contact",
 }
 BEFORE = 30
-EMPTY = "cast(array() as array<struct<start:int,end:int,s:string>>)"
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,s:string>>"
+EMPTY = "cast(array() as array<struct<start:int,end:int,s:string,before:string,after:string>>)"
 
 
-def _literal(pattern: str) -> str:
-    return "r'" + pattern.replace("'", r"\x27") + "'"
-
-
-def _matches(text: str, pattern: str, needs: str) -> str:
-    """SQL: start, end and text of each match; positions are sums of the lengths of what came before."""
-    p = _literal(pattern)
-    pairs = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, m) -> struct(g, m))"
-    step = "named_struct('at', cast(a.at + length(x.g) + length(x.m) as int), 'out', concat(a.out, array(named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 's', x.m))))"
-    fold = f"aggregate(filter({pairs}, x -> x.m is not null), named_struct('at', 0, 'out', {EMPTY}), (a, x) -> {step}, a -> a.out)"
-    return f"case when rlike({text}, {_literal(needs)}) then {fold} else {EMPTY} end"
+def _matches(pattern: str, needs: str) -> str:
+    """SQL: the matches in column text, if it holds what the pattern needs."""
+    return f"case when rlike(text, {literal(needs)}) then {matches('text', pattern, BEFORE)} else {EMPTY} end"
 
 
 _DIGITS = r"regexp_replace(m.s, r'[^0-9]', '')"
@@ -81,28 +73,27 @@ VALID = {
 
 
 def _tagged(source: str, kind: str) -> str:
-    return f"transform({source}, m -> named_struct('start', m.start, 'rank', {KINDS.index(kind)}, 'end', m.end, 'kind', '{kind}', 's', m.s))"
+    return f"transform({source}, m -> named_struct('start', m.start, 'rank', {KINDS.index(kind)}, 'end', m.end, 'kind', '{kind}', 's', m.s, 'before', m.before, 'after', m.after))"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, base, more): base spans, and further candidates with their votes and features."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", *(F.expr(_matches("text", BASE[k], NEEDS[k])).alias(f"b_{k}") for k in KINDS), *(F.expr(_matches("text", WIDE[k], NEEDS[k])).alias(f"w_{k}") for k in KINDS))
+    rows = rows.select("doc_id", "text", *(F.expr(_matches(BASE[k], NEEDS[k])).alias(f"b_{k}") for k in KINDS), *(F.expr(_matches(WIDE[k], NEEDS[k])).alias(f"w_{k}") for k in KINDS))
     rows = rows.select("doc_id", "text", *(F.expr(_tagged(f"filter(b_{k}, m -> {VALID[k]})", k)).alias(f"b_{k}") for k in KINDS), *(F.expr(_tagged(f"w_{k}", k)).alias(f"w_{k}") for k in KINDS))
-    rows = rows.select("doc_id", "text", F.expr("array_sort(concat(" + ", ".join(f"b_{k}" for k in KINDS) + "))").alias("base"), F.expr("concat(" + ", ".join(f"w_{k}" for k in KINDS) + ")").alias("wide"))
-    before = f"lower(substring(text, greatest(1, m.start - {BEFORE - 1}), least(m.start, {BEFORE})))"
+    rows = rows.select("doc_id", F.expr("array_sort(concat(" + ", ".join(f"b_{k}" for k in KINDS) + "))").alias("base"), F.expr("concat(" + ", ".join(f"w_{k}" for k in KINDS) + ")").alias("wide"))
     vote = lambda table: "case m.kind " + " ".join(f"when '{k}' then {table(k)}" for k in KINDS) + " end"
-    gazetteer = vote(lambda k: f"rlike(lower(m.s), {_literal(GAZETTEER[k])})")
-    context = vote(lambda k: f"rlike({before}, {_literal(CONTEXT[k])})")
+    gazetteer = vote(lambda k: f"rlike(lower(m.s), {literal(GAZETTEER[k])})")
+    context = vote(lambda k: f"rlike(lower(m.before), {literal(CONTEXT[k])})")
     features = {
         "size": f"cast(least(9, length({_DIGITS}) div 2) as string)",
         "form": "case when rlike(m.s, r'[\\[(]') then 'bracket' when rlike(m.s, r'[0-9][ -][0-9]') then 'grouped' when rlike(m.s, ' ') then 'spaced' else 'solid' end",
-        "before": "case when m.start = 0 then 'none' when rlike(substring(text, m.start, 1), r'\\s') then 'space' when rlike(substring(text, m.start, 1), '[A-Za-z0-9]') then 'word' else 'mark' end",
-        "after": "case when m.end >= length(text) then 'none' when rlike(substring(text, m.end + 1, 1), r'\\s') then 'space' when rlike(substring(text, m.end + 1, 1), '[A-Za-z0-9]') then 'word' else 'mark' end",
+        "before": "case when m.start = 0 then 'none' when m.before = '' then 'match' when rlike(m.before, r'\\s$') then 'space' when rlike(m.before, '[A-Za-z0-9]$') then 'word' else 'mark' end",
+        "after": "case when m.after = '' then 'none' when rlike(m.after, r'\\s') then 'space' when rlike(m.after, '[A-Za-z0-9]') then 'word' else 'mark' end",
     }
     facts = lambda strict: f"named_struct('start', m.start, 'rank', m.rank, 'end', m.end, 'kind', m.kind, 'strict', {strict}, 'gazetteer', {gazetteer}, 'context', {context}, " + ", ".join(f"'{k}', {v}" for k, v in features.items()) + ")"
-    more = "filter(wide, m -> not exists(base, b -> b.start < m.end and m.start < b.end))"
-    return rows.select("doc_id", F.expr("transform(base, m -> named_struct('start', m.start, 'rank', m.rank, 'end', m.end, 'kind', m.kind))").alias("base"), F.expr(f"concat(transform(base, m -> {facts('true')}), transform({more}, m -> {facts('false')}))").alias("votes"))
+    rows = rows.select("doc_id", "base", F.expr(apart("wide", "base")).alias("more"))
+    return rows.select("doc_id", F.expr("transform(base, m -> named_struct('start', m.start, 'rank', m.rank, 'end', m.end, 'kind', m.kind))").alias("base"), F.expr(f"concat(transform(base, m -> {facts('true')}), transform(more, m -> {facts('false')}))").alias("votes"))
 
 
 FEATURES = ("size", "form", "before", "after", "context", "gazetteer")

@@ -1,8 +1,9 @@
 """Secret scans (operator 2): candidates by pattern, a random forest against false positives.
 
-Candidates are long runs of key characters, and private-key headers.  The forest judges a candidate by
-its length, the changes of character class along it, how much of it dictionary fragments cover,
-whether it stands in a path, and the words beside it.  It is trained on the driver on labelled
+Candidates are long runs of key characters, private-key headers, and values of any form that are assigned
+to a name of a secret.  The forest judges a candidate by its length, the transitions between its
+characters (changes of class, and pairs of letters that are frequent in words), how much of it dictionary
+fragments cover, whether it stands in a path, and the words beside it.  It is trained on the driver on labelled
 findings, and scores as a sum of nested CASE expressions, so documents are only touched by DataFrame
 functions.
 """
@@ -16,22 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import by_column
+from quarry.llm.spans import literal, matches
 
 #: Findings that the forest is trained on: a bound.  Trees, their depth and the least leaf.
 MAX_FINDINGS, TREES, DEPTH, LEAF = 20_000, 15, 5, 8
 #: Characters before a candidate that count as beside it.
 BESIDE = 40
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}+|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}+|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----|(?<=[\x22\x27:=\x20])(?<=(?i:passw(?:or)?d|pwd|secret|token|api.?key)[\x22\x27]?\x20?[:=]\x20?[\x22\x27]?)[^\s\x22\x27<>]{6,200}"
 # Fragments of dictionary words, words beside secrets and beside harmless identifiers.
 DICTIONARY = ("the", "and", "tion", "ing", "ment", "able", "name", "user", "test", "example", "sample", "value", "string", "data", "file", "image", "content", "version", "public", "class", "index", "table", "time", "date", "page", "local", "config", "install", "license", "your", "here", "with", "from", "that", "this", "have", "home", "work", "light", "heit", "keit", "ung", "sch", "ent", "eau", "ment", "ción", "ado")
 SECRET_WORDS = r"token|secret|passw|passwd|pwd|api.?key|apikey|auth|bearer|credential|private|access.?key|client.?key|signing"
 HARMLESS_WORDS = r"commit|sha1|sha256|md5|checksum|digest|hash|uuid|revision|integrity|etag|image|example|placeholder|fixture"
+PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "hi", "ri", "ro", "ic", "ne", "ra", "ch", "ie", "ei", "qu", "ue", "os", "la", "el", "un", "do", "ta", "mi", "au", "ge")
 CLASSES = ("[a-z]", "[A-Z]", "[0-9]", "[+/=_-]")
 
 #: The features as SQL over a candidate m (start, end, s) and the text around it.
 FEATURES = {
     "size": "cast(length(m.s) as double)",
     "changes": "cast(" + " + ".join(f"regexp_count(m.s, '{c}(?!{c})')" for c in CLASSES) + " as double) / length(m.s)",
+    "pairs": f"cast(regexp_count(lower(m.s), '(?=(?:{'|'.join(PAIRS)}))') as double) / length(m.s)",
     "digits": "length(regexp_replace(m.s, '[^0-9]', '')) / cast(length(m.s) as double)",
     "upper": "length(regexp_replace(m.s, '[^A-Z]', '')) / cast(length(m.s) as double)",
     "hex": "cast(rlike(m.s, '^(?:[0-9a-f]+|[0-9A-F]+)$') as double)",
@@ -39,6 +43,7 @@ FEATURES = {
     "dictionary": f"1D - length(regexp_replace(lower(m.s), '{'|'.join(DICTIONARY)}', '')) / cast(length(m.s) as double)",
     "repeat": "length(regexp_replace(m.s, r'(.)\\1{2,}', '')) / cast(length(m.s) as double)",
     "path": "cast(rlike(m.before, r'[/.\\\\]$') or regexp_count(m.s, '/') > 1 and regexp_count(m.s, '[a-z]{3,}/') > 1 as double)",
+    "wrapped": "cast(rlike(m.s, r'^[$%{(\\[<]|[})\\]>%]$|[*]{3}') as double)",
     "assigned": "cast(rlike(m.before, r'[:=]\\s*[\"\\x27]?$') as double)",
     "quoted": "cast(rlike(m.before, r'[\"\\x27`]$') and rlike(m.after, r'^[\"\\x27`]') as double)",
     "secret_word": f"cast(rlike(lower(m.before), '{SECRET_WORDS}') as double)",
@@ -52,12 +57,7 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
 
     A null or empty text has none.
     """
-    pattern = "r'" + CANDIDATE + "'"
-    pairs = f"zip_with(split(text, {pattern}, -1), regexp_extract_all(text, {pattern}, 0), (g, m) -> struct(g, m))"
-    step = "named_struct('at', cast(a.at + length(x.g) + length(x.m) as int), 'out', concat(a.out, array(named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.m), 's', x.m))))"
-    fold = f"aggregate(filter({pairs}, x -> x.m is not null), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,s:string>>)), (a, x) -> {step}, a -> a.out)"
-    around = f"transform({fold}, m -> named_struct('start', m.start, 'end', m.end, 's', m.s, 'before', substring(text, greatest(1, m.start - {BESIDE - 1}), least(m.start, {BESIDE})), 'after', substring(text, m.end + 1, 1)))"
-    some = docs.where(f"rlike(text, {pattern})").select(*keep, F.explode(F.expr(around)).alias("m"))
+    some = docs.where(f"rlike(text, {literal(CANDIDATE)})").select(*keep, F.explode(F.expr(matches("text", CANDIDATE, BESIDE))).alias("m"))
     return some.select(*keep, "m.start", "m.end", "m.s", *(F.expr(sql).alias(name) for name, sql in FEATURES.items()))
 
 
@@ -74,8 +74,9 @@ def synthetic_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Da
     prose = lambda: " ".join(word() for _ in range(rng.randint(2, 9)))
     name = lambda: rng.choice(["token", "secret", "password", "api_key", "apiKey", "AUTH_TOKEN", "access-key", "client_secret", "private_key"])
     sign = lambda: rng.choice([' = "', "=", ": ", ': "', "='"])
+    weak = lambda: word().capitalize() + rng.choice("!#$%&*?.") + take("0123456789", rng.randint(2, 4)) + rng.choice(["", "!", "$x"])
     body = lambda: rng.choice([take(hexes, rng.choice([32, 40, 64])), take(mixed, rng.randint(20, 64)), take(mixed + "+/", 40), rng.choice(["ghp_", "sk_live_", "AKIA", "xoxb-", "glpat-"]) + take(mixed, rng.randint(16, 36)), "eyJ" + take(mixed, 60)])
-    good = [lambda: f'{prose()} {name()}{sign()}{body()}" {prose()}', lambda: f"{prose()} Authorization: Bearer {body()} {prose()}", lambda: f"{prose()}\n-----BEGIN RSA PRIVATE KEY-----\n{prose()}", lambda: f"export {name().upper()}={body()}\n{prose()}"]
+    good = [lambda: f'{prose()} {name()}{sign()}{body()}" {prose()}', lambda: f"{prose()} Authorization: Bearer {body()} {prose()}", lambda: f"{prose()}\n-----BEGIN RSA PRIVATE KEY-----\n{prose()}", lambda: f"export {name().upper()}={body()}\n{prose()}", lambda: f"{prose()} {rng.choice(['password', 'passwd', 'pwd', 'db_password'])}{sign()}{weak()}\" {prose()}"]
     bad = [
         lambda: f"{prose()} commit {take(hexes, 40)} {prose()}",
         lambda: f"{prose()} sha256: {take(hexes, 64)} {prose()}",
@@ -88,9 +89,13 @@ def synthetic_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Da
         lambda: f"image: data/png;base64,{take(mixed + '+/', 80)} {prose()}",
         lambda: f"{prose()} {take('0123456789', rng.randint(16, 24))} {prose()}",
         lambda: f"{prose()} id={take(lower, 22)} {prose()}",
+        lambda: f"{prose()} the {name()}: {word()}{rng.choice(['', ',', '.'])} {prose()}",
+        lambda: f"{name()}{sign()}{rng.choice(['<%s>', '$' + '{%s}', '{{%s}}', '[%s]', '%%%s%%', '$%s']) % word().upper()}\" {prose()}",
+        lambda: f"{name()}{sign()}{rng.choice(['<your-token>', '$' + '{TOKEN}', 'null', 'changeme', '********', 'os.environ'])} {prose()}",
     ]
     rows = [(i, (make := rng.choice(good if (label := int(rng.random() < 0.45)) else bad))(), label) for i in range(n)]
-    return spark.createDataFrame(rows, "finding long, text string, label int")
+    quoted = [text.replace("\\", "\\\\").replace("'", "\\'") for _, text, _ in rows]
+    return spark.sql("select * from values " + ", ".join(f"({i}L, '{q}', {label})" for (i, _, label), q in zip(rows, quoted, strict=True)) + " as t(finding, text, label)")
 
 
 def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = DEPTH) -> tuple:

@@ -23,11 +23,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def parts(urls: DataFrame, url_col: str = "url") -> DataFrame:
     """The columns of urls with host and path; both are empty for a null url or one without ``://``."""
-    out = urls.drop("host", "path").withColumn("_url", F.col(f"`{url_col}`"))
-    rest = F.expr("case when instr(_url, '://') > 0 then substring(_url, instr(_url, '://') + 3) end")
+    rest = F.expr(f"case when instr(`{url_col}`, '://') > 0 then substring(`{url_col}`, instr(`{url_col}`, '://') + 3) end")
     host = F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), _UPPER, _LOWER)
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
-    return out.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))}).drop("_url")
+    return urls.drop("host", "path").withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
 
 
 def host_key(host: Column) -> Column:
@@ -59,7 +58,8 @@ def stacks(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
-    """The columns of urls with host, path, rule and verdict.
+    """The columns of urls, whatever their names, with host, path, rule and verdict (which replace any of
+    these names).
 
     rules: (action, host, path).  A rule fits its host and all subdomains if the url's path starts
     with its path.  Of those that fit the longest (host and path together, then host) wins; of equal
@@ -68,22 +68,25 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url_col: st
     """
     rules = rules.where("action is not null and host is not null and path is not null").select("action", F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.col("path").alias("rule_path"))
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("action").alias("action"))
-    split = parts(urls, url_col).drop("rule", "verdict")
+    names = urls.drop("host", "path", "rule", "verdict").columns
+    own = [f"c{i}" for i in range(len(names))]  # the input's names may be any
+    split = parts(urls.select(*(F.col(f"`{c}`") for c in names)).toDF(*own), own[names.index(url_col)])
     places = materialize(split.groupBy("host", "path").agg(F.first(host_key(F.col("host"))).alias("key")).where("host <> ''"), "places")
-    hosts = stacks(places.select("key").distinct(), rules.select(host_key(F.col("rule_host")).alias("prefix")).distinct())
+    # written before they are joined, so that Spark can split the rows of a frequent host or url
+    hosts = materialize(stacks(places.select("key").distinct(), rules.select(host_key(F.col("rule_host")).alias("prefix")).distinct()), "hosts")
     # a url's path under each of the rule hosts that hold for it: at most as many as its host has labels
     under = places.join(hosts.select("key", F.explode("stack").alias("outer")), "key").select("host", "path", F.concat("outer", F.lit("\x01"), "path").alias("key"))
     named = rules.withColumn("prefix", F.concat(host_key(F.col("rule_host")), F.lit("\x01"), "rule_path"))
     found = stacks(under.select("key").distinct(), named.select("prefix")).select("key", F.element_at("stack", -1).alias("prefix"))
     size = F.length(F.concat("rule_host", "rule_path"))
     best = under.join(found, "key").join(named, "prefix").groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("rule_host").alias("n"), F.concat("rule_host", "rule_path").alias("rule"), "action")).alias("best"))
-    out = split.join(best, ["host", "path"], "left")
-    return out.select(*(F.col(f"`{c}`") for c in split.columns), F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    out = split.join(materialize(best, "best"), ["host", "path"], "left")
+    return out.select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")).toDF(*names, "host", "path", "rule", "verdict")
 
 
 def op3_urls(spark, sf_dir) -> DataFrame:
     """Every page's url under RULES."""
-    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    rules = spark.sql("select * from values " + ", ".join(map(str, RULES)) + " as t(action, host, path)")
     return judge(by_column(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

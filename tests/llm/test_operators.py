@@ -230,6 +230,16 @@ def test_lines_repeated_within_texts_and_in_copies(spark):
     assert all(out[2000 + i] == body(2000) for i in range(200))
 
 
+def test_lines_of_texts_that_would_lose_all(spark):
+    line = "All rights are reserved by us"
+    rows = [(i, "\n".join([*own_lines(i, 1), line])) for i in range(20)] + [(50, line), (51, f"{line}\n \n{line}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for whole in (False, True):
+        out = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.drop_recurring(df, whole=whole).collect()}
+        assert all(out[i] == (own_lines(i, 1)[0], 1) for i in range(20))
+        assert (out[50], out[51]) == ((rows[-2][1], 0), (rows[-1][1], 0)) if whole else (("", 1), (" ", 2))
+
+
 def test_lines_edge_cases(awkward, empty):
     out = lines.drop_recurring(awkward)
     assert out.columns == [*awkward.columns[:2], "a.b", "score", "key", "component_id", "leaks", "n", "n_lines", "n_dropped"] and out.count() == len(DOCS)
@@ -453,12 +463,6 @@ def test_secrets_held_out_findings_and_documents(spark, docs, awkward, empty):
     assert secrets.scan(empty, forest).collect() == []
 
 
-def test_candidates_equal_a_plain_search(docs):
-    got = {(r["doc_id"], r["start"], r["end"]) for r in secrets.candidates(docs).collect()}
-    want = {(r["doc_id"], m.start(), m.end()) for r in docs.collect() for m in re.finditer(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}", r["text"])}
-    assert got == want
-
-
 # ---- 9 ----------------------------------------------------------------------------------------
 
 
