@@ -12,6 +12,7 @@ import json
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,13 +171,14 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = 2048
     """Tokenized pieces: id, start, length, ids_crc32, doc_tokens, document and (with_ids) the ids themselves.
 
     A null or empty text has the end token alone.  Repeated ids of documents are separate documents:
-    ``document`` is a number drawn for each row by its place in the input, equal in a row's pieces.
+    ``document`` is a number drawn by a hash of id and content, equal in a row's pieces; rows of a
+    partition that are equal in both have different ones.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, document long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, seen = encoder(vocabulary).encode, TaskContext.get().partitionId() << 40
+        encode, seen, partition = encoder(vocabulary).encode, Counter(), TaskContext.get().partitionId()
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in H.blocks(texts):
@@ -189,12 +191,19 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, length: int = 2048
                 hi = np.minimum(lo + length, ends[row])
                 data = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                document = H.mix((seen + a + row).astype(np.uint64)).astype(np.int64)
+                names = np.asarray(batch.column(0).slice(a, b - a).fill_null(-1)).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    parts = H.mix(np.array(crc, dtype=np.uint64) + start.astype(np.uint64) * H.constant("start"))
+                    drawn = H.mix(names * H.constant("name") + np.add.reduceat(parts, np.cumsum(count) - count))
+                for i, x in enumerate(drawn.tolist()):
+                    if seen[x]:
+                        drawn[i] = H.mix(drawn[i : i + 1] ^ np.uint64(partition << 40 | seen[x]))[0]
+                    seen[x] += 1
+                document = drawn[row].astype(np.int64)
                 columns = [batch.column(0).take(pa.array(row + a)), *(pa.array(x, pa.int64()) for x in (start, hi - lo, crc, sizes[row], document))]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(lo, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "document", "ids"][: len(columns)])
-            seen += len(texts)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
