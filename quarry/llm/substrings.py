@@ -28,7 +28,7 @@ from quarry.llm.common import by_column, discard, materialize, texts_of
 
 #: Words in an anchor, the most surroundings or suffixes of one prefix that a tree is built of, and the
 #: lengths of prefixes, as shares of a window, that larger groups are split by.
-K, GROUP, LONGER = 12, 2048, (0.5, 0.75, 1.0)
+K, GROUP, LONGER = 12, 256, (0.5, 0.75, 1.0)
 _SEGMENT = 1 << 19
 _MASK = np.uint64((1 << 20) - 1)
 
