@@ -27,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; a document of which nothing but white space is left goes."""
-    return _columns(lines.drop_recurring(docs).where(r"n_dropped = 0 or rlike(text, '[^\\x20\\x09-\\x0D]')"))
+    """Documents without recurring lines; one that consists of such lines stays as it is, so none is lost."""
+    return _columns(lines.drop_recurring(docs, whole=True))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
