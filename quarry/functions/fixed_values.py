@@ -103,3 +103,5 @@ ASKER = (
     r"(?i)(?:we are|I am|as a|our company is|we're)\s+(?:a |an )?((?:Type\s*[1-4]\s+)?(?:NBFC|HFC|bank|manufacturer|manufacturing company|exporter|importer|borrower|listed company|unlisted company|"
     r"SIDBI|shipping company|infrastructure company|startup|MSME|corporate|partnership firm|LLP|mutual fund|insurance company|broker|dealer|registered entity|category [I-IV]+ ?(?:AIF|FPI|merchant banker)?))"
 )
+# fixed values: words that leave nothing else asked of a circular but to explain it
+ANALYSIS_FILLER = r"\b(?:analyze|analyse|analysis|explain|summary|summarize|summarise|tell me about|what is|what does|describe|give me|show me|details of|overview of|break down|breakdown)\b"

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.streaming.progress import shared_folder
+
 
 def _written(df: DataFrame) -> DataFrame:
     """Written to the folder in spark.checkpoint.dir (a local one only where that is unset) and read back."""
     spark = df.sparkSession
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/quarry/{uuid.uuid4().hex}/graph"
+    path = f"{shared_folder(spark)}/quarry/{uuid.uuid4().hex}/graph"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

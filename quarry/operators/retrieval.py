@@ -103,7 +103,7 @@ def allocations(groups: DataFrame, k: int) -> DataFrame:
     all_ = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     top, second, n, total = F.first("best").over(all_), F.nth_value("best", 2).over(all_), F.count("*").over(all_), F.sum("best").over(all_)
     dominant = (top > 0.6) & ((n == 1) | (top > F.coalesce(second, F.lit(0.0)) * 1.2))
-    g = groups.withColumns({"dominant": dominant, "n": n, "slots": F.greatest(F.lit(2), F.bround(F.lit(k) * F.col("best") / total).cast("int"))})
+    g = groups.withColumns({"dominant": dominant, "n": n, "slots": F.greatest(F.lit(2), F.bround(F.coalesce(F.try_divide(F.lit(k) * F.col("best"), total), F.lit(0.0))).cast("int"))})
     before = F.coalesce(F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     share = F.greatest(F.lit(0), F.least(F.col("slots"), F.lit(k) - before))
     most = F.greatest(F.lit(k) - 2 * (F.col("n") - 1), F.lit(k // 2))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed_values as V
 from quarry.functions import text as T
+from quarry.operators import answers as AN
 from quarry.operators import assistant as AS
 from quarry.operators import audit as A
 from quarry.operators import evaluation as E
@@ -677,7 +678,7 @@ def legislation_parts(spark, sf_dir):
 
 @query()
 def html_extract(spark, sf_dir):
-    return H.extract(table(spark, sf_dir, "pages")).select("page_id", "title", F.length("content").alias("n"), "n_links")
+    return H.extract(table(spark, sf_dir, "pages")).select("page_id", "title", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"), "n_links", F.size("pdf_links").alias("n_pdfs"))
 
 
 @query("select page_id, cast(len(regexp_extract_all(html, '<a\\s[^>]*href=')) as integer) as n_links from pages")
@@ -687,7 +688,7 @@ def html_links(spark, sf_dir):
 
 @query()
 def html_listing(spark, sf_dir):
-    return H.listing(table(spark, sf_dir, "pages")).select("page_id", "pos", "title", "link")
+    return H.listing(table(spark, sf_dir, "pages"))
 
 
 # ---- evaluation and streams -------------------------------------------------------------------
@@ -756,7 +757,7 @@ def source_diff(spark, sf_dir):
     return docs.where("lang = 'en'").select("source").subtract(docs.where("lang = 'es' and n_chars > 3000").select("source"))
 
 
-@query("select event_type, count(*) as cnt from events group by 1")
+@query("select event_type, count(*) as cnt, cast(sum(count(*)) over (order by event_type) as bigint) as total from events group by 1")
 def crawl_progress_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     return P.progress(spark, f"{sf_dir}/events.parquet", "*.parquet", schema, "event_type")
@@ -798,10 +799,100 @@ def index_records(spark, sf_dir):
     return AS.index(r).select("doc_id", "chunk_index", "id", "kind", F.size("embedding").alias("dim"))
 
 
+def asked_chunks(spark, sf_dir):
+    """Embeddings as chunks of circulars that are named, so that a question can name one."""
+    return chunks(spark, sf_dir).withColumn("source", F.lit("rbi")).withColumn("kind", F.lit("rule")).withColumn("number", F.expr("concat('RBI/2023-24/', label)")).withColumn("chunk_index", F.expr("cast(1000000 - id as int)"))
+
+
+_ASKED_SCORES = """with v as (select vec_id as id, label, embedding::double[] as e from embeddings), q as (select e from v where id = (select min(vec_id) from embeddings)),
+s as (select id, label, round(list_dot_product(v.e, q.e) / sqrt(list_dot_product(v.e, v.e)) / sqrt(list_dot_product(q.e, q.e)), 6) as score from v, q)"""
+
+
+@query(_ASKED_SCORES + " select cast(row_number() over (order by score desc, id) as integer) as rank, id, score from (select * from s where label = 3 and score >= 0 order by score desc, id limit 12)")
+def ask_named_circular(spark, sf_dir):
+    return AS.ask(asked_chunks(spark, sf_dir), AS.planned(spark, "Which requirement for lending by lenders of any size and kind follows from RBI/2023-24/3?"), first_vector(spark, sf_dir)).select("rank", "id", "score")
+
+
+@query(_ASKED_SCORES + " select cast(row_number() over (order by 1000000 - id, id) as integer) as rank, id, score from (select * from s where label = 3 and score >= 0 order by score desc, id limit 50)")
+def ask_analysis(spark, sf_dir):
+    return AS.ask(asked_chunks(spark, sf_dir), AS.planned(spark, "Explain RBI/2023-24/3"), first_vector(spark, sf_dir)).select("rank", "id", "score")
+
+
 @query()
 def ask_question(spark, sf_dir):
-    c = chunks(spark, sf_dir).withColumn("source", F.lit("rbi")).withColumn("kind", F.lit("rule"))
-    return AS.ask(c, AS.planned(spark, "Which requirement applies to NBFC lending?"), first_vector(spark, sf_dir)).select("rank", "id", "score")
+    return AS.ask(asked_chunks(spark, sf_dir), AS.planned(spark, "Which requirement applies to NBFC lending?"), first_vector(spark, sf_dir)).select("rank", "id", "score")
+
+
+def titled_nodes(spark, sf_dir):
+    return _nodes(spark, sf_dir).withColumn("title", F.concat(F.lit("Order "), F.col("node").cast("string")))
+
+
+def graph_edges(spark, sf_dir):
+    return {"supersedes": supersedes(spark, sf_dir), "about": about(spark, sf_dir), "applies_to": applies_to(spark, sf_dir), "amends": about(spark, sf_dir)}
+
+
+_TITLED_NODES = _NODES + ", t as (select node, date, source, 'Order ' || node as title from nodes)"
+
+
+@query(
+    f"""with recursive {_EDGES}, {_START}, {_TITLED_NODES}, {_ABOUT}, {_APPLIES}, one as (select node from starts),
+down(node) as (select node from one union select s.dst from down d join sup s on s.src = d.node), up(node) as (select node from one union select s.src from up u join sup s on s.dst = u.node),
+c as (select t.* from (select node from down union select node from up) join t using (node)), newest as (select * from c where node not in (select dst from sup) order by date desc, node desc limit 1),
+above as (select t.* from up join t using (node) where node not in (select dst from sup) order by date desc, node desc limit 1),
+rel as (select node, title, source, date from (select b.src as node from about a join about b using (dst), one where a.src = one.node and b.src <> one.node union select b.src from applies a join applies b using (dst), one where a.src = one.node and b.src <> one.node) join t using (node) order by date desc, node limit 10)
+select 'chain' as intent, 1 as pos, '[AMENDMENT CHAIN: ' || string_agg(node || ' (' || date || ')', ' → ' order by date, node) || ']' as line from c
+union all select 'chain', 2, '[LATEST VERSION: ' || node || ' — ' || title || ']' from newest
+union all select 'latest', 1, '[NOTE: ' || one.node || ' has been superseded. Latest version: ' || above.node || ' — ' || title || ']' from above, one where above.node <> one.node
+union all select 'impact', 1, '[APPLIES TO: ' || string_agg(dst, ', ' order by dst) || ']' from applies, one where src = node having count(*) > 0
+union all select 'impact', 2, '[AMENDS: ' || string_agg(dst, ', ' order by dst) || ']' from about, one where src = node having count(*) > 0
+union all select 'related', 0, '[RELATED CIRCULARS for ' || node || ']' from one where exists (select 1 from rel)
+union all select 'related', cast(row_number() over (order by date desc, node) as integer), '- ' || node || ': ' || title || ' (' || source || ', ' || date || ')' from rel
+union all select 'summary', 0, '[CIRCULARS FROM 1-URGENT]'
+union all select 'summary', cast(row_number() over (order by date desc, node) as integer), '- ' || node || ': ' || title || ' (' || date || ')' from (select * from t where source = '1-URGENT' order by date desc, node limit 15)
+union all select 'cross_reference', 0, '[CROSS-REGULATOR VIEW: BRAND#1]'
+union all select 'cross_reference', cast(row_number() over (order by source, rn) as integer), line from (select source, rn, '  - ' || node || ': ' || title || ' (' || date || ')' as line from (select *, row_number() over (partition by source order by date desc, node) as rn from t where node in (select src from about where contains(lower(dst), 'brand#1'))) where rn <= 5 union all select distinct source, 0, chr(10) || '  ' || source || ':' from t where node in (select src from about where contains(lower(dst), 'brand#1')))"""
+)
+def graph_context(spark, sf_dir):
+    nodes, edges, one = titled_nodes(spark, sf_dir), graph_edges(spark, sf_dir), start(spark, sf_dir).first()[0]
+    of = lambda intent: AN.graph_lines(intent, nodes, edges, one, "1-urgent", "BRAND#1").select(F.lit(intent).alias("intent"), "pos", "line")
+    out = of("chain")
+    for intent in ("latest", "impact", "related", "summary", "cross_reference"):
+        out = out.unionByName(of(intent))
+    return out
+
+
+@query(f"with {_EDGES} select o_orderkey as number, o_totalprice as score, 'Superseded by ' || max(src) as freshness_note from orders left join sup on dst = o_orderkey group by 1, 2")
+def freshness_notes(spark, sf_dir):
+    hits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("number"), F.col("o_totalprice").alias("score"))
+    return AN.annotated(hits, "number", supersedes(spark, sf_dir)).select("number", "score", "freshness_note")
+
+
+_HIT = "select cast(doc_id as integer) as rank, upper(lang) as source, case when doc_id % 3 = 0 then '' else 'N' || doc_id end as number, source as title, case when doc_id % 2 = 0 then '2024-01-01' end as date, '' as link, case when doc_id % 4 = 0 then 'general' else 'rule' end as kind, cast(doc_id % 5 as integer) as chunk_index, cast(doc_id % 5 + doc_id % 2 as integer) as total_chunks, n_chars / 1000.0 as score, text from documents"
+
+
+@query(
+    f"""with h as ({_HIT}) select rank, sha256('[' || rank || '] Source: ' || source || case when number <> '' then ' | Circular No: ' || number else '' end || ' | Title: ' || title || case when date <> '' then ' | Date: ' || date else '' end
+|| case when kind <> 'general' then ' | Type: ' || kind else '' end || case when total_chunks > 1 then ' | Part ' || (chunk_index + 1) || ' of ' || total_chunks else '' end || chr(10) || text) as block,
+case when rank <= 12 then '[Source ' || rank || '] ' || source || ' — ' || title || ' (Circular: ' || number || ')' || chr(10) || 'Content: ' || substr(text, 1, 1200) end as judged from h"""
+)
+def context_blocks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    h = d.selectExpr("cast(doc_id as int) as rank", "upper(lang) as source", "case when doc_id % 3 = 0 then '' else concat('N', doc_id) end as number", "source as title", "case when doc_id % 2 = 0 then '2024-01-01' end as date", "'' as link", "case when doc_id % 4 = 0 then 'general' else 'rule' end as kind", "cast(doc_id % 5 as int) as chunk_index", "cast(doc_id % 5 + doc_id % 2 as int) as total_chunks", "cast(null as string) as score", "text")
+    judged = AN.judge_sources(h.withColumn("score", F.lit("0"))).select("rank", F.replace("block", F.lit(", Relevance: 0"), F.lit("")).alias("judged"))
+    return AN.context_blocks(h).select("rank", F.sha2(F.col("block").cast("binary"), 256).alias("block")).join(judged, "rank", "left")
+
+
+@query("select a.doc_id as one, b.item_id as other from (select *, row_number() over (order by doc_id) as pos from documents) a join (select *, row_number() over (order by item_id) as pos from benchmark) b using (pos)")
+def zipped_results(spark, sf_dir):
+    pos = lambda t, key: table(spark, sf_dir, t).select(key, F.row_number().over(Window.orderBy(key)).alias("pos"))
+    return AN.zipped(pos("documents", "doc_id"), pos("benchmark", "item_id")).select(F.col("doc_id").alias("one"), F.col("item_id").alias("other"))
+
+
+@query("select doc_id, doc_id % 2 = 0 as analysis from documents")
+def analysis_mode(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    q = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Explain RBI/2023-24/"), F.col("doc_id").cast("string"), F.lit("?"))).otherwise(F.concat(F.lit("RBI/2023-24/"), F.col("doc_id").cast("string"), F.lit(": "), F.concat(F.lit("what must every bank of ten branches do"), F.col("text"))))
+    return d.select("doc_id", AN.wants_analysis(q, T.question_number(q)).alias("analysis"))
 
 
 @query("select kind, cnt from (values ('about', 0)) v(kind, cnt) where false union all select 'supersedes' as kind, count(*) as cnt from documents where doc_id % 4 < 3 union all select 'circulars' as kind, count(*) as cnt from documents")

@@ -6,7 +6,7 @@ takes and returns DataFrames or Columns; rows that cannot make a record are drop
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: tax types and the months of written dates
@@ -184,3 +184,93 @@ def synthetic_keys(parts: DataFrame, act: str) -> DataFrame:
     mark = "R" if act.endswith("_RULES") else "S"
     number = F.concat(F.lit(f"{act}-{mark}"), F.col("part"))
     return parts.withColumn("circular_number", number).withColumn("link", F.concat(F.lit(f"legislation://{act}/"), clean))
+
+
+def bank_circulars(rows: DataFrame, base: str) -> DataFrame:
+    """Records of a bank's listing (cells, href, html_text, pdf_text): the date is a cell of its own or of
+    the detail page, the number comes from the detail page, and a PDF's text wins if it is longer."""
+    detail = detail_lines(F.coalesce("html_text", F.lit("")))
+    link = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim("href", F.lit("/"))))
+    content = F.when(F.length(F.coalesce("pdf_text", F.lit(""))) > F.length(F.coalesce("html_text", F.lit(""))), F.col("pdf_text")).otherwise(F.coalesce("html_text", F.lit("")))
+    date = F.coalesce(F.nullif(date_cell(F.col("cells")), F.lit("")), detail["date"], F.lit(""))
+    longest = F.array_max(F.transform("cells", lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))["c"]
+    out = rows.where((F.size("cells") > 0) & (F.coalesce("href", F.lit("")) != ""))
+    return out.select(F.lit("rbi").alias("source"), F.trim(longest).alias("title"), date.alias("date"), F.coalesce(detail["number"], F.lit("")).alias("circular_number"), link.alias("link"), content.alias("content"))
+
+
+def selective(records: DataFrame, seen: DataFrame, keep: Column, key: str = "link") -> DataFrame:
+    """Of newly appended records (those whose key is not seen yet) the ones that a filter keeps."""
+    return records.join(seen.select(key), key, "left_anti").where(keep)
+
+
+def market_circulars(rows: DataFrame) -> DataFrame:
+    """Records of a market regulator's pages (title, date, number_text, href, frame): the PDF is the file
+    parameter of the page's frame; the number stands after a label."""
+    number = F.trim(F.regexp_replace(F.coalesce("number_text", F.lit("")), r"(?i)^\s*circular\s+no\.?\s*:?", ""))
+    pdf = framed_pdf(F.coalesce("frame", F.lit("")))
+    pdfs = F.when(pdf.isNotNull(), F.array(pdf)).otherwise(F.array().cast("array<string>"))
+    return rows.where(F.length(F.trim("title")) > 0).select(F.lit("sebi").alias("source"), F.trim("title").alias("title"), F.trim("date").alias("date"), number.alias("circular_number"), F.col("href").alias("link"), pdfs.alias("pdf_links"))
+
+
+def pages_until_end(pages: DataFrame, text: str = "text", page: str = "page", most_failures: int = 3) -> DataFrame:
+    """Pages of a listing up to the one that says it is the last, or the failure after which it is given up.
+
+    A page without a text has failed.  One listing: its pages are few.
+    """
+    w = Window.orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    failed = F.coalesce(F.col(text), F.lit("")) == ""
+    marked = pages.withColumn("_end", (~failed & ~more_pages(F.coalesce(text, F.lit("")))).cast("int")).withColumn("_ok", F.sum((~failed).cast("int")).over(Window.orderBy(page)))
+    marked = marked.withColumn("_streak", F.sum(failed.cast("int")).over(Window.partitionBy("_ok").orderBy(page)))
+    stop = F.coalesce(F.max(F.greatest(F.col("_end"), (F.col("_streak") >= most_failures).cast("int"))).over(w), F.lit(0))
+    return marked.withColumn("_stop", stop).where("_stop = 0").drop("_end", "_ok", "_streak", "_stop")
+
+
+def company_circulars(responses: DataFrame, base: str) -> DataFrame:
+    """Records of a ministry's responses (a JSON list within JSON): the link has the document's quoted id."""
+    d = nested_documents(responses)
+    link = F.concat(F.lit(f"{base}/content/dms?doc="), F.url_encode("docID"))
+    return d.where(F.coalesce(F.trim("docName"), F.lit("")) != "").select(F.lit("mca").alias("source"), F.trim("docName").alias("title"), F.coalesce(F.trim("docDate"), F.lit("")).alias("date"), link.alias("link"))
+
+
+def insurer_circulars(pages: DataFrame) -> DataFrame:
+    """Records of a looping listing (page, pos, title, date, link, archived): it ends at the first page
+    without a link that was not seen on an earlier one; each link counts once."""
+    first = pages.groupBy("link").agg(F.min(F.struct("page", "pos")).alias("f"))
+    kept = pages.join(first, "link").where("f.page = page and f.pos = pos").drop("f")
+    fresh = pages.select("page").distinct().join(kept.select("page").distinct().withColumn("_new", F.lit(True)), "page", "left")
+    end = fresh.where("_new is null").agg(F.min("page").alias("_end"))  # one row
+    out = kept.crossJoin(F.broadcast(end)).where("_end is null or page < _end")
+    status = F.when(F.col("archived"), "archived").otherwise("current")
+    return out.select(F.lit("irdai").alias("source"), F.trim("title").alias("title"), F.trim("date").alias("date"), "link", status.alias("archive_status"))
+
+
+def years_to_visit(found: int, years: list[int]) -> list[int]:
+    """Years that must be asked for one by one: those, if the view of all shows 1 to 30 records."""
+    return years if 0 < found <= 30 else []
+
+
+def direct_tax_circulars(rows: DataFrame) -> DataFrame:
+    """Records of a direct-tax listing (text, number, date, link, pos): the title is the text without them;
+    each link counts once in a session."""
+    w = Window.partitionBy("link").orderBy("pos")
+    one = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    title = bare_title(F.trim("text"), F.coalesce("number", F.lit("")), F.coalesce("date", F.lit("")))
+    return one.select(F.lit("cbdt").alias("source"), title.alias("title"), F.coalesce("date", F.lit("")).alias("date"), F.coalesce("number", F.lit("")).alias("circular_number"), "link").where(F.length("title") > 0)
+
+
+def practitioner_keys(parts: DataFrame) -> DataFrame:
+    """Record number and link of notes' sections (file, part): PKB-<file>-S<part>."""
+    name = F.upper(F.regexp_replace(F.regexp_replace("file", r"\.md$", ""), "[^a-zA-Z0-9]", "_"))
+    number = F.concat(F.lit("PKB-"), F.substring(name, 1, 40), F.lit("-S"), F.col("part"))
+    return parts.withColumn("circular_number", number).withColumn("link", F.concat(F.lit("practitioner://"), number))
+
+
+def direction_keys(parts: DataFrame) -> DataFrame:
+    """Record number and link of a direction's chapters (name, part, url): RBI_MD-<name>-<part>."""
+    clean = lambda c, n: F.substring(F.regexp_replace(c, "[^a-zA-Z0-9]", "_"), 1, n)
+    return parts.withColumn("circular_number", F.concat(F.lit("RBI_MD-"), clean("name", 40), F.lit("-"), clean("part", 20))).withColumn("link", F.concat("url", F.lit("#"), clean("part", 20)))
+
+
+def best_content(html: Column, pdfs: Column, factor: float = 1.5) -> Column:
+    """A page's text, or that of its first two PDFs if it is longer by a factor."""
+    return preferred_content(html, joined_pdfs(F.slice(pdfs, 1, 2)), factor)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import urllib.request
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quarry.functions import text as T
 
@@ -56,3 +62,102 @@ def write_snapshot(df: DataFrame, path: str, partition_by: str | None = None) ->
     """A whole new snapshot (Parquet); partitions replace each other dynamically."""
     w = df.write.mode("overwrite")
     (w.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic") if partition_by else w).parquet(path)
+
+
+def obligations(results: DataFrame, documents: DataFrame, since: str | None = None, key: str = "doc_id") -> DataFrame:
+    """Extracted results with their documents (those without one stay), by id; only results made since a date."""
+    rows = results if since is None else results.where(F.col("created_at") >= F.lit(since).cast("timestamp"))
+    return rows.join(documents, key, "left").orderBy("id")
+
+
+def extraction_text(column):
+    """The JSON of an extraction that is an object or a string that holds one, as text."""
+    inner = F.try_variant_get(F.try_parse_json(column), "$", "string")
+    return F.when(inner.startswith("{"), inner).otherwise(column)
+
+
+def demo_obligations(spark: SparkSession, path: str, extraction: str) -> DataFrame:
+    """Records of a JSON file with ``extraction`` typed, whether the file has objects or strings there."""
+    raw = spark.read.option("multiLine", True).json(path)
+    held = raw.schema["extraction"].dataType.typeName()
+    text = F.col("extraction") if held == "string" else F.to_json("extraction")
+    return raw.withColumn("extraction", F.from_json(extraction_text(text), extraction))
+
+
+def pdf_folder(spark: SparkSession, path: str, pages: Callable[[bytes], list[tuple[str, list[list[list[str]]]]]], ocr: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(path, text, method) of PDF files.
+
+    pages: a parser's text and tables of each page; tables follow their page's text as markdown.  Pages
+    under 20 characters, and files under 50, are read again by ``ocr`` if there is one.  A file that cannot
+    be read has an empty text and the method ``failed``.
+    """
+
+    def markdown(table: list[list[str]]) -> str:
+        rows = [[(c or "").replace("\n", " ").strip() for c in r] for r in table]
+        return "\n".join("| " + " | ".join(r) + " |" for r in [rows[0], ["---"] * len(rows[0]), *rows[1:]]) if rows else ""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in batch.itertuples(index=False):
+                try:
+                    found, method = [], "parsed"
+                    for text, tables in pages(bytes(content)):
+                        own = "\n\n".join(x for x in (text.strip(), *map(markdown, tables)) if x)
+                        if len(own) < 20 and ocr:
+                            own, method = ocr(bytes(content)), "mixed"
+                        found.append(own)
+                    whole = "\n\n".join(x for x in found if x)
+                    if len(whole) < 50 and ocr:
+                        whole, method = ocr(bytes(content)), "ocr"
+                    rows.append((name, whole, method))
+                except Exception:  # noqa: BLE001  whatever a parser raises on a broken file
+                    rows.append((name, "", "failed"))
+            yield pd.DataFrame(rows, columns=["path", "text", "method"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(read, "path string, text string, method string")
+
+
+class Fetched(DataSource):
+    """Python data source ``fetched``: (url, status, body, error) of the addresses in the option ``urls``
+    (one a line), a partition each.
+
+    ``get`` of a registered subclass does one request; a request that fails is tried four times in all,
+    5, 10 and 15 seconds apart, and then leaves a row with its error.
+    """
+
+    TRIES, WAIT = 4, 5.0
+
+    @classmethod
+    def name(cls) -> str:
+        return "fetched"
+
+    def schema(self) -> str:
+        return "url string, status int, body binary, error string"
+
+    def get(self, url: str) -> tuple[int, bytes]:
+        with urllib.request.urlopen(url, timeout=60) as answer:  # noqa: S310
+            return answer.status, answer.read()
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FetchReader(self, [u for u in self.options.get("urls", "").split("\n") if u])
+
+
+class _FetchReader(DataSourceReader):
+    def __init__(self, source: Fetched, urls: list[str]):
+        self.source, self.urls = source, urls
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(u) for u in self.urls]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for attempt in range(1, self.source.TRIES + 1):
+            try:
+                yield (partition.value, *self.source.get(partition.value), None)
+                return
+            except Exception as e:  # noqa: BLE001  network errors of any kind
+                error = str(e)
+            if attempt < self.source.TRIES:
+                time.sleep(attempt * self.source.WAIT)
+        yield (partition.value, None, None, error[:500])

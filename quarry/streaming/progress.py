@@ -2,27 +2,70 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
     """Where streams keep their state: the shared folder of the session, or a local one without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only in a local session, where it is unset."""
+    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def progress(spark: SparkSession, path: str, glob: str, schema: StructType, by: str) -> DataFrame:
-    """Events by kind, and the running total, as a stream over the files there now would report at its end."""
+    """Events by kind (cnt), and the running total in order of kinds (total), as a stream over the files
+    there now would report at its end."""
     name = f"progress_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(path)
     query = stream.groupBy(by).agg(F.count("*").alias("cnt")).writeStream.outputMode("complete").format("memory").queryName(name)
     query.option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    running = F.sum("cnt").over(Window.orderBy(by))  # a row for each kind
+    return spark.table(name).withColumn("total", running)
+
+
+def events(counts: DataFrame, by: str) -> Iterator[str]:
+    """Server-sent events of progress: one for each kind with the total so far, then the end."""
+    total = 0
+    for row in counts.orderBy("total", by).collect():  # a row for each source
+        total = row["total"]
+        yield f"data: {json.dumps({'type': 'source_complete', 'data': {'source': row[by], 'record_count': row['cnt'], 'total_records': total}})}\n\n"
+    yield f"data: {json.dumps({'type': 'complete', 'data': {'record_count': total}})}\n\n"
+
+
+def polled(records: Callable[[], DataFrame], done: Callable[[], DataFrame], key: str, work: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame], None], batch: int = 10, rounds: int = 1, wait: float = 21_600.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """A worker that takes up to ``batch`` records without a result in each round, and waits between rounds.
+
+    records, done: read anew each time; save must be idempotent by key.  A round that fails is left, and
+    its records come again.  Returns the number of records saved.
+    """
+    total = 0
+    for i in range(rounds):
+        some = records().join(done().select(key), key, "left_anti").orderBy(key).limit(batch)
+        try:
+            found = work(some)
+            save(found)
+            total += found.count()
+        except Exception as e:  # noqa: BLE001  the next round tries again
+            print(f"round {i + 1} failed: {e}")
+        if i + 1 < rounds:
+            sleep(wait)
+    return total
 
 
 def load_new(stream: DataFrame, target: str, key: str, transform=lambda df: df) -> None:
