@@ -6,11 +6,13 @@ anchors.  Anchors whose K words occur once in all documents cannot lie in a repe
 dropped.  The other anchors partition the suffixes by a prefix of K words: a partition holds for each of
 its anchors the words around it, equal surroundings once with their number.
 
-A partition of more than GROUP different surroundings is split by longer prefixes of the suffixes
-themselves, of the lengths in LONGER in turn, until what shares a prefix fits into memory; at the last
-length, W words, all leaves of a group are equal and need only be counted.  In every other partition the
-suffixes are sorted by their words and the longest common prefixes of neighbours give the inner nodes of
-their tree; a suffix below a node that is W words deep or more starts a repeated window.
+A partition of more than GROUP different surroundings is split by longer prefixes: windows that start
+near each other before an anchor share more words than the anchor's, so its windows are divided into
+bands of neighbouring starts, each half as wide as before, and the surroundings by the words that all
+windows of a band share, until what shares them fits into memory.  Surroundings that are equal as far as
+a band reaches are repeats and go on as one.  In a partition that fits, the suffixes are sorted by their
+words and the longest common prefixes of neighbours give the inner nodes of their tree; a suffix below a
+node that is W words deep or more starts a repeated window.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ from pyspark.sql import functions as F
 from quarry.llm import wordhash as H
 from quarry.llm.common import by_column, discard, materialize, texts_of
 
-#: Words in an anchor, the most surroundings or suffixes of one prefix that a tree is built of, and the
-#: lengths of prefixes, as shares of a window, that larger groups are split by.
-K, GROUP, LONGER = 12, 256, (0.5, 0.75, 1.0)
+#: Words in an anchor, and the most different surroundings of one prefix that a tree is built of.
+K, GROUP = 12, 256
 _SEGMENT = 1 << 19
 _MASK = np.uint64((1 << 20) - 1)
 
@@ -193,8 +194,9 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                 total += words[:, j] * H.constant(f"path {name} {j}")
         return H.mix(total)
 
-    def below(table: pa.Table) -> pa.RecordBatch:
-        m, n, own = matrix(table)
+    def marked(m: np.ndarray, table: pa.Table) -> pa.RecordBatch:
+        """Masks of the windows below a deep node of the tree of all own windows of some surroundings."""
+        n, own = np.asarray(table["n"]), np.asarray(table["own"])
         row, at = suffixes(own)
         path = np.empty(len(row), dtype=np.uint64)
         cuts = np.searchsorted(at, np.arange(left + 2))
@@ -209,42 +211,67 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         np.bitwise_or.at(mask, row[deep], np.int64(1) << at[deep])
         return pa.RecordBatch.from_arrays([table["ca"].combine_chunks(), table["cb"].combine_chunks(), pa.array(mask.astype(np.int32))], names=["ca", "cb", "mask"])
 
-    lengths = sorted({min(window, max(K + 1, round(x * window))) for x in LONGER})
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ca", "cb", "bit", "n", "words", *(f"p{i}" for i in range(len(lengths))), "pb"]
+    def below(table: pa.Table) -> pa.RecordBatch:
+        return marked(matrix(table)[0], table)
+
+    def bands(width: int, whole: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Rows of surroundings (ca, cb, low, own, n, around) for each band of ``width`` starts in theirs of
+        ``whole``, with hashes of the words that its windows share, and of all that they reach."""
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 512):
+                    part = batch.slice(i, 512)
+                    m = np.frombuffer(b"".join(part.column("around").to_pylist()), dtype=np.uint64).reshape(-1, left + window)
+                    own, first = np.asarray(part.column("own")).astype(np.int64), np.asarray(part.column("low"))
+                    for low in np.unique(first).tolist():
+                        for l in range(low, min(low + whole, left + 1), width):
+                            high = min(l + width, low + whole, left + 1) - 1
+                            bits = own & (((1 << (high - l + 1)) - 1) << l)
+                            rows = np.flatnonzero((first == low) & (bits != 0))
+                            shared, reach = m[rows, left - l : left + window - high], m[rows, left - high : left + window - l]
+                            ids, salt = pa.array(rows), H.constant(f"band {l} {high}")
+                            prints = [H.mix(paths(x, x.shape[1], name) ^ salt).astype(np.int64) for x, name in ((shared, "a"), (reach, "a"), (reach, "b"))]
+                            yield pa.RecordBatch.from_arrays([part.column("ca").take(ids), part.column("cb").take(ids), pa.array(np.full(len(rows), l, dtype=np.int32)), pa.array(bits[rows].astype(np.int32)), part.column("n").take(ids), part.column("around").take(ids), *map(pa.array, prints)], names=["ca", "cb", "low", "own", "n", "around", "p", "ea", "eb"])
+
+        return split
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
                 m, n, own = matrix(part)
-                row, at = suffixes(own)
-                words = m[row[:, None], (left - at)[:, None] + np.arange(window)]
-                ids = pa.array(row)
-                prints = [paths(words, k, "a") for k in lengths] + [paths(words, window, "b")]
-                yield pa.RecordBatch.from_arrays([part.column("ca").take(ids), part.column("cb").take(ids), pa.array((1 << at).astype(np.int32)), pa.array(n[row]), pa.array([w.tobytes() for w in words], pa.binary()), *(pa.array(x.astype(np.int64)) for x in prints)], names=names)
-
-    def below_longer(table: pa.Table) -> pa.RecordBatch:
-        words = np.frombuffer(b"".join(table["words"].to_pylist()), dtype=np.uint64).reshape(-1, window)
-        deep = deep_leaves(words, paths(words, window, "a")) | (np.asarray(table["n"]) > 1)
-        mask = np.where(deep, np.asarray(table["bit"]), 0)
-        return pa.RecordBatch.from_arrays([table["ca"].combine_chunks(), table["cb"].combine_chunks(), pa.array(mask.astype(np.int32))], names=["ca", "cb", "mask"])
+                yield pa.RecordBatch.from_arrays([part.column("ca"), part.column("cb"), pa.array(np.zeros(len(n), dtype=np.int32)), part.column("own"), pa.array(n), pa.array([r.tobytes() for r in m], pa.binary())], names=["ca", "cb", "low", "own", "n", "around"])
+
+    def below_bands(table: pa.Table) -> pa.RecordBatch:
+        return marked(np.frombuffer(b"".join(table["around"].to_pylist()), dtype=np.uint64).reshape(-1, left + window), table)
 
-    columns = ["key", "ca", "cb", "nl", "own", "words", "n"]
+    columns, row = ["key", "ca", "cb", "nl", "own", "words", "n"], "ca long, cb long, low int, own int, n long, around binary"
     masks = _by_group(several.where(f"size <= {GROUP}").select(columns), "key", below)
-    heavy = rest = materialize(several.where(f"size > {GROUP}").select(columns).mapInArrow(split, "ca long, cb long, bit int, n long, words binary, " + ", ".join(f"p{i} long" for i in range(len(lengths))) + ", pb long"), "suffixes")
-    for i in range(len(lengths) - 1):  # suffixes alone with their prefix are leaves at once
-        sizes = materialize(rest.groupBy(f"p{i}").agg(F.count("*").alias("size")).where("size > 1"), "prefixes")
-        grouped = rest.join(sizes, f"p{i}")
-        masks = masks.unionByName(_by_group(grouped.where(f"size <= {GROUP}").select(f"p{i}", "ca", "cb", "bit", "n", "words"), f"p{i}", below_longer))
-        rest = grouped.where(f"size > {GROUP}").drop("size")
-    whole = [f"p{len(lengths) - 1}", "pb"]
-    nodes = rest.groupBy(*whole).agg(F.sum("n").alias("leaves")).where("leaves > 1").select(*whole)
-    masks = masks.unionByName(rest.join(nodes, whole).select("ca", "cb", F.col("bit").alias("mask")))
+    wide, rest, made = left + 1, several.where(f"size > {GROUP}").select(columns).mapInArrow(whole, row), []
+    while wide > 1:
+        narrow = 1 if wide <= 3 else -(-wide // 2)
+        banded = materialize(rest.mapInArrow(bands(narrow, wide), f"{row}, p long, ea long, eb long"), "bands")
+        made.append(banded)
+        if banded.isEmpty():
+            break
+        # surroundings that are equal as far as the band reaches go on as one
+        folded = materialize(banded.groupBy("ea", "eb").agg(F.sum("n").alias("n"), F.first(F.struct("ca", "cb", "low", "own", "around", "p")).alias("r")), "folded")
+        equal = folded.where("n > 1").select("ea", "eb")
+        masks = masks.unionByName(banded.join(equal, ["ea", "eb"]).select("ca", "cb", F.col("own").alias("mask")))
+        made.append(folded)
+        if (wide := narrow) > 1:
+            other = folded.select("r.*", "n")
+            sizes = materialize(other.groupBy("p").agg(F.count("*").alias("size")).where("size > 1"), "prefixes")
+            made.append(sizes)
+            grouped = other.join(sizes, "p")
+            masks = masks.unionByName(_by_group(grouped.where(f"size <= {GROUP}").select("p", "ca", "cb", "own", "n", "around"), "p", below_bands))
+            rest = grouped.where(f"size > {GROUP}").select("ca", "cb", "low", "own", "n", "around")
     masks = masks.unionByName(leaves.where("n > 1 and own <> 0").select("ca", "cb", F.col("own").alias("mask")))
     masks = materialize(masks.where("mask <> 0").groupBy("ca", "cb").agg(F.bit_or("mask").alias("mask")), "masks")
     hits = around.select("doc_id", "th", "pos", "ca", "cb").join(masks, ["ca", "cb"])
     out = materialize(hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "mask")).alias("hits")), "hits")
-    discard(leaves, heavy, around, masks)
+    discard(leaves, *made, around, masks)
     return out
 
 
