@@ -248,10 +248,12 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
     columns, row = ["key", "ca", "cb", "nl", "own", "words", "n"], "ca long, cb long, low int, own int, n long, around binary"
     masks = _by_group(several.where(f"size <= {GROUP}").select(columns), "key", below)
-    wide, rest, made = left + 1, several.where(f"size > {GROUP}").select(columns).mapInArrow(whole, row), []
+    wide, rest, made = left + 1, several.where(f"size > {GROUP}").select(columns), []
     while wide > 1:
         narrow = 1 if wide <= 3 else -(-wide // 2)
-        banded = materialize(rest.mapInArrow(bands(narrow, wide), f"{row}, p long, ea long, eb long"), "bands")
+        cut = bands(narrow, wide)
+        banded = rest.mapInArrow(cut if made else lambda batches, cut=cut: cut(whole(batches)), f"{row}, p long, ea long, eb long")
+        banded = materialize(banded, "bands")
         made.append(banded)
         if banded.isEmpty():
             break
