@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.streaming.progress import shared_folder
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir (a local one only where that is unset) and read back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quarry/{uuid.uuid4().hex}/graph"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quarry.streaming.progress import written
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -24,14 +14,14 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     Paths of twice as many edges at each step, so a chain of thousands takes a few steps; each is
     written.  It ends when a step adds no pair, so cycles are no matter.
     """
-    hops = _written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    walk, before, now = _written(starts.select(F.col("node").alias("start"), "node").distinct()), -1, 0
+    hops = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    walk, before, now = written(starts.select(F.col("node").alias("start"), "node").distinct()), -1, 0
     while now != before:  # walk: within 2^i - 1 edges; hops: of exactly 2^i
         before = now
         more = walk.join(hops, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
-        walk = _written(walk.unionByName(more).distinct())
+        walk = written(walk.unionByName(more).distinct())
         now = walk.count()
-        hops = _written(hops.alias("x").join(hops.alias("y"), F.expr("x.dst = y.src")).selectExpr("x.src as src", "y.dst as dst").distinct())
+        hops = written(hops.alias("x").join(hops.alias("y"), F.expr("x.dst = y.src")).selectExpr("x.src as src", "y.dst as dst").distinct())
     return walk
 
 

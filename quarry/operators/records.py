@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.streaming.progress import written
+
 
 def unprocessed(records: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Records without a result yet."""
@@ -70,13 +72,14 @@ def last_wins(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 def retry_sources(failures: DataFrame, cache: DataFrame, key: str, url: str) -> DataFrame:
     """Failures with the cached copy to retry from: of the same key and url, else one whose url begins with it.
 
-    The fallback is restricted by the key, so it is a hash join with a condition, not a nested loop.
+    Beginnings are cut from the cached urls at the lengths of the key's failed ones, so both joins are on
+    equal values, and a key with many of both gives no pairs.
     """
-    exact = failures.join(cache.select(key, url, F.col("copy").alias("_exact")).groupBy(key, url).agg(F.min("_exact").alias("_exact")), [key, url], "left")
-    near = cache.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col("copy").alias("_near"))
-    matched = exact.join(near, (F.col(key) == F.col("_k")) & F.col("_exact").isNull() & F.col("_u").startswith(F.col(url)), "left")
-    keep = failures.columns
-    return matched.groupBy(*keep).agg(F.coalesce(F.min("_exact"), F.min("_near")).alias("copy"))
+    exact = failures.join(cache.groupBy(key, url).agg(F.min("copy").alias("_exact")), [key, url], "left")
+    lengths = exact.where(F.col("_exact").isNull()).select(F.col(key), F.length(url).alias("_n")).distinct()
+    near = cache.select(key, F.col(url).alias("_u"), "copy").join(lengths, key).where(F.length("_u") >= F.col("_n"))
+    near = near.groupBy(key, F.substring("_u", F.lit(1), F.col("_n")).alias(url)).agg(F.min("copy").alias("_near"))
+    return exact.join(near, [key, url], "left").select(*failures.columns, F.coalesce("_exact", "_near").alias("copy"))
 
 
 def split_known(rows: DataFrame, known: list[str]) -> DataFrame:
@@ -137,6 +140,7 @@ def with_ids(stored: DataFrame, new: DataFrame, id_col: str, *order: str) -> Dat
     """
     last = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_last"))  # one row
     rows = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    rows = written(rows)  # once: the counts and the rows see the same ranges
     rows = rows.withColumn("_part", F.shiftright("_m", 33)).withColumn("_in", F.col("_m").bitwiseAND((1 << 33) - 1))
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each range

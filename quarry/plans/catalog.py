@@ -223,15 +223,19 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("content_length"))
 
 
+_CLEANED = r"trim(regexp_replace(regexp_replace(coalesce(content, ''), '(?is)^\(\s*\d+\s*kb\s*\)\s*', ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || chr(13) || chr(9) || ' ')"
+
+
 @query(
     RECORDS
     + """select id, concat_ws(' | ', 'Source: ' || coalesce(source, 'Unknown'), 'Title: ' || coalesce(title, 'Untitled'),
 case when coalesce(strftime(try_strptime(trim(date), ['%B %d, %Y', '%b %d, %Y', '%d-%m-%Y', '%d-%b-%Y']), '%Y-%m-%d'), trim(date), '') <> '' then 'Date: ' || coalesce(strftime(try_strptime(trim(date), ['%B %d, %Y', '%b %d, %Y', '%d-%m-%Y', '%d-%b-%Y']), '%Y-%m-%d'), trim(date), '') end,
-case when number <> '' then 'Circular Number: ' || number end, 'Link: ' || link) as header from records"""
+case when number <> '' then 'Circular Number: ' || number end, 'Link: ' || link) as header, sha256(case when """ + _CLEANED + """ <> '' then """ + _CLEANED + """ else concat_ws(chr(10) || chr(10), coalesce(title, 'Untitled'), nullif(details, '')) end) as body from records"""
 )
 def document_header(spark, sf_dir):
     c = [F.col(x) for x in ("source", "title", "date", "number", "link", "content", "details")]
-    return records(spark, sf_dir).select("id", F.regexp_extract(T.document_text(*c), r"(?s)^\[(.*?)\]\n\n", 1).alias("header"))
+    said = T.document_text(*c)
+    return records(spark, sf_dir).select("id", F.regexp_extract(said, r"(?s)^\[(.*?)\]\n\n", 1).alias("header"), F.sha2(F.regexp_extract(said, r"(?s)^\[.*?\]\n\n(.*)$", 1).cast("binary"), 256).alias("body"))
 
 
 @query(
@@ -242,9 +246,14 @@ def acronym_keywords(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.acronyms(F.col("text")), ",").alias("keywords"))
 
 
-@query(r"select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '')) as n_sentences from documents")
+@query(
+    r"""with p as (select doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as ps from documents),
+m as (select doc_id, list_transform(ps, lambda x, i: case when i > 1 then chr(10) || chr(10) else '' end || regexp_replace(x, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g')) as ms from p)
+select doc_id, cast(len(string_split(array_to_string(ms, chr(1)), chr(1))) as bigint) as n_sentences, sha256(array_to_string(ms, chr(1))) as sentences from m"""
+)
 def sentence_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+    cut = table(spark, sf_dir, "documents").select("doc_id", T.sentences(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("s"))
+    return cut.select("doc_id", F.greatest(F.size("s"), F.lit(1)).cast("long").alias("n_sentences"), F.sha2(F.array_join("s", "\x01").cast("binary"), 256).alias("sentences"))
 
 
 _HEADING = "case id % 8 when 0 then 'Definitions' when 1 then 'Scope of this direction' when 2 then 'Exemptions' when 3 then 'Limits' when 4 then 'Filing' when 5 then 'Compliance' else 'Notes' end"
@@ -260,9 +269,9 @@ def _type_sql() -> str:
     return "case " + " ".join(cases) + " else 'general' end"
 
 
-@query(RECORDS + f"select id, {_type_sql()} as section_type from (select id, {_HEADING} as h, {_BODY} as b from records)")
+@query(RECORDS + f"select id, {_type_sql()} as section_type from (select id, {_HEADING} as h, content || ' ' || {_BODY} || ' ' || content as b from records)")
 def section_type(spark, sf_dir):
-    rows = records(spark, sf_dir).select("id", F.expr(_HEADING).alias("h"), F.expr(_BODY).alias("b"))
+    rows = records(spark, sf_dir).select("id", F.expr(_HEADING).alias("h"), F.concat_ws(" ", "content", F.expr(_BODY), "content").alias("b"))
     return rows.select("id", T.section_type(F.col("h"), F.col("b")).alias("section_type"))
 
 
@@ -273,11 +282,11 @@ def point_id(spark, sf_dir):
 
 
 _QUESTION = "case item_id % 6 when 0 then concat('What changed in RBI/2024-2025/', cast(item_id as varchar(9)), ' today?') when 1 then 'Explain Section 16 of the CGST Act' when 2 then 'rule 89a of CGST Rules' when 3 then 'sebi/2023-24/77 latest version and amendment history of KYC?' when 4 then 'How has the compliance procedure for NBFC and ECB limits changed over time?' else 'Which entities must comply, what is the impact?' end"
-_QUESTIONS = f"with q as (select item_id, {_QUESTION} as q from benchmark) "
+_QUESTIONS = f"with q as (select item_id, text || ' ' || {_QUESTION} || ' ' || text as q from benchmark) "
 
 
 def questions(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.expr(_QUESTION.replace("varchar(9)", "string")).alias("q"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", "text", F.expr(_QUESTION.replace("varchar(9)", "string")), "text").alias("q"))
 
 
 @query(
@@ -386,10 +395,10 @@ def dlq_retry_join(spark, sf_dir):
     return R.retry_sources(failures, cache, "k", "url")
 
 
-@query("select doc_id, case when err or length(trim(t)) <= 10 then 'failed' when length(trim(t)) < 200 then 'partial' else 'success' end as outcome from (select doc_id, substr(text, 1, cast(doc_id % 400 as bigint)) as t, doc_id % 13 = 0 as err from documents)")
+@query("select doc_id, case when err or length(trim(t)) <= 10 then 'failed' when length(trim(t)) < 200 then 'partial' else 'success' end as outcome from (select doc_id, coalesce(text, '') as t, doc_id % 13 = 0 as err from documents)")
 def extraction_outcome(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, 1, cast(doc_id % 400 as int))").alias("t"), F.expr("case when doc_id % 13 = 0 then 'timeout' end").alias("e"))
-    return docs.select("doc_id", R.outcome(F.col("t"), F.col("e")).alias("outcome"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("case when doc_id % 13 = 0 then 'timeout' end").alias("e"))
+    return docs.select("doc_id", R.outcome(F.col("text"), F.col("e")).alias("outcome"))
 
 
 @query("select event_type, event_id, ts from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events) where rn = 1")
@@ -540,7 +549,8 @@ def supersedes(spark, sf_dir):
     return e.where("dst is not null")
 
 
-#: The circular asked about (chain and latest take one), and all of them (freshness and impact take lists).
+#: A circular of each customer (chain and latest), and all of them (freshness and impact take lists).
+_STARTS = "starts as (select min(o_orderkey) as node from orders group by o_custkey)"
 _START = "starts as (select min(o_orderkey) as node from orders)"
 _ALL = "starts as (select o_orderkey as node from orders)"
 
@@ -549,19 +559,23 @@ def start(spark, sf_dir):
     return table(spark, sf_dir, "orders").agg(F.min("o_orderkey").alias("node"))
 
 
+def starts(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("node")).select("node")
+
+
 def every(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"))
 
 
-@query(f"with recursive {_EDGES}, {_START}, down(start, node) as (select node, node from starts union select d.start, s.dst from down d join sup s on s.src = d.node), up(start, node) as (select node, node from starts union select u.start, s.src from up u join sup s on s.dst = u.node) select start, node from down union select start, node from up")
+@query(f"with recursive {_EDGES}, {_STARTS}, down(start, node) as (select node, node from starts union select d.start, s.dst from down d join sup s on s.src = d.node), up(start, node) as (select node, node from starts union select u.start, s.src from up u join sup s on s.dst = u.node) select start, node from down union select start, node from up")
 def amendment_chain(spark, sf_dir):
-    return G.chain(supersedes(spark, sf_dir), start(spark, sf_dir))
+    return G.chain(supersedes(spark, sf_dir), starts(spark, sf_dir))
 
 
-@query(f"with recursive {_EDGES}, {_START}, up(start, node) as (select node, node from starts union select u.start, s.src from up u join sup s on s.dst = u.node) select start, max(node) as latest from up where not exists (select 1 from sup where sup.dst = up.node) group by 1")
+@query(f"with recursive {_EDGES}, {_STARTS}, up(start, node) as (select node, node from starts union select u.start, s.src from up u join sup s on s.dst = u.node) select start, max(node) as latest from up where not exists (select 1 from sup where sup.dst = up.node) group by 1")
 def latest_version(spark, sf_dir):
     nodes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_orderdate").alias("date"))
-    return G.latest(supersedes(spark, sf_dir), start(spark, sf_dir), nodes)
+    return G.latest(supersedes(spark, sf_dir), starts(spark, sf_dir), nodes)
 
 
 def _nodes(spark, sf_dir):
@@ -635,7 +649,7 @@ _CITED = "concat('x ', case doc_id % 4 when 0 then 'supersedes circular RBI/2023
 
 @query("select 'N' || doc_id as number, case doc_id % 4 when 0 then 'RBI/2023-24/' || doc_id when 1 then 'SEBI/2022-23/5' else 'RBI/2021-22/' || doc_id end as ref from documents where doc_id % 4 < 3")
 def superseded_references(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("number"), F.expr(_CITED).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("number"), F.concat_ws(" ", "text", F.expr(_CITED), "text").alias("text"))
     return C.superseded(docs)
 
 
@@ -667,13 +681,17 @@ def chunk_document(spark, sf_dir):
     return C.chunks(table(spark, sf_dir, "documents"), 100, 80, 140, 10).select("doc_id", "chunk_index", "total_chunks", "token_count", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
-_ACT = "concat('Preamble.\n', 'Section 1. — Short title —\n', text, '\nSection 2. — Scope —\n', text, '\nSCHEDULE A ', source)"
+_ACT = "concat('Preamble.\n', 'Section 1. Short title —\n', text, '\nSection 2. Scope —\n', text, '\nSCHEDULE A ', source)"
 
 
-@query("select doc_id, part from documents, (values ('1'), ('2'), ('SCHEDULES')) as p(part)")
+@query(
+    """select doc_id, part, title, sha256(rtrim(content, chr(10) || chr(9) || chr(13) || ' ')) as content from (
+select doc_id, '1' as part, 'Short title' as title, 'Section 1. Short title —' || chr(10) || text as content from documents
+union all select doc_id, '2', 'Scope', 'Section 2. Scope —' || chr(10) || text from documents union all select doc_id, 'SCHEDULES', 'Schedules', 'SCHEDULE A ' || source from documents)"""
+)
 def legislation_parts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_ACT).alias("text"))
-    return C.split_parts(docs, "act").select("doc_id", "part")
+    return C.split_parts(docs, "act").select("doc_id", "part", "title", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
 
 
 @query()
@@ -895,28 +913,39 @@ def analysis_mode(spark, sf_dir):
     return d.select("doc_id", AN.wants_analysis(q, T.question_number(q)).alias("analysis"))
 
 
-@query("select kind, cnt from (values ('about', 0)) v(kind, cnt) where false union all select 'supersedes' as kind, count(*) as cnt from documents where doc_id % 4 < 3 union all select 'circulars' as kind, count(*) as cnt from documents")
+_GRAPH_TEXT = "concat(" + _CITED + ", '. This applies to banks. It amends the Companies Act. ', text)"
+_GRAPH_TOPICS = " union all ".join(f"select number, '{n}' as topic, {i} as pos, {_count_sql('t', ws)} as cnt from d" for i, (n, ws) in enumerate(TAXONOMY.items()))
+
+
+@query(
+    f"""with d as (select doc_id, 'N' || doc_id as number, lower(source || ' ' || substr({_GRAPH_TEXT.replace("cast(doc_id as string)", "cast(doc_id as varchar)")}, 1, 2000)) as t from documents)
+select 'circulars' as kind, number as src, '' as dst from d union all select 'applies_to', number, 'Bank' from d union all select 'amends', number, 'Companies Act' from d
+union all select 'supersedes', number, case doc_id % 4 when 0 then 'RBI/2023-24/' || doc_id when 1 then 'SEBI/2022-23/5' else 'RBI/2021-22/' || doc_id end from d where doc_id % 4 < 3
+union all select 'about', number, topic from (select *, row_number() over (partition by number order by cnt desc, pos) as rn from ({_GRAPH_TOPICS}) where cnt >= 2) where rn <= 3"""
+)
 def graph_from_chunks(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("number"), F.col("source").alias("title"), F.lit("").alias("date"), "source", F.lit("").alias("link"), F.expr(_CITED).alias("text"), F.lit(0).alias("pos"))
-    aliases = spark.createDataFrame([("Banks", "Bank")], "alias string, canonical string")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("number"), F.col("source").alias("title"), F.lit("").alias("date"), "source", F.lit("").alias("link"), F.expr(_GRAPH_TEXT).alias("text"), F.lit(0).alias("pos"))
+    aliases = spark.sql("select 'Banks' as alias, 'Bank' as canonical")
     g = AS.graph_from_chunks(docs, TAXONOMY, ("Banks",), aliases)
-    count = lambda k: g[k].agg(F.count("*").alias("cnt")).select(F.lit(k).alias("kind"), "cnt")
-    return count("circulars").unionByName(count("supersedes"))
+    out = g["circulars"].select(F.lit("circulars").alias("kind"), F.col("number").alias("src"), F.lit("").alias("dst"))
+    for kind in ("about", "applies_to", "amends", "supersedes"):
+        out = out.unionByName(g[kind].select(F.lit(kind).alias("kind"), "src", "dst"))
+    return out
 
 
 _DOMAIN_ROWS = " union all ".join(f"select item_id, '{s}' as source from q where " + " or ".join("contains(lower(q), '{}')".format(w.replace("'", "''")) for w in ws) for ws, ss in V.DOMAINS.values() for s in ss)
 _ASKED = "case item_id % 5 when 0 then 'We are a Type 2 NBFC. Which KYC rule applies to us? And what of customs duty?' when 1 then 'What is the ITC limit under rule 36?' when 2 then 'as an importer, is a bill of entry needed?' when 3 then 'insider trading norms of SEBI' else 'Nothing of note' end"
 
 
-@query(f"with q as (select item_id, {_ASKED} as q from benchmark) select item_id, string_agg(distinct source, ',' order by source) as sources from ({_DOMAIN_ROWS}) group by 1")
+@query(f"with q as (select item_id, text || ' ' || {_ASKED} || ' ' || text as q from benchmark) select item_id, string_agg(distinct source, ',' order by source) as sources from ({_DOMAIN_ROWS}) group by 1")
 def domain_detect(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASKED).alias("q"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", "text", F.expr(_ASKED), "text").alias("q"))
     return q.select("item_id", F.array_join(T.domain_sources(F.col("q")), ",").alias("sources")).where("sources is not null")
 
 
-@query(f"with q as (select item_id, {_ASKED} as q from benchmark) select item_id, nullif(trim(regexp_extract(q, '{V.ASKER.replace(chr(39), chr(39) * 2)}', 1)), '') as asker, case when len(list_filter(string_split(q, '?'), lambda p: length(trim(p)) > 10)) > 0 and contains(q, '?') then len(list_filter(string_split(q, '?'), lambda p: length(trim(p)) > 10)) else 1 end as parts from q")
+@query(f"with q as (select item_id, text || ' ' || {_ASKED} || ' ' || text as q from benchmark) select item_id, nullif(trim(regexp_extract(q, '{V.ASKER.replace(chr(39), chr(39) * 2)}', 1)), '') as asker, case when len(list_filter(string_split(q, '?'), lambda p: length(trim(p)) > 10)) > 0 and contains(q, '?') then len(list_filter(string_split(q, '?'), lambda p: length(trim(p)) > 10)) else 1 end as parts from q")
 def question_parts(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASKED).alias("q"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.concat_ws(" ", "text", F.expr(_ASKED), "text").alias("q"))
     return q.select("item_id", T.asker(F.col("q")).alias("asker"), F.size(T.sub_questions(F.col("q"))).cast("long").alias("parts"))
 
 

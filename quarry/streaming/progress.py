@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The frame as Parquet in the shared folder, read back; cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/quarry/{uuid.uuid4().hex}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def progress(spark: SparkSession, path: str, glob: str, schema: StructType, by: str) -> DataFrame:
     """Events by kind (cnt), and the running total in order of kinds (total), as a stream over the files
     there now would report at its end."""

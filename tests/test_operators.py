@@ -27,11 +27,11 @@ def test_json_and_csv(spark):
     assert out.columns == ["p", "q", "r"] and {tuple(r) for r in out.collect()} == {("1", "x, y", None), (None, None, "2")}
 
 
-def test_fold_keeps_limits():
-    s = [" ".join(["w"] * 30) + "." for _ in range(20)] + [" ".join(["x"] * 250)]
-    out = sections.fold(s, 100, 80, 140, 40, sections.count_tokens)
+def test_chunk_texts_keep_limits():
+    s = " ".join(["W" + " ".join(["w"] * 29) + "." for _ in range(20)] + ["X " + " ".join(["x"] * 249)])
+    out = sections.chunk_texts(s, 100, 80, 140, 40, sections.count_tokens)
     assert all(sections.count_tokens(c) <= 140 for c in out)
-    assert sum(c.count("x") for c in out) == 250 and out[-1].count("x") == 50
+    assert sum(c.count("x") for c in out) == 249 and out[-1].count("x") == 50
 
 
 def test_chunks_cover_documents(spark):
