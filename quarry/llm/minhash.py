@@ -176,8 +176,11 @@ def _missed(members: DataFrame, label: DataFrame, docs: DataFrame, first: DataFr
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     left = materialize(labelled.join(mixed, "key", "left_semi").groupBy("doc_id").agg(F.first("n").alias("n"), F.first("c").alias("c")), "left")
     discard(labelled)
-    rest = materialize(across(left, docs, words, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    return confirmed(rest, docs, words, percent)
+    near = across(left, docs, words, percent)
+    rest = materialize(near.join(first, ["a", "b"], "left_anti"), "pairs")
+    out = confirmed(rest, docs, words, percent)
+    discard(left, near, rest)
+    return out
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_hubs: bool = False) -> DataFrame:
@@ -185,7 +188,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
 
     Components of links at percent of Jaccard similarity on shingles of ``words`` words, letters A-Z in
     lower case.  Null, empty and white-space texts have no shingles, link with nothing and are kept.
-    Rows that repeat an id count as copies of one document if their texts agree; each row is returned.
+    An id names one document: rows that repeat it belong together, so what is like either of their texts
+    is in one component; each row is returned.
     A row without an id belongs to the component of the equal texts with one; without such it has a null
     component and no say about keeping.  With ``by_hubs`` only links with the hubs of a set's buckets are
     followed, which is enough where classes serve for counting.
@@ -207,8 +211,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     links = confirmed(first, docs, words, percent)
     label = components(links)
     if not by_hubs:
-        label = components(links.unionByName(_missed(members, label, docs, first, words, percent)))
-    discard(members)
+        missed = _missed(members, label, docs, first, words, percent)
+        label = components(links.unionByName(missed))
+        discard(missed)
+    discard(members, first, links)
     named = groups.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     full = table.where("n_shingles > 0").join(named, ["set_a", "set_b", "n_shingles"])
     out = full.select("doc_id", "n_shingles", "component_id").unionByName(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, embeddings, lines, minhash, packing, pii, quality, queries, secrets, substrings, urls
+from quarry.llm import common, decontamination, embeddings, lines, minhash, packing, pii, quality, queries, secrets, substrings, urls
 
 LONG = "word " * 60_000
 PASSAGE = " ".join(f"passage{i}" for i in range(50))
@@ -90,6 +90,25 @@ def test_minhash_without_rows_and_with_null_ids(empty, awkward):
     assert minhash.near_duplicates(awkward).count() == len(DOCS)
 
 
+def test_minhash_of_rows_that_share_an_id(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("one", "two"))
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, "of its own")]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session())
+
+
 def test_sketch_agreement_estimates_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 62, 1000).astype(np.uint64)
@@ -343,6 +362,37 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([scored[r["doc_id"]]["predicted"] == r["quality"] for r in labels]) > 0.9
 
 
+def test_context_sums_equal_brute_force(spark):
+    texts = ["a b c a", "one", "", None, "b  c\na b", "x y"]
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    vector = {}
+    for t in texts:
+        words = split(t)
+        for w in words:
+            h = quality.H.words([w])[3]
+            positions, signs = quality._index(h)
+            v = np.zeros(quality.DIM)
+            np.add.at(v, positions[0], signs[0])
+            vector[w] = (quality._bucket(h)[0], v)
+        for a, b in zip(words, words[1:], strict=False):
+            want[vector[a][0]] += vector[b][1]
+            want[vector[b][0]] += vector[a][1]
+    got = quality.context_sums(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert np.array_equal(got, want)
+    unit = quality.word_vectors(want)
+    pooled = quality.pooled(["a b c a".encode(), b"", "B9 B9, é!".encode()], unit)
+    assert np.allclose(pooled[0, : quality.DIM], np.mean([unit[vector[w][0]] for w in split("a b c a")], axis=0), atol=1e-6)
+    assert not pooled[1].any()
+    counts, size, same, upper, marks, digit = pooled[2, -6:]
+    assert [counts, size, same, upper, marks, digit] == pytest.approx([np.log1p(3), 8 / 3, 0, 2 / 3, 2 / 3, 2 / 3])
+
+
+def test_scores_on_the_threshold_are_predicted():
+    network = quality.Network()
+    network.prior = 0.3
+    assert (network.scores(np.zeros((1, quality.FEATURES))) >= quality.THRESHOLD - 1e-12).all()
+
+
 def test_quality_edge_cases(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (7, 1), (10, None), (None, 1)], "doc_id long, quality int")
     network, vectors = quality.fit(awkward, labels)
