@@ -39,19 +39,21 @@ WIDE = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9][.:]|[0-9A-Fa-f]:", "card": r"[0-9]{4}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]|[0-9][)\x20.-]"}
-#: Gazetteers: a candidate's text in lower case is searched for these.
+# Gazetteers, which a candidate's text in lower case is searched for: mail domains and top
+# levels, private and documentation networks, issuers' ranges, calling codes.
 GAZETTEER = {
-    "email": r"(?:gmail|yahoo|hotmail|outlook|icloud|proton|mail)[0-9]*\.|\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(?:10|127|172|192)\.|^(?:fe80|2001|fd[0-9a-f]{2}):",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|3[068]|6011|65)",
-    "phone": r"^\+(?:1|33|34|44|49|61|81|86|91)[^0-9]|555",
+    "email": r"(?:gmail|googlemail|yahoo|hotmail|outlook|live|icloud|proton(?:mail)?|gmx|web|orange|wanadoo|free|laposte|terra|telefonica|mail)[0-9]*\.|\.(?:com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|de|at|ch|fr|be|es|mx|ar|co|it|nl|pl|pt|br|uk|ie|us|ca|au|in|jp)$",
+    "ip": r"^(?:0?10|127|169\.254|172\.(?:1[6-9]|2[0-9]|3[01])|192\.(?:168|0\.2)|198\.51\.100|203\.0\.113)\.|^(?:fe80|2001|2a0[0-9a-f]|2[46]0[0-9a-f]|fd[0-9a-f]{2}|ff0[0-9a-f]|::1)",
+    "card": r"^(?:4|5[0-8]|2[2-7]|3[47]|3[0568]|6011|6[2-5]|81)",
+    "phone": r"^\+(?:1|7|2[07]|2[1-689][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9])[^0-9]|555",
 }
-#: Words that announce a kind, looked for in the characters before a candidate.
+# Words (English, German, French, Spanish) that announce a kind, looked for in the
+# characters before a candidate.
 CONTEXT = {
-    "email": r"e-?mail|mailto|contact|write to|reach",
-    "ip": r"\bip\b|address|host|server|login|from",
-    "card": r"card|visa|master|amex|credit|payment|pan\b",
-    "phone": r"phone|tel\b|tel[.:]|call|mobile|fax|cell|contact",
+    "email": r"e-?mail|mailto|contact|write to|reach|kontakt|schreib|erreich|courriel|m[ée]l\b|[ée]cri[vst]|joindre|correo|escrib",
+    "ip": r"\bip\b|address|adress|direcci[óo]n|host|server|serveur|servidor|login|from|von|anmeld|connexion|conexi[óo]n|netz|r[ée]seau|\bred\b",
+    "card": r"card|karte|carte|tarjeta|visa|master|amex|credit|kredit|cr[ée]dit|payment|zahlung|paiement|pago|\bpan\b",
+    "phone": r"phone|telefon|t[ée]l[ée]phon|tel[ée]fono|\btel\b|tel[.:]|t[ée]l[.:]|call|ruf|appel|llam|mobil|m[óo]vil|portable|handy|fax|cell|contact|kontakt",
 }
 BEFORE = 30
 EMPTY = "cast(array() as array<struct<start:int,end:int,s:string,before:string,after:string>>)"

@@ -25,7 +25,14 @@ MAX_FINDINGS, TREES, DEPTH, LEAF = 20_000, 15, 5, 8
 BESIDE = 40
 CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,}+|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----|(?<=[\x22\x27:=\x20])(?<=(?i:passw(?:or)?d|pwd|secret|token|api.?key)[\x22\x27]?\x20?[:=]\x20?[\x22\x27]?)[^\s\x22\x27<>]{6,200}"
 # Fragments of dictionary words, words beside secrets and beside harmless identifiers.
-DICTIONARY = ("the", "and", "tion", "ing", "ment", "able", "name", "user", "test", "example", "sample", "value", "string", "data", "file", "image", "content", "version", "public", "class", "index", "table", "time", "date", "page", "local", "config", "install", "license", "your", "here", "with", "from", "that", "this", "have", "home", "work", "light", "heit", "keit", "ung", "sch", "ent", "eau", "ment", "ción", "ado")
+DICTIONARY = (
+    "the", "and", "tion", "ing", "ment", "able", "ible", "ness", "less", "ful", "ous", "ive", "ence", "ance", "ally", "ward", "name", "user", "test", "example", "sample", "value", "string", "data",
+    "file", "image", "content", "version", "public", "class", "index", "table", "time", "date", "page", "local", "config", "install", "license", "your", "here", "with", "from", "that", "this", "have",
+    "home", "work", "light", "main", "list", "item", "node", "type", "text", "view", "model", "service", "client", "server", "request", "response", "error", "result", "number", "object", "create",
+    "update", "delete", "select", "default", "system", "module", "source", "target", "build", "start", "stop", "read", "write", "open", "close", "first", "last", "next", "other", "about", "after",
+    "heit", "keit", "ung", "lich", "isch", "schaft", "sch", "ein", "und", "der", "die", "das", "nicht", "ver", "ent", "eau", "elle", "eur", "aire", "que", "les", "des", "pour", "dans", "avec",
+    "ción", "mente", "ado", "ido", "para", "como", "pero", "esta", "los", "las", "ero", "dad",
+)
 SECRET_WORDS = r"token|secret|passw|passwd|pwd|api.?key|apikey|auth|bearer|credential|private|access.?key|client.?key|signing"
 HARMLESS_WORDS = r"commit|sha1|sha256|md5|checksum|digest|hash|uuid|revision|integrity|etag|image|example|placeholder|fixture"
 PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "hi", "ri", "ro", "ic", "ne", "ra", "ch", "ie", "ei", "qu", "ue", "os", "la", "el", "un", "do", "ta", "mi", "au", "ge")
