@@ -169,7 +169,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     discard(held)
     leaves = around.groupBy("ca", "cb").agg(F.min("key").alias("key"), F.min("nl").alias("nl"), F.max("own").alias("own"), F.max("words").alias("words"), F.count("*").alias("n"))
     leaves = materialize(leaves, "leaves")
-    sizes = leaves.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = counts = materialize(leaves.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     several = leaves.where("own <> 0").join(sizes, "key")
 
     def matrix(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +273,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     masks = materialize(masks.where("mask <> 0").groupBy("ca", "cb").agg(F.bit_or("mask").alias("mask")), "masks")
     hits = around.select("doc_id", "th", "pos", "ca", "cb").join(masks, ["ca", "cb"])
     out = materialize(hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "mask")).alias("hits")), "hits")
-    discard(leaves, *made, around, masks)
+    discard(leaves, counts, *made, around, masks)
     return out
 
 
