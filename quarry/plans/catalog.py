@@ -836,7 +836,16 @@ def ask_analysis(spark, sf_dir):
     return AS.ask(asked_chunks(spark, sf_dir), AS.planned(spark, "Explain RBI/2023-24/3"), first_vector(spark, sf_dir)).select("rank", "id", "score")
 
 
-@query()
+@query(
+    _ASKED_SCORES
+    + """, pos as (select *, 'RBI/2023-24/' || label as number, 'text ' || (id % 40) as text from s where score >= 0), fetched as (select * from pos order by score desc, id limit 50),
+g as (select number, max(score) as best from fetched group by 1 order by best desc, number limit 5), r as (select *, row_number() over (order by best desc, number) as rank, count(*) over () as n, sum(best) over () as total from g),
+t as (select *, (select best from r where rank = 1) as b1, coalesce((select best from r where rank = 2), 0.0) as b2, greatest(2, cast(round_even(12 * best / total, 0) as integer)) as slots from r),
+a as (select number, case when b1 > 0.6 and (n = 1 or b1 > b2 * 1.2) then case when rank = 1 then greatest(12 - 2 * (n - 1), 6) else 2 end else greatest(0, least(slots, 12 - coalesce(sum(slots) over (order by rank rows between unbounded preceding and 1 preceding), 0))) end as slots from t),
+w as (select id, text, round(score + 0.1, 6) as score from (select s.*, a.slots, row_number() over (partition by s.number order by s.score desc, s.id) as rn from pos s join a using (number)) where rn <= slots order by score desc, id limit 12),
+d as (select *, row_number() over (partition by text order by score desc, id) as k from w)
+select cast(row_number() over (order by score desc, id) as integer) as rank, id, score from d where k = 1"""
+)
 def ask_question(spark, sf_dir):
     return AS.ask(asked_chunks(spark, sf_dir), AS.planned(spark, "Which requirement applies to NBFC lending?"), first_vector(spark, sf_dir)).select("rank", "id", "score")
 
