@@ -140,11 +140,12 @@ def topics_json(raw: Column) -> Column:
 
 
 def normalize_topic(subject: Column) -> Column:
-    """Lower case without a leading phrase, single blanks, words capitalized."""
+    """Lower case without a leading phrase, single blanks, each run of letters capitalized."""
     topic = F.lower(F.trim(subject))
     for prefix in ("regarding ", "re: ", "circular on ", "notification on "):
         topic = F.when(topic.startswith(prefix), F.substring(topic, len(prefix) + 1, 10_000)).otherwise(topic)
-    return F.initcap(F.trim(F.regexp_replace(topic, r"\s+", " ")))
+    runs = F.split(F.trim(F.regexp_replace(topic, r"\s+", " ")), r"(?<!\p{L})(?=\p{L})")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 10_000))), "")
 
 
 def sanitized(identifier: Column) -> Column:

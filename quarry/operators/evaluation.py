@@ -42,12 +42,17 @@ def bands(scores: DataFrame, own: str) -> DataFrame:
     return a.groupBy(band.alias("band")).agg(F.count("*").alias("cnt"), F.count_if(F.col("average") >= 4.5).alias("excellent"))
 
 
-def diagnosis(hits: DataFrame, expected: str, source: str) -> DataFrame:
-    """By question: share of hits of the expected source, drop-off of scores, severity of the miss rate."""
+def diagnosis(hits: DataFrame, expected: str, source: str, year: str | None = None) -> DataFrame:
+    """By question: hits of the expected source and their share, how many sources there are and the share of
+    the most frequent one, mean score, drop-off of scores, spread of years, severity of the miss rate."""
     correct = F.count_if(F.col(source) == F.col(expected))
     rate = F.lit(100.0) * (F.count("*") - correct) / F.count("*")
     severity = F.when(rate < 25, "LOW").when(rate < 50, "MEDIUM").otherwise("HIGH")
-    return hits.groupBy("question").agg(F.count("*").alias("hits"), correct.alias("correct"), F.round(rate, 1).alias("issue_rate"), F.round(F.max("score") - F.min("score"), 6).alias("drop_off"), severity.alias("severity"))
+    of = Window.partitionBy("question", source)
+    rows = hits.withColumn("_same", F.count("*").over(of))
+    more = [F.count_distinct(source).alias("sources"), F.round(F.lit(100.0) * F.max("_same") / F.count("*"), 1).alias("main_share"), F.round(F.avg("score"), 4).alias("context_score")]
+    more += [(F.max(year) - F.min(year)).alias("year_spread")] if year else []
+    return rows.groupBy("question").agg(F.count("*").alias("hits"), correct.alias("correct"), F.round(F.lit(100.0) * correct / F.count("*"), 1).alias("correct_pct"), F.round(rate, 1).alias("issue_rate"), F.round(F.max("score") - F.min("score"), 6).alias("drop_off"), severity.alias("severity"), *more)
 
 
 def last_turns(turns: DataFrame, n: int = 10) -> DataFrame:

@@ -13,6 +13,11 @@ def unprocessed(records: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return records.join(done.select(key), key, "left_anti")
 
 
+def ready(content: str, length: Column, extra: str, flag: str, least: int = 500, most: int = 30_000) -> Column:
+    """Records to be worked on: content of a length between the bounds, and no flag in their JSON."""
+    return F.col(content).isNotNull() & (length > least) & (length < most) & F.get_json_object(extra, f"$.{flag}").isNull()
+
+
 def new_records(batch: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Rows of a batch whose key is not stored; rows without a key count as new."""
     return batch.join(existing.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")

@@ -135,9 +135,10 @@ def audit_short_content(spark, sf_dir):
 # ---- selections and reports -------------------------------------------------------------------
 
 
-@query("select doc_id, source, n_chars from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) and n_chars > 500 order by n_chars desc, doc_id limit 50")
+@query("select doc_id, source, n_chars from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id) and n_chars > 500 and n_chars < 30000 and doc_id % 3 <> 0 order by n_chars desc, doc_id limit 50")
 def unprocessed_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").where("n_chars > 500")
+    docs = table(spark, sf_dir, "documents").withColumn("extra", F.expr("case when doc_id % 3 = 0 then '{\"extracted\": true}' when doc_id % 3 = 1 then '{}' end"))
+    docs = docs.where(R.ready("text", F.col("n_chars"), "extra", "extracted")).select("doc_id", "source", "n_chars")
     return R.unprocessed(docs, table(spark, sf_dir, "labels"), "doc_id").orderBy(F.desc("n_chars"), "doc_id").limit(50)
 
 
@@ -745,7 +746,9 @@ def quality_bands(spark, sf_dir):
 s as (select question, expected, vec_id, label, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)), 6) as score from q, v where vec_id <> question),
 h as (select * from (select *, row_number() over (partition by question order by score desc, vec_id) as rn from s) where rn <= 10)
 select question, count(*) as hits, count(*) filter (where label = expected) as correct, round(100.0 * count(*) filter (where label <> expected) / count(*), 1) as issue_rate, round(max(score) - min(score), 6) as drop_off,
-case when 100.0 * count(*) filter (where label <> expected) / count(*) < 25 then 'LOW' when 100.0 * count(*) filter (where label <> expected) / count(*) < 50 then 'MEDIUM' else 'HIGH' end as severity from h group by 1"""
+case when 100.0 * count(*) filter (where label <> expected) / count(*) < 25 then 'LOW' when 100.0 * count(*) filter (where label <> expected) / count(*) < 50 then 'MEDIUM' else 'HIGH' end as severity,
+round(100.0 * count(*) filter (where label = expected) / count(*), 1) as correct_pct, count(distinct label) as sources, round(100.0 * max(same) / count(*), 1) as main_share, round(avg(score), 4) as context_score, max(vec_id % 20) - min(vec_id % 20) as year_spread
+from (select *, count(*) over (partition by question, label) as same from h) group by 1"""
 )
 def retrieval_diagnosis(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
@@ -753,7 +756,7 @@ def retrieval_diagnosis(spark, sf_dir):
     hits = S.search_many(e, asked.select("question", "embedding"), 11).where("id <> question")
     w = Window.partitionBy("question").orderBy(F.desc("score"), "id")
     hits = hits.withColumn("rn", F.row_number().over(w)).where("rn <= 10")
-    return E.diagnosis(hits.join(asked.drop("embedding"), "question").join(e.select("id", "label"), "id"), "expected", "label")
+    return E.diagnosis(hits.join(asked.drop("embedding"), "question").join(e.select("id", "label", (F.col("id") % 20).alias("year")), "id"), "expected", "label", "year")
 
 
 @query("select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc, role desc, text desc) as rn from conversations) where rn <= 2")

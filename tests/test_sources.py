@@ -402,7 +402,7 @@ def test_text_functions_without_a_query(spark):
     df = spark.range(1)
     of = lambda c: one(df, c.alias("x"))["x"]
     assert of(T.sanitized(F.lit("RBI/2023-24 (1)"))) == "RBI/2023-24 (1)" and of(T.sanitized(F.lit("a;b"))) == "" == of(T.sanitized(F.lit("a" * 51)))
-    assert of(T.normalize_topic(F.lit("  Regarding Circular on  kyc norms"))) == "Kyc Norms"
+    assert of(T.normalize_topic(F.lit("  Regarding Circular on  kyc norms"))) == "Kyc Norms" and of(T.normalize_topic(F.lit("re: kyc/aml  o'brien élan"))) == "Kyc/Aml O'Brien Élan"
     assert of(T.topic_label(F.lit("2.1 Scope Of It"), F.lit("x"))) == "scope of it" and of(T.topic_label(F.lit(""), F.lit("First one. Second"))) == "first one."
     assert of(T.embedding_text(F.lit("rbi"), F.lit("T" * 120), F.lit(""), F.lit("H"), F.lit("rule"), F.lit("sum"), F.lit("body"))) == f"[RBI | {'T' * 100} | Section: H | Type: rule]\nsum\nbody"
     assert of(N.bare_title(F.lit("1/24 - On x 5-1-24"), F.lit("1/24"), F.lit("5-1-24"))) == "On x"
