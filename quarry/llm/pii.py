@@ -17,8 +17,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.spans import apart, literal, matches
 from quarry.llm.common import by_column, materialize
-from quarry.llm.spans import apart, literal, matches
 
 # The kinds in their order, and the patterns of base spans.  The patterns are written
 # with possessive quantifiers and look-behinds, which match the same spans without backtracking or

@@ -16,8 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.spans import literal, matches
 from quarry.llm.common import by_column
-from quarry.llm.spans import literal, matches
 
 #: Findings that the forest is trained on: a bound.  Trees, their depth and the least leaf.
 MAX_FINDINGS, TREES, DEPTH, LEAF = 20_000, 15, 5, 8

@@ -10,7 +10,8 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quarry.llm import pii, secrets, spans, urls
+from quarry.functions import spans
+from quarry.llm import pii, secrets, urls
 
 
 def test_running_merges(spark):
