@@ -28,6 +28,8 @@ from quarry.llm.minhash import near_duplicates
 #: Leading tokens of the tree, least tokens of a template, parts of the other tokens, least tokens that a
 #: merged template has outside its field, and the least number of near-duplicate classes.
 DEPTH, SHORT, PARTS, AGREE, RECUR = 2, 3, 4, 4, 10
+#: Bands of the classes' sketches: a pair at a similarity of 0.8 shares none with a probability of 0.002.
+CLASS_BANDS = 16
 #: Templates that are sent to every task (8 bytes each); beyond that they are joined.
 MOST_KEYS = 1_000_000
 _BLANK = b" \t\n\v\f\r"
@@ -89,13 +91,19 @@ def recurring(docs: DataFrame, recur: int, most_keys: int = MOST_KEYS) -> DataFr
     with the hubs of their buckets.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, key = templates(texts_of(batch.column(0)))
-            key, n = np.unique(key.astype(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-    often = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n >= {recur}").select("key")
+            text, _, key = templates(texts_of(batch.column(1)))
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            once = np.append(True, (text[1:] != text[:-1]) | (key[1:] != key[:-1]))[: len(text)]
+            text, key = text[once], key[once].astype(np.int64)
+            ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key))], names=["th", "keys"])
+
+    # the templates of each text, hashed once
+    forms = materialize(docs.select("th", "text").mapInArrow(form, "th long, keys array<long>"), "forms")
+    often = forms.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {recur}").select("key")
     keys = materialize(often, "often")
     known = known_keys(keys, most_keys)
     if known is not None and not len(known):
@@ -103,16 +111,15 @@ def recurring(docs: DataFrame, recur: int, most_keys: int = MOST_KEYS) -> DataFr
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, _, key = templates(texts_of(batch.column(1)))
-            key = key.astype(np.int64)
-            if known is not None:
-                hit = np.flatnonzero(_among(key, known))
-                text, key = text[hit], key[hit]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(key)], names=["th", "key"])
-
-    held = docs.select("th", "text").mapInArrow(hold, "th long, key long")
-    held = held if known is not None else held.join(keys, "key", "left_semi")
+            lists = batch.column(1)
+            key = np.asarray(lists.flatten())
+            hit = np.flatnonzero(_among(key, known))
+            text = np.repeat(np.arange(batch.num_rows), np.asarray(lists.value_lengths()))[hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(key[hit])], names=["th", "key"])
+
+    held = forms.mapInArrow(hold, "th long, key long") if known is not None else forms.select("th", F.explode("keys").alias("key")).join(keys, "key", "left_semi")
     held = materialize(held.select("th", "key").distinct(), "held")
+    discard(forms)
     enough = held.groupBy("key").agg(F.count("*").alias("n")).where(f"n >= {recur}").select("key")
     few = materialize(held.join(enough, "key", "left_semi"), "held")
     discard(keys, held)
@@ -120,7 +127,7 @@ def recurring(docs: DataFrame, recur: int, most_keys: int = MOST_KEYS) -> DataFr
         return few.select("key")
     texts = docs.select("th", "text").join(few.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
     texts = materialize(texts, "texts")
-    classes = near_duplicates(texts, id_col="th", by_hubs=True).select(F.col("doc_id").alias("th"), "component_id")
+    classes = near_duplicates(texts, id_col="th", by_hubs=True, bands=CLASS_BANDS).select(F.col("doc_id").alias("th"), "component_id")
     out = few.join(classes, "th").select("key", "component_id").distinct().groupBy("key").agg(F.count("*").alias("n"))
     out = materialize(out.where(f"n >= {recur}").select("key"), "recurring")
     discard(few, texts)
@@ -173,7 +180,11 @@ def drop_recurring(documents: DataFrame, recur: int = RECUR, most_keys: int = MO
                 gone = [set() if g and t and not o.strip(_BLANK) else g for g, t, o in zip(gone, texts, out, strict=True)]
                 out = [o if g else t for o, t, g in zip(out, texts, gone, strict=True)]
             dropped = [len(g) for g in gone]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([t if t is None else t.decode() for t in out], pa.string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[2:], "text", "n_lines", "n_dropped"])
+            changed = [i for i, g in enumerate(gone) if g]
+            at = np.arange(batch.num_rows)
+            at[changed] = batch.num_rows + np.arange(len(changed))
+            kept = pa.concat_arrays([batch.column(0).cast(pa.string()), pa.array([out[i].decode() for i in changed], pa.string())]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], kept, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*batch.schema.names[2:], "text", "n_lines", "n_dropped"])
 
     if known is not None:
         docs = docs.withColumn("gone", F.lit(None).cast("array<int>"))

@@ -183,7 +183,7 @@ def _missed(members: DataFrame, label: DataFrame, docs: DataFrame, first: DataFr
     return out
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_hubs: bool = False) -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", by_hubs: bool = False, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of documents.
 
     Components of links at percent of Jaccard similarity on shingles of ``words`` words, letters A-Z in
@@ -195,7 +195,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     followed, which is enough where classes serve for counting.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = materialize(sketch_table(docs, words), "sketches")
+    table = materialize(sketch_table(docs, words, bands), "sketches")
     groups = materialize(table.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "groups")
     reps = table.join(groups.select(F.col("rep").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set_a"])
     buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
