@@ -47,6 +47,7 @@ FEATURES = {
     "upper": "length(regexp_replace(m.s, '[^A-Z]', '')) / cast(length(m.s) as double)",
     "hex": "cast(rlike(m.s, '^(?:[0-9a-f]+|[0-9A-F]+)$') as double)",
     "letters_only": "cast(rlike(m.s, '^[A-Za-z]+$') as double)",
+    "plain_word": "cast(rlike(m.s, '^(?:[A-Z]?[a-z]+|[A-Z]+)$') as double)",
     "dictionary": f"1D - length(regexp_replace(lower(m.s), '{'|'.join(DICTIONARY)}', '')) / cast(length(m.s) as double)",
     "repeat": "length(regexp_replace(m.s, r'(.)\\1{2,}', '')) / cast(length(m.s) as double)",
     "path": "cast(rlike(m.before, r'[/.\\\\]$') or regexp_count(m.s, '/') > 1 and regexp_count(m.s, '[a-z]{3,}/') > 1 as double)",
@@ -90,6 +91,8 @@ def synthetic_findings(spark: SparkSession, n: int = 3000, seed: int = 11) -> Da
         lambda: f"{prose()} {take(hexes, 8)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 4)}-{take(hexes, 12)} {prose()}",
         lambda: f"see /home/{word()}/{word()}/{take(lower, 9)}/{word()}_{word()} {prose()}",
         lambda: f"{prose()} {word()}{word()}{word()}{word()}{word()} {prose()}",
+        lambda: f"{prose()}. {take(lower, rng.randint(16, 24)).capitalize()} {prose()}",
+        lambda: rng.choice([str.upper, str.capitalize, str.lower])(f"{word()}{word()}{word()}{word()}{word()}") + f" {prose()}",
         lambda: f'{name()}{sign()}{rng.choice(["x", "0", "a"]) * rng.randint(16, 40)}" {prose()}',
         lambda: f'{name()}{sign()}your_{word()}_here_{word()}_example" {prose()}',
         lambda: f"{prose()} {'=' * rng.randint(16, 60)}\n{prose()} {'-' * 20}",

@@ -508,7 +508,8 @@ def test_secrets_held_out_findings_and_documents(spark, docs, awkward, empty):
     assert np.mean([(r["score"] >= 0.5) == (r["label"] == 1) for r in best.values()]) > 0.95
     found = secrets.scan(docs, forest).where("secret").collect()
     want = {(r["doc_id"], m.start(1), m.end(1)) for r in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"])}
-    assert want <= {(r["doc_id"], r["start"], r["end"]) for r in found}
+    got = {(r["doc_id"], r["start"], r["end"]) for r in found}
+    assert want <= got and len(got - want) <= 0.1 * len(want)
     assert secrets.scan(awkward, forest).where("secret").count() == 0
     assert secrets.scan(empty, forest).collect() == []
 
