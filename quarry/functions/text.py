@@ -199,7 +199,7 @@ def table_markdown(rows: Column) -> Column:
 
 def sub_questions(question: Column) -> Column:
     """The parts of a question that end in a question mark and are longer than ten characters, or all of it."""
-    parts = F.filter(F.transform(F.split(question, r"\?"), F.trim), lambda p: F.length(p) > 10)
+    parts = F.filter(F.transform(F.split(question, r"\?"), lambda p: F.trim(p)), lambda p: F.length(p) > 10)
     return F.when(F.size(parts) > 0, F.transform(parts, lambda p: F.concat(p, F.lit("?")))).otherwise(F.array(F.trim(question)))
 
 

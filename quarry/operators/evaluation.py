@@ -23,6 +23,13 @@ def summary(scores: DataFrame, own: str) -> DataFrame:
     return means.crossJoin(F.broadcast(ours)).select("baseline", "questions", F.round("_m", 2).alias("mean"), F.round(F.col("_own") - F.col("_m"), 2).alias("advantage"))
 
 
+def compared(scores: DataFrame, own: str) -> DataFrame:
+    """Each question's average of every baseline that it has, and our advantage over it."""
+    a = averages(scores)
+    ours = a.where(F.col("baseline") == own).select("question", F.col("average").alias("_own"))
+    return a.join(ours, "question", "left").select("question", "baseline", "average", F.round(F.col("_own") - F.col("average"), 2).alias("advantage"))
+
+
 def criterion_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy("baseline", "criterion").agg(F.round(F.avg("score"), 2).alias("mean"))
 

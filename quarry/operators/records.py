@@ -42,6 +42,11 @@ def page_count(rows: DataFrame, size: int) -> DataFrame:
     return rows.agg(total.alias("total"), F.greatest(F.lit(1), F.ceil(total / size)).cast("int").alias("pages"))
 
 
+def recent(rows: DataFrame, date: str, created: str, key: str, k: int) -> DataFrame:
+    """The k newest rows by a text date, then by when they were made; rows without a date first."""
+    return rows.orderBy(F.desc_nulls_first(date), F.desc(created), key).limit(k)
+
+
 #: How an update meets the stored value of a column.
 OVERWRITE, KEEP_IF_EMPTY, GREATEST = "overwrite", "keep_if_empty", "greatest"
 

@@ -24,6 +24,8 @@ from quarry.operators import retrieval as S
 from quarry.operators import sections as C
 from quarry.sources import connectors as N
 from quarry.sources import html as H
+from quarry.sources import records as SR
+from quarry.sources import sinks as SK
 from quarry.streaming import progress as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,6 +170,27 @@ def dashboard_stats(spark, sf_dir):
     return rows.agg(F.count("*").alias("n_rows"), F.sum(F.size(F.split("text", " "))).alias("obligations"), F.sum(F.expr("n_chars div 100")).alias("thresholds"), F.count_if(F.col("toxic") == 1).alias("high"), F.count_if(F.col("quality").isNotNull()).alias("linked"))
 
 
+@query(RECORDS + "select id, date, n_chars from records order by date desc nulls first, n_chars desc, id limit 30")
+def recent_records(spark, sf_dir):
+    return R.recent(records(spark, sf_dir), "date", "n_chars", "id", 30).select("id", "date", "n_chars")
+
+
+@query("select l.doc_id as id, l.quality, d.source from labels l left join (select * from documents where doc_id % 5 <> 0) d using (doc_id) where date '2024-01-01' + cast(l.doc_id % 300 as integer) >= date '2024-06-01'")
+def obligations_since(spark, sf_dir):
+    made = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")).cast("timestamp")
+    results = table(spark, sf_dir, "labels").withColumn("created_at", made).withColumn("id", F.col("doc_id"))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select("doc_id", "source")
+    return SR.obligations(results, docs, "2024-06-01").select("id", "quality", "source")
+
+
+@query("select doc_id, case when doc_id % 3 < 2 then 'about ' || source end as subject from documents")
+def extraction_forms(spark, sf_dir):
+    held = F.to_json(F.struct(F.concat(F.lit("about "), "source").alias("subject")))
+    quoted = F.to_json(F.array(held))
+    text = F.when(F.col("doc_id") % 3 == 0, held).when(F.col("doc_id") % 3 == 1, F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise("not JSON")
+    return table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(SR.extraction_text(text), "$.subject").alias("subject"))
+
+
 @query("select distinct split_part(source, 'c', 2) as source from documents where lang in ('en', 'de') and source like 'src1%'")
 def source_filter_values(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de") & F.col("source").startswith("src1"))
@@ -726,6 +749,11 @@ def eval_summary(spark, sf_dir):
     return E.summary(scores(spark, sf_dir), "rag")
 
 
+@query(f"with {_SCORES} select a.question, a.baseline, a.average, round(o.average - a.average, 2) as advantage from av a left join av o on o.question = a.question and o.baseline = 'rag'")
+def eval_questions(spark, sf_dir):
+    return E.compared(scores(spark, sf_dir), "rag")
+
+
 @query(f"with {_SCORES} select baseline, criterion, round(avg(score), 2) as mean from scores group by 1, 2")
 def criterion_means(spark, sf_dir):
     return E.criterion_means(scores(spark, sf_dir))
@@ -993,6 +1021,44 @@ def most_common(spark, sf_dir):
     return R.most_common(table(spark, sf_dir, "events"), "event_type", 3)
 
 
+@query(
+    """with c as (select 'u' || (user_id % 700) as chunk_id, event_id, value, event_id % 2 as half from events), old as (select chunk_id, arg_max(value, event_id) as value from c where half = 0 group by 1), new as (select chunk_id, arg_max(value, event_id) as value from c where half = 1 and chunk_id <> 'u3' group by 1)
+select chunk_id, cast(('0x' || substr(sha256(chunk_id), 1, 15)) as bigint) as id, value from (select * from new union all select * from old where chunk_id not in (select chunk_id from new))"""
+)
+def vector_upsert(spark, sf_dir):
+    c = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 700).cast("string")).alias("chunk_id"), "value", "event_id")
+    stored = SK.upsert_vectors(None, c.where("event_id % 2 = 0"), "event_id")
+    return SK.upsert_vectors(stored, c.where("event_id % 2 = 1 and chunk_id <> 'u3'"), "event_id").select("chunk_id", "id", "value")
+
+
+@query(f"with {_EDGES}, {_APPLIES} select src || '' as src, dst || '' as dst from sup union select src || '', dst from applies")
+def graph_merge(spark, sf_dir):
+    text = lambda e: e.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    again = text(supersedes(spark, sf_dir)).unionByName(text(applies_to(spark, sf_dir)))
+    return SK.merge_edges(text(supersedes(spark, sf_dir)), again.unionByName(spark.sql("select '' as src, 'x' as dst union all select null, 'y'")))
+
+
+@query(
+    """select 'rbi' as source, 'Circular ' || doc_id || ' on ' || source as title, case when doc_id % 2 = 0 then '5 Feb 2024' else 'March 1, 2023' end as date, case when doc_id % 4 = 0 then '' else 'RBI/2023-24/' || doc_id end as number, 'https://bank/n/' || doc_id as link from documents
+union all select 'sebi', upper(lang) || ' ' || doc_id, 'd', case when doc_id % 3 = 0 then '' else 'S/' || doc_id end, 'https://m/' || doc_id from documents
+union all select 'mca', 'Rule ' || doc_id, '', '', 'https://c/content/dms?doc=a+' || doc_id || '%2Fb' from documents where doc_id % 2 = 0
+union all select 'cbdt', 'On ' || source, '1-2-24', doc_id || '/24', 'l' || doc_id from documents"""
+)
+def connector_records(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("i", F.col("doc_id").cast("string"))
+    cut = lambda df: df.select("source", "title", "date", F.col("circular_number").alias("number"), "link")
+    detail = F.concat_ws("\n", F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("RBI/2023-24/"), "i")), F.when(F.col("doc_id") % 2 == 1, "March 1, 2023"), "text")
+    title = F.concat(F.lit("Circular "), "i", F.lit(" on "), "source")
+    bank = N.bank_circulars(d.select(F.array(F.when(F.col("doc_id") % 2 == 0, "5 Feb 2024").otherwise("-"), title).alias("cells"), F.concat(F.lit("/n/"), "i").alias("href"), detail.alias("html_text"), F.lit("p").alias("pdf_text")), "https://bank")
+    number = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("Circular No. : S/"), "i"))
+    market = N.market_circulars(d.select(F.concat(F.lit(" "), F.upper("lang"), F.lit(" "), "i").alias("title"), F.lit("d").alias("date"), number.alias("number_text"), F.concat(F.lit("https://m/"), "i").alias("href"), F.lit("v?file=x.pdf").alias("frame")))
+    item = F.struct(F.concat(F.lit("a "), "i", F.lit("/b")).alias("docID"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Rule "), "i")).otherwise(" ").alias("docName"))
+    company = N.company_circulars(d.select(F.to_json(F.struct(F.to_json(F.array(item)).alias("documentDetails"))).alias("body")), "https://c").withColumn("circular_number", F.lit(""))
+    rows = d.select(F.concat("i", F.lit("/24 - On "), "source", F.lit(" 1-2-24")).alias("text"), F.concat("i", F.lit("/24")).alias("number"), F.lit("1-2-24").alias("date"), F.concat(F.lit("l"), "i").alias("link"), F.lit(0).alias("pos"))
+    tax = N.direct_tax_circulars(rows.unionByName(rows.withColumn("pos", F.lit(1)).withColumn("text", F.lit("again"))))
+    return cut(bank).unionByName(cut(market)).unionByName(cut(company)).unionByName(cut(tax))
+
+
 @query("select doc_id, case when doc_id % 3 = 0 then 'a.pdf,b.pdf' when doc_id % 3 = 1 then 'a.pdf,b.pdf,' || source || '.pdf' else 'a.pdf,b.pdf' end as links from documents")
 def attachment_union(spark, sf_dir):
     single = F.expr("case doc_id % 3 when 0 then 'b.pdf' when 1 then concat(source, '.pdf') else '' end")

@@ -133,7 +133,7 @@ def framed_pdf(src: Column) -> Column:
 def detail_lines(text: Column) -> Column:
     """struct (number, date) of a detail page: the first line with a bank's number, and the first short
     line that begins with a month."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     number = F.get(F.filter(lines, lambda x: x.startswith("RBI/")), F.lit(0))
     months = "|".join(MONTHS)
     date = F.get(F.filter(lines, lambda x: x.rlike(f"^(?:{months})") & (F.length(x) < 30)), F.lit(0))
