@@ -40,15 +40,16 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
         _, _, _, h, first = H.words(texts[a:b], lower=True)
         full = H.shingles(h, words)
         sizes = np.diff(first)
-        where = np.repeat(np.arange(b - a), np.maximum(0, sizes - words + 1))
-        inside = np.arange(len(where)) - np.repeat(np.cumsum(np.maximum(0, sizes - words + 1)) - np.maximum(0, sizes - words + 1), np.maximum(0, sizes - words + 1))
-        values = full[first[where] + inside] if len(where) else np.empty(0, dtype=H.U64)
-        short = np.flatnonzero((sizes > 0) & (sizes < words))
-        if len(short):
-            where = np.concatenate([where, short])
-            values = np.concatenate([values, np.array([H.shingles(h[first[i] : first[i + 1]], sizes[i])[0] ^ H.constant(f"size {sizes[i]}") for i in short], dtype=H.U64)])
-        order = np.lexsort((values, where))
-        where, values = where[order], values[order]
+        count = np.where(sizes >= words, sizes - words + 1, np.minimum(sizes, 1))
+        begin = np.cumsum(count) - count
+        where = np.repeat(np.arange(b - a), count)
+        values = np.empty(len(where), dtype=H.U64)
+        long_ = np.flatnonzero(sizes[where] >= words)
+        values[long_] = full[(first[where] - begin[where])[long_] + long_]
+        for i in np.flatnonzero((sizes > 0) & (sizes < words)).tolist():
+            values[begin[i]] = H.shingles(h[first[i] : first[i + 1]], sizes[i])[0] ^ H.constant(f"size {sizes[i]}")
+        for lo, hi in zip(begin.tolist(), (begin + count).tolist(), strict=True):  # short sorts are much faster than one of pairs
+            values[lo:hi].sort()
         keep = np.ones(len(values), dtype=bool)
         keep[1:] = (values[1:] != values[:-1]) | (where[1:] != where[:-1])
         sets.append(values[keep])
