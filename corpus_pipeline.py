@@ -27,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without recurring lines; one that consists of such lines stays as it is, so none is lost."""
-    return _columns(lines.drop_recurring(docs, whole=True))
+    """Documents without recurring lines; one that consists of such lines stays, with what is left of it."""
+    return _columns(lines.drop_recurring(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
