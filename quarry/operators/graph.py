@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from quarry.streaming.progress import written
 
 
-def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node) of all nodes on paths from each start, which is included.
+def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(side, start, node) of all nodes on paths of a side's edges (side, src, dst) from its starts (side, node).
 
     Paths of twice as many edges at each step, so a chain of thousands takes a few steps; each is
     written.  It ends when a step adds no pair, so cycles are no matter.
     """
-    hops = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    walk, before, now = written(starts.select(F.col("node").alias("start"), "node").distinct()), -1, 0
-    while now != before:  # walk: within 2^i - 1 edges; hops: of exactly 2^i
-        before = now
-        more = walk.join(hops, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+    hops = written(edges.select("side", "src", "dst").where("src is not null and dst is not null").distinct())
+    walk, now = written(starts.select("side", F.col("node").alias("start"), "node").distinct()), 0
+    while True:  # walk: within 2^i - 1 edges; hops: of exactly 2^i
+        more = walk.withColumnRenamed("node", "src").join(hops, ["side", "src"]).select("side", "start", F.col("dst").alias("node"))
         walk = written(walk.unionByName(more).distinct())
-        now = walk.count()
-        hops = written(hops.alias("x").join(hops.alias("y"), F.expr("x.dst = y.src")).selectExpr("x.src as src", "y.dst as dst").distinct())
-    return walk
+        if (before := now) == (now := walk.count()):
+            return walk
+        hops = written(hops.join(hops.select("side", F.col("src").alias("dst"), F.col("dst").alias("_to")), ["side", "dst"]).select("side", "src", F.col("_to").alias("dst")).distinct())
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node) of all nodes on paths from each start, which is included."""
+    side = lambda df: df.withColumn("side", F.lit(0))
+    return _walked(side(edges), side(starts)).select("start", "node")
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -31,7 +36,8 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 def chain(supersedes: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node): all that a circular supersedes and all that supersedes it, itself included."""
-    return reachable(supersedes, starts).unionByName(reachable(reverse(supersedes), starts)).distinct()
+    both = supersedes.select(F.lit(0).alias("side"), "src", "dst").unionByName(reverse(supersedes).select(F.lit(1).alias("side"), "src", "dst"))
+    return _walked(both, starts.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "node")).select("start", "node").distinct()
 
 
 def latest(supersedes: DataFrame, starts: DataFrame, nodes: DataFrame) -> DataFrame:
