@@ -16,6 +16,9 @@ MODULES = {
     "op8_packing": "packing",
     "op9_decontamination": "decontamination",
     "op10_embeddings": "embeddings",
+    "op11_bestfit": "bestfit",
+    "op12_negatives": "negatives",
+    "op13_infilling": "infilling",
 }
 
 
