@@ -73,8 +73,7 @@ def test_rounds_lose_and_cut_nothing(spark, seed, low, high, group, carry):
     one = len(set(bestfit.best_fit_decreasing(sizes, 100)[0].tolist()))
     alone = bestfit.pack_best_fit(items(spark, sizes), 100, group, 3, 0, 0).select("sequence_id").distinct().count()
     assert len(bins) <= alone  # without rounds that merge
-    if carry >= 20 or low > 50:
-        assert len(bins) <= one + 3
+    assert len(bins) <= 1.05 * one + 3  # one group of all; groups as small as these have less to choose from
 
 
 def test_merging_rounds_fill_what_groups_leave(spark):
