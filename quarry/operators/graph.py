@@ -2,26 +2,79 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.streaming.progress import written
+from quarry.streaming.progress import discard
+from quarry.streaming.progress import written_and_observed as written
+
+
+#: Steps of a round's search, and written tables before they become one.
+STEPS, TABLES = 8, 12
+#: Nodes of a run's entry.
+RUN = 4
+_AHEAD = [f"_{i}" for i in range(1, RUN + 1)]
+
+
+def _runs(single: DataFrame) -> DataFrame:
+    """(side, src, _1 to _4) of single steps (side, src, dst): the next nodes, null beyond a run's end."""
+    of = lambda df, **names: df.select("side", *(F.col(c).alias(n) for n, c in names.items()))
+    two = of(single, src="src", _1="dst").join(of(single, _1="src", _2="dst"), ["side", "_1"], "left")
+    return two.join(of(two, _2="src", _3="_1", _4="_2"), ["side", "_2"], "left").select("side", "src", *_AHEAD)
 
 
 def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(side, start, node) of all nodes on paths of a side's edges (side, src, dst) from its starts (side, node).
 
-    Paths of twice as many edges at each step, so a chain of thousands takes a few steps; each is
-    written.  It ends when a step adds no pair, so cycles are no matter.
+    A search from a frontier: a round takes STEPS steps from nodes that were new in the round before, and
+    keeps what was not seen.  Nodes with one edge out form runs, which are not walked step by step: tables
+    of what lies RUN, RUN^2, ... single steps ahead give a run of thousands of nodes in a few joins.  No
+    table is larger than the edges or the result, whatever hubs there are.
     """
-    hops = written(edges.select("side", "src", "dst").where("src is not null and dst is not null").distinct())
-    walk, now = written(starts.select("side", F.col("node").alias("start"), "node").distinct()), 0
-    while True:  # walk: within 2^i - 1 edges; hops: of exactly 2^i
-        more = walk.withColumnRenamed("node", "src").join(hops, ["side", "src"]).select("side", "start", F.col("dst").alias("node"))
-        walk = written(walk.unionByName(more).distinct())
-        if (before := now) == (now := walk.count()):
-            return walk
-        hops = written(hops.join(hops.select("side", F.col("src").alias("dst"), F.col("dst").alias("_to")), ["side", "dst"]).select("side", "src", F.col("_to").alias("dst")).distinct())
+    keys = ["side", "start", "node"]
+    ends, kinds = written(edges.where("src <> dst").groupBy("side", "src").agg(F.min("dst").alias("dst"), F.max("dst").alias("_last")), single=F.count_if(F.col("dst") == F.col("_last")), fork=F.count_if(F.col("dst") != F.col("_last")))
+    single, forks = ends.where("dst = _last").drop("_last"), ends.where("dst <> _last").select("side", F.col("src").alias("node"))
+    seen = [written(starts.select("side", F.col("node").alias("start"), "node").distinct())[0]]
+    frontier, runs, entries, hops = seen[0], [], kinds["single"], None
+
+    def unseen(rows: DataFrame) -> tuple[DataFrame, dict]:
+        return written(rows.join(reduce(DataFrame.unionByName, seen), keys, "left_anti"), rows=F.count("*"))
+
+    while True:
+        reached, level = frontier, 0
+        while level < len(runs) or (entries and RUN**level <= kinds["single"]):
+            # reached: what lies within RUN^level - 1 single steps
+            if level == len(runs):
+                ahead = single if not level else runs[-1].where(f"{_AHEAD[-1]} is not null").select("side", "src", F.col(_AHEAD[-1]).alias("dst"))
+                table, full = written(_runs(ahead), full=F.count(_AHEAD[-1]))
+                runs.append(table)
+                entries = full["full"]  # none: no run goes on
+            found = reached.join(runs[level].withColumnRenamed("src", "node"), ["side", "node"])
+            ahead = F.explode(F.array_compact(F.array(*_AHEAD[:-1])))
+            new, count = unseen(found.select("side", "start", ahead.alias("node")).distinct())
+            if not count["rows"]:
+                break
+            seen.append(new)
+            reached, level = reached.unionByName(new), level + 1
+        if not kinds["fork"]:
+            break
+        if hops is None:
+            hops = written(edges.select("side", F.col("src").alias("node"), "dst").where("node <> dst").distinct())[0]
+        step, steps = reached.join(forks, ["side", "node"], "left_semi").select(keys), []
+        for i in range(STEPS):
+            step = step.join(hops, ["side", "node"]).select("side", "start", F.col("dst").alias("node")).distinct()
+            steps.append(step.withColumn("_step", F.lit(i)))
+        new, count = unseen(reduce(DataFrame.unionByName, steps).groupBy(keys).agg(F.min("_step").alias("_step")))
+        if not count["rows"]:
+            break
+        seen.append(new.select(keys))
+        frontier = new.where(F.col("_step") == STEPS - 1).select(keys)
+        if len(seen) > TABLES:
+            seen = [written(reduce(DataFrame.unionByName, seen))[0]]
+    discard(ends, *runs, *([hops] if hops is not None else []))
+    return reduce(DataFrame.unionByName, seen)
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -911,7 +911,8 @@ union all select 'cross_reference', 0, '[CROSS-REGULATOR VIEW: BRAND#1]'
 union all select 'cross_reference', cast(row_number() over (order by source, rn) as integer), line from (select source, rn, '  - ' || node || ': ' || title || ' (' || date || ')' as line from (select *, row_number() over (partition by source order by date desc, node) as rn from t where node in (select src from about where contains(lower(dst), 'brand#1'))) where rn <= 5 union all select distinct source, 0, chr(10) || '  ' || source || ':' from t where node in (select src from about where contains(lower(dst), 'brand#1')))"""
 )
 def graph_context(spark, sf_dir):
-    nodes, edges, one = titled_nodes(spark, sf_dir), graph_edges(spark, sf_dir), start(spark, sf_dir).first()[0]
+    nodes, one = titled_nodes(spark, sf_dir), start(spark, sf_dir).first()[0]
+    edges = {name: P.written(e) for name, e in graph_edges(spark, sf_dir).items()}  # once for all branches
     of = lambda intent: AN.graph_lines(intent, nodes, edges, one, "1-urgent", "BRAND#1").select(F.lit(intent).alias("intent"), "pos", "line")
     out = of("chain")
     for intent in ("latest", "impact", "related", "summary", "cross_reference"):

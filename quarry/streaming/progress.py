@@ -8,7 +8,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,7 +32,24 @@ def written(df: DataFrame) -> DataFrame:
     """The frame as Parquet in the shared folder, read back; cuts its lineage."""
     path = f"{shared_folder(df.sparkSession)}/quarry/{uuid.uuid4().hex}/rows"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def written_and_observed(df: DataFrame, **facts: Column) -> tuple[DataFrame, dict]:
+    """The written frame and aggregates of its rows, taken while they are written."""
+    if not facts:
+        return written(df), {}
+    seen = Observation()
+    return written(df.observe(seen, *(c.alias(name) for name, c in facts.items()))), seen.get
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def progress(spark: SparkSession, path: str, glob: str, schema: StructType, by: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Cases that grow: branches of outcomes, chains, diamonds, retries of one key."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import graph, records
+from quarry.streaming import progress
 
 
 def test_outcomes(spark):
@@ -36,3 +40,57 @@ def test_ids_follow_the_order(spark):
     stored = spark.createDataFrame([(41,)], "n long")
     out = records.with_ids(stored, spark.range(1000).repartition(7), "n", "id").collect()
     assert sorted((r["id"], r["n"]) for r in out) == [(i, 42 + i) for i in range(1000)]
+
+
+def _reachable(edges, starts):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for s in starts:
+        todo, seen = [s], {s}
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        out |= {(s, n) for n in seen}
+    return out
+
+
+@pytest.fixture
+def counted(monkeypatch):
+    """Rows of every table that a walk writes."""
+    rows = []
+
+    def count(df, **facts):
+        out = progress.written_and_observed(df, **facts)
+        rows.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(graph, "written", count)
+    return rows
+
+
+def test_a_hub_is_not_squared(spark, counted):
+    edges = [(i, 5000) for i in range(1500)] + [(5000, 6000 + i) for i in range(1500)]
+    got = {tuple(r) for r in graph.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(7,)], "node long")).collect()}
+    assert got == _reachable(edges, [7]) and len(got) == 1502
+    assert sum(counted) <= 3 * len(edges) + 2 * len(got)  # ends, runs and edges once; 2,250,000 pairs otherwise
+
+
+def test_a_chain_of_thousands(spark, counted):
+    edges = [(i, i + 1) for i in range(5000)] + [(9000 + i, 9000 + (i + 1) % 50) for i in range(50)]
+    got = {tuple(r) for r in graph.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,), (4990,), (9010,)], "node long")).collect()}
+    assert got == _reachable(edges, [0, 4990, 9010]) and len(got) == 5001 + 11 + 50
+    assert len(counted) < 25 and max(counted) <= max(len(edges), len(got))
+
+
+@pytest.mark.parametrize("seed, n, degree", [(1, 60, 1.0), (2, 80, 1.6), (3, 200, 1.1), (4, 40, 4.0)])
+def test_random_graphs(spark, seed, n, degree):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(int(n * degree))]
+    edges += edges[:5] + [(None, 1), (2, None)]
+    starts = rng.sample(range(n), 6) + [10_000]
+    got = sorted(tuple(r) for r in graph.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(s,) for s in starts], "node long")).collect())
+    assert got == sorted(_reachable([e for e in edges if None not in e], starts))
