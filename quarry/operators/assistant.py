@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import dictionary as D
 from quarry.functions import fixed_values as V
 from quarry.functions import text as T
 from quarry.functions.providers import Silent, TextModel, embed, expanded, hashed_embedding, rewritten
@@ -137,7 +138,11 @@ def graph_from_chunks(chunks: DataFrame, taxonomy: dict[str, tuple[str, ...]], e
     lower = F.lower(F.concat_ws(" ", "title", F.substring("text", 1, 2000)))
     about = grouped.select(F.col("number").alias("src"), F.explode(S.topics(lower, taxonomy)).alias("dst"))
     phrases = F.transform(F.regexp_extract_all("text", F.lit(V.APPLIES_TO), F.lit(1)), F.lower)
-    named = F.filter(F.array(*map(F.lit, entities)), lambda e: F.exists(phrases, lambda p: F.contains(p, F.lower(e))))
+    if len(entities) > D.MANY:  # phrases are told apart by a character that no entity holds
+        found = D.phrases_in(F.array_join(phrases, "\x00"), tuple(e.lower() for e in entities))
+        named = F.filter(F.array(*map(F.lit, entities)), lambda e: F.array_contains(found, F.lower(e)))
+    else:
+        named = F.filter(F.array(*map(F.lit, entities)), lambda e: F.exists(phrases, lambda p: F.contains(p, F.lower(e))))
     applies = G.canonical(grouped.select(F.col("number").alias("src"), F.explode(named).alias("dst")), "dst", aliases).distinct()
     laws = F.transform(F.regexp_extract_all("text", F.lit(V.AMENDS), F.lit(1)), lambda r: F.regexp_replace(F.trim(r), r"(?i)^(?:the|of|in|to)\s+", ""))
     amends = grouped.select(F.col("number").alias("src"), F.explode(F.array_distinct(F.filter(laws, lambda r: F.length(r).between(10, 150)))).alias("dst"))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import dictionary as D
+
 
 def cosine(vector: Column, query: list[float]) -> Column:
     """Cosine with a fixed query, in double precision; 0 where a norm is 0."""
@@ -181,6 +183,8 @@ def ranked_sources(hits: DataFrame, key: str, date: str, as_of: str, recent: boo
 
 def matched_words(text: Column, words: dict[str, tuple[str, ...]]) -> Column:
     """Array of (name, count, pos) of the names whose words occur in the lower-case text."""
+    if sum(map(len, words.values())) > D.MANY:
+        return D.matched(text, words)
     counts = [F.struct(F.lit(n).alias("name"), reduce(lambda a, b: a + b, (F.contains(F.lower(text), F.lit(w)).cast("int") for w in ws)).alias("count"), F.lit(i).alias("pos")) for i, (n, ws) in enumerate(words.items())]
     return F.filter(F.array(*counts), lambda c: c["count"] > 0)
 

@@ -7,11 +7,13 @@ entities, pages for crawled HTML, events for failures and progress.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import dictionary as D
 from quarry.functions import fixed_values as V
 from quarry.functions import text as T
 from quarry.operators import answers as AN
@@ -19,9 +21,12 @@ from quarry.operators import assistant as AS
 from quarry.operators import audit as A
 from quarry.operators import evaluation as E
 from quarry.operators import graph as G
+from quarry.operators import keywords as K
 from quarry.operators import records as R
 from quarry.operators import retrieval as S
 from quarry.operators import sections as C
+from quarry.operators import vectors as VI
+from quarry.sources import buckets as B
 from quarry.sources import connectors as N
 from quarry.sources import html as H
 from quarry.sources import records as SR
@@ -1064,3 +1069,100 @@ def connector_records(spark, sf_dir):
 def attachment_union(spark, sf_dir):
     single = F.expr("case doc_id % 3 when 0 then 'b.pdf' when 1 then concat(source, '.pdf') else '' end")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.all_attachments(F.array(F.lit("a.pdf"), F.lit("b.pdf")), single), ",").alias("links"))
+
+
+# ---- indexes and tables in buckets --------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder for a table that a query makes."""
+    return f"{P.shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def keyword_index(spark, sf_dir) -> K.KeywordIndex:
+    """An index of all documents, made in two updates: the first has other texts for a third of the links."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://example.org/"), (F.col("doc_id") % 500).cast("string")).alias("link"), "text")
+    replaced = F.col("id") % 500 % 3 == 0
+    index = K.KeywordIndex(spark, _folder(spark), 16)
+    index.update(docs.withColumn("text", F.when(replaced, F.concat_ws(" ", F.lit("all rights license"), F.reverse("text"))).otherwise(F.col("text"))), 1)
+    index.update(docs.where(replaced), 2)
+    return index
+
+
+_INDEX_WORDS = "string_split_regex(lower(d.text), '[^a-z0-9]+')"
+
+
+@query(_SCORED + f"select s.id, s.score from scored s join documents d on d.doc_id = s.id where (list_contains({_INDEX_WORDS}, 'license') or (list_contains({_INDEX_WORDS}, 'all') and list_contains({_INDEX_WORDS}, 'rights'))) and s.score >= -1 order by s.score desc, s.id limit 12")
+def keyword_index_search(spark, sf_dir):
+    hits = keyword_index(spark, sf_dir).matching(["license", "All rights"])
+    return S.search(chunks(spark, sf_dir).join(hits, "id", "left_semi"), first_vector(spark, sf_dir), 12, -1.0).select("id", "score")
+
+
+#: Frequent words, rare ones, and some that the index does not hold.
+_LOOKED_UP = ("the", "license", "rights", "copyright", "token", "the", "a", "nosuchword", "incomprehensibilitiesofwords")
+
+
+@query(f"select word as term, count(*) as documents from (select distinct doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as word from documents) where word in {_LOOKED_UP!r} and length(word) between 2 and 20 group by 1")
+def term_frequencies(spark, sf_dir):
+    return keyword_index(spark, sf_dir).frequencies(list(_LOOKED_UP))
+
+
+def vector_index(spark, sf_dir) -> VI.VectorIndex:
+    """An index of all embeddings, made of other vectors for every fifth one, which are then replaced."""
+    points = chunks(spark, sf_dir).select("id", "embedding", "label", "kind")
+    index = VI.VectorIndex(spark, _folder(spark), "label int, kind long", 32)
+    index.build(points.withColumn("embedding", F.when(F.col("id") % 5 == 1, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))))
+    index.upsert(points.where("id % 5 = 1"), 1)
+    return index
+
+
+_FEW = (0, 7, 101, 250, 499)
+
+
+@query(f"""with v as (select vec_id as id, label, embedding::double[] as e from embeddings), q as (select id as question, e as f from v where id in {_FEW!r}),
+s as (select question, id, label, round(list_dot_product(e, f) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(f, f)), 6) as score from v, q)
+select question, id, label, score from s where score >= 0.1 qualify row_number() over (partition by question order by score desc, id) <= 10""")
+def vector_index_search(spark, sf_dir):
+    index, out = vector_index(spark, sf_dir), None
+    for row in table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*_FEW)).orderBy("vec_id").collect():  # five questions
+        hits = index.search(list(row["embedding"]), 10, 0.1).select(F.lit(row["vec_id"]).alias("question"), "id", "label", "score")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+_DOMAIN_PHRASES = tuple(dict.fromkeys(w for ws in [*(w for w, _ in V.DOMAINS.values()), *TAXONOMY.values(), *V.TYPE_WORDS.values(), *V.INTENT_WORDS.values()] for w in ws))
+
+
+@query(f"select doc_id, list_aggregate(list_filter([{', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in _DOMAIN_PHRASES)}], lambda w: contains(lower(text), w)), 'string_agg', '|') as phrases from documents")
+def dictionary_phrases(spark, sf_dir):
+    found = D.phrases_in(F.lower("text"), _DOMAIN_PHRASES)
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("p")).select("doc_id", F.when(F.size("p") > 0, F.array_join("p", "|")).alias("phrases"))
+
+
+_MERGED = "select id % 4 as b, id, link, title, case when id % 3 = 0 then '' else content end as content, n_chars from records where link is not null and id % 2 = 1"
+
+
+@query(
+    RECORDS
+    + f""", old as ({_OLD}), new as ({_MERGED}), folded as (select link, arg_max(title, b * 10000000000 + id) as title, arg_max(content, b * 10000000000 + id) filter (where content <> '') as content, max(n_chars) as n_chars from new group by 1)
+select coalesce(o.link, n.link) as link, case when n.link is not null then n.title else o.title end as title, sha256(coalesce(n.content, o.content)) as content, greatest(o.n_chars, n.n_chars) as n_chars from old o full join folded n on o.link = n.link"""
+)
+def bucketed_upsert(spark, sf_dir):
+    r = records(spark, sf_dir).where("link is not null")
+    fields = {"title": R.OVERWRITE, "content": R.KEEP_IF_EMPTY, "n_chars": R.GREATEST}
+    stored = B.Table(spark, _folder(spark), "link string, title string, content string, n_chars long", ["link"])
+    bucketed = lambda df: df.withColumn(B.BUCKET, B.bucket_of(F.col("link"), 8))
+    stored.append(bucketed(R.first_seen(r.where("id % 2 = 0"), "link", "id")))
+    new = r.where("id % 2 = 1").withColumn("content", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("content")))
+    for name in (1, 3, 3, 1):  # batches that are repeated change nothing
+        stored.merge(str(name), bucketed(new.where(F.col("id") % 4 == name)), lambda old, batch: bucketed(R.upsert(old.drop(B.BUCKET), batch, "link", fields, "id")))
+    return stored.read().select("link", "title", F.sha2(F.col("content").cast("binary"), 256).alias("content"), "n_chars")
+
+
+@query(RECORDS + "select id, link from records r where id % 2 = 1 and (link is null or not exists (select 1 from records o where o.id % 2 = 0 and o.link = r.link))")
+def bucketed_new_records(spark, sf_dir):
+    r, name = records(spark, sf_dir).select("id", "link"), f"links_{uuid.uuid4().hex}"
+    path = _folder(spark)
+    for part in (0, 2):
+        B.save_links(r.where(F.col("id") % 4 == part), name, path)
+    return B.not_saved(r.where("id % 2 = 1"), name)
