@@ -32,6 +32,7 @@ from quarry.sources import html as H
 from quarry.sources import records as SR
 from quarry.sources import sinks as SK
 from quarry.streaming import progress as P
+from quarry.streaming import workers as W
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -1166,3 +1167,55 @@ def bucketed_new_records(spark, sf_dir):
     for part in (0, 2):
         B.save_links(r.where(F.col("id") % 4 == part), name, path)
     return B.not_saved(r.where("id % 2 = 1"), name)
+
+
+# ---- workers as streams -------------------------------------------------------------------------
+
+
+def _dealt(rows: DataFrame, by: str, parts: int) -> tuple[str, str]:
+    """Rows as files in ascending order of a column, for a stream that takes some at a time; their folder and fields."""
+    path = _folder(rows.sparkSession)
+    rows.repartitionByRange(parts, by).sortWithinPartitions(by).write.parquet(path)
+    return path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def _stream(spark, path: str, fields: str, files: int) -> DataFrame:
+    return spark.readStream.schema(fields).option("maxFilesPerTrigger", files).option("latestFirst", False).parquet(path)
+
+
+@query(
+    """with f as (select *, (event_type = 'error')::int as bad from events), r as (select *, sum(1 - bad) over (partition by user_id order by event_id rows unbounded preceding) as ok from f),
+s as (select *, cast(sum(bad) over (partition by user_id, ok order by event_id rows unbounded preceding) as integer) as streak from r)
+select user_id, event_id, streak from (select *, coalesce(max((streak >= 2)::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as stop from s) where stop = 0"""
+)
+def breaker_stream(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    events.write.parquet(path := _folder(spark))
+    fields, out = "user_id long, event_id long, event_type string", _folder(spark)
+    stream = W.breaker_stream(_stream(spark, path, fields, 1000), "user_id", "event_id", F.col("event_type") == "error", 2)
+    stream.select("user_id", "event_id", "streak").writeStream.option("checkpointLocation", P.folder(spark)).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema("user_id long, event_id long, streak int").parquet(out)
+
+
+@query("select doc_id, sha256(text || ' ' || n_chars) as digest, 'done' as outcome from documents where n_chars >= 300 union all select doc_id, null, 'no result' from documents where not coalesce(n_chars >= 300, false)")
+def polled_documents(spark, sf_dir):
+    path, fields = _dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id", 6)
+    target, dead, check = _folder(spark), _folder(spark), P.folder(spark)
+    work = lambda batch: batch.where("n_chars >= 300").select("doc_id", F.sha2(F.concat_ws(" ", "text", "n_chars").cast("binary"), 256).alias("digest"))
+    W.poll(_stream(spark, path, fields, 2), work, target, dead, "doc_id", check).awaitTermination()
+    done = W.written_epochs(spark, target, "doc_id long, digest string").select("doc_id", "digest", F.lit("done").alias("outcome"))
+    letters = W.written_epochs(spark, dead, "doc_id long, error string, record string")
+    return done.unionByName(letters.select("doc_id", F.lit(None).cast("string").alias("digest"), F.col("error").alias("outcome")))
+
+
+@query(
+    f"""with f as ({_FAILURES}), c as ({_CACHE}), exact as (select f.*, (select min(copy) from c where c.k = f.k and c.url = f.url) as e from f)
+select event_id, k, url, coalesce(e, (select min(copy) from c where c.k = x.k and starts_with(c.url, x.url))) as copy from exact x"""
+)
+def dead_letter_replay(spark, sf_dir):
+    fix = lambda sql: sql.replace("varchar(9)", "string")
+    failures = table(spark, sf_dir, "events").where("event_type = 'error'").selectExpr(*_items(fix(_FAILURES)[7:].split(" from ")[0]))
+    cache = table(spark, sf_dir, "documents").selectExpr(*_items(fix(_CACHE)[7:].split(" from ")[0]))
+    path, fields = _dealt(failures, "event_id", 4)
+    W.replay(spark, path, fields, cache, "k", "url", target := _folder(spark), P.folder(spark)).awaitTermination()
+    return W.written_epochs(spark, target, f"{fields}, copy long").drop(W.EPOCH)
