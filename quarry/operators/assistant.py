@@ -16,6 +16,8 @@ from quarry.operators import answers as AN
 from quarry.operators import graph as G
 from quarry.operators import retrieval as S
 from quarry.operators import sections as C
+from quarry.operators.keywords import KeywordIndex
+from quarry.operators.vectors import VectorIndex
 
 
 @dataclass(frozen=True)
@@ -59,14 +61,15 @@ def planned(spark, question: str, k: int = 12, source: str | list[str] | None =
     return Plan(said, 20 if row["several"] and k <= 12 else k, number=row["number"], analysis=bool(row["analysis"]), sources=sources or tuple(row["sources"] or ()), types=tuple(row["types"]), intent=row["intent"], asker=row["asker"], parts=tuple(row["parts"]), phrasings=tuple(expanded(said, model)) if several else (said,), keywords=tuple(row["keywords"]))
 
 
-def ask(chunks: DataFrame, plan: Plan, vector: list[float] | None = None, embedded: Callable[[str], list[float]] | None = None) -> DataFrame:
+def ask(chunks: DataFrame, plan: Plan, vector: list[float] | None = None, embedded: Callable[[str], list[float]] | None = None, keywords: KeywordIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
     """Ranked chunks (rank, id, score, payload) for a plan.
 
     Chunks of the circular that the question names come first: all of it in its own order for an
     analysis.  Without any, each phrasing goes through the hierarchy (through a flat search where that
     finds nothing), the hits are united and each text counts once; then keyword hits are merged in.
     chunks has id, number, title, source, kind, text, chunk_index and embedding.  vector: of the question
-    itself; embedded: of other phrasings.
+    itself; embedded: of other phrasings.  keywords, vectors: indexes of the same chunks (the payload of the
+    latter is chunks' columns), by which only a part of the files is read.
     """
     if vector is None and embedded is None:
         dim = len(chunks.select("embedding").first()[0])
@@ -78,10 +81,11 @@ def ask(chunks: DataFrame, plan: Plan, vector: list[float] | None = None, embedd
         hits = S.search(rows, q, 50 if plan.analysis else plan.k, 0.0, F.col("number") == plan.number)
         if not hits.isEmpty():
             return AN.in_order(hits) if plan.analysis else hits.withColumn("rank", F.row_number().over(order))
-    found = None
+    found, own_source = None, F.col("source").isin(*plan.sources) if plan.sources else None
     for i, phrase in enumerate(plan.phrasings or (plan.question,)):
         own = q if phrase == plan.question or embedded is None else embedded(phrase)
-        hits = S.hierarchical(rows, own, "number", "title", "text", plan.k, 5, "kind", list(plan.types))
+        fetch = None if vectors is None else lambda n, own=own: vectors.search(own, n, 0.0, own_source)
+        hits = S.hierarchical(rows, own, "number", "title", "text", plan.k, 5, "kind", list(plan.types), fetch)
         if hits.isEmpty():
             hits = S.search_by_type(rows, own, "kind", list(plan.types), plan.k, plan.threshold) if plan.types else S.search(rows, own, plan.k, plan.threshold)
         hits = hits.withColumn("pos", F.row_number().over(order) + 1000 * i)  # k rows of each phrasing
@@ -89,8 +93,11 @@ def ask(chunks: DataFrame, plan: Plan, vector: list[float] | None = None, embedd
     united = S.deduplicated(found, "text", plan.k).withColumn("pos", F.row_number().over(order))
     if not plan.keywords:
         return united.withColumnRenamed("pos", "rank")
-    tokens = F.split(F.lower("text"), "[^a-z0-9]+")
-    keyword = S.search(rows.where(S.has_keywords(tokens, list(plan.keywords))), q, plan.k, 0.0).withColumn("pos", F.row_number().over(order))
+    if keywords is None:
+        held = rows.where(S.has_keywords(F.split(F.lower("text"), "[^a-z0-9]+"), list(plan.keywords)))
+    else:
+        held = rows.join(keywords.matching(list(plan.keywords)), "id", "left_semi")
+    keyword = S.search(held, q, plan.k, 0.0).withColumn("pos", F.row_number().over(order))
     return S.hybrid_merge(united, keyword, "text", plan.k).drop("pos")
 
 

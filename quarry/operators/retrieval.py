@@ -6,7 +6,7 @@ A search filters before it scores, and takes the top by TakeOrderedAndProject.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -112,13 +112,19 @@ def allocations(groups: DataFrame, k: int) -> DataFrame:
     return g.withColumn("slots", F.when(F.col("dominant"), F.when(F.col("rank") == 1, most).otherwise(2)).otherwise(share).cast("int")).drop("dominant", "n").where("slots > 0")
 
 
-def hierarchical(chunks: DataFrame, query: list[float], number: str, title: str, text: str, k: int, groups: int = 5, kind: str | None = None, preferred: list[str] | None = None) -> DataFrame:
+def hierarchical(chunks: DataFrame, query: list[float], number: str, title: str, text: str, k: int, groups: int = 5, kind: str | None = None, preferred: list[str] | None = None, fetch: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """Best groups first, then chunks within each by its slots, then loose chunks of other texts.
 
-    The second step searches whole groups without the source filter of the first.
+    The second step searches whole groups without the source filter of the first.  fetch: finds so many of
+    the best chunks by an index; then only chunks of the best groups are scored.
     """
-    scored = chunks.withColumn("score", F.round(cosine(F.col("embedding"), query), 6)).drop("embedding").where("score >= 0")
-    fetched = best(scored, 10 * groups)
+    within = chunks
+    if fetch:
+        fetched = fetch(10 * groups)
+        numbers = [r[0] for r in top_groups(fetched, number, groups).collect()]  # at most ``groups``
+        within = chunks.where(F.col(number).isin(numbers))
+    scored = within.withColumn("score", F.round(cosine(F.col("embedding"), query), 6)).drop("embedding").where("score >= 0")
+    fetched = fetched if fetch else best(scored, 10 * groups)
     slots = allocations(top_groups(fetched, number, groups), k)
     # at most ``groups`` rows
     within = scored.join(F.broadcast(slots.select(number, "slots")), number).withColumn("_rn", F.row_number().over(Window.partitionBy(number).orderBy(F.desc("score"), "id"))).where("_rn <= slots").drop("_rn", "slots")

@@ -1219,3 +1219,16 @@ def dead_letter_replay(spark, sf_dir):
     path, fields = _dealt(failures, "event_id", 4)
     W.replay(spark, path, fields, cache, "k", "url", target := _folder(spark), P.folder(spark)).awaitTermination()
     return W.written_epochs(spark, target, f"{fields}, copy long").drop(W.EPOCH)
+
+
+@query(_SQL["ask_question"])
+def ask_by_indexes(spark, sf_dir):
+    """The question of ask_question, answered from a keyword index and a vector index."""
+    asked = asked_chunks(spark, sf_dir)
+    words = K.KeywordIndex(spark, _folder(spark), 8)
+    words.update(asked.select("id", "number", F.col("number").alias("link"), "text"), 1)
+    payload = [(f.name, f.dataType.simpleString()) for f in asked.drop("id", "embedding").schema]
+    index = VI.VectorIndex(spark, _folder(spark), ", ".join(f"{n} {t}" for n, t in payload), 16)
+    index.build(asked)
+    plan = AS.planned(spark, "Which requirement applies to NBFC lending?")
+    return AS.ask(asked, plan, first_vector(spark, sf_dir), keywords=words, vectors=index).select("rank", "id", "score")
