@@ -1,12 +1,13 @@
 """Personal data (operator 7): weak supervision over pattern, gazetteer and context labelers.
 
-Base spans follow the fixed patterns.  Wider patterns propose further candidates; three labelers vote
-on every candidate: the strict pattern, a gazetteer (of mail domains, issuer and calling codes, private
-networks) and the words before it.  The counts of vote combinations over all documents go to an
-expectation-maximisation of the labelers' reliabilities, a table whose size does not depend on the
-input.  The probabilities it gives train a span classifier over binned form and context features, a
-log-linear model, which decides about the candidates that are no base span.  All work on documents is
-done by DataFrame functions.
+Base spans follow the fixed patterns and are certain.  Wider patterns propose further candidates; three
+labelers vote on each of these: a pattern of the well-formed wider form (a checksum, for cards), a
+gazetteer (of mail domains, issuer and calling codes, networks) and the words before it.  The counts of
+vote combinations over all documents go to an expectation-maximisation of the labelers' reliabilities,
+for each kind by itself, a table whose size does not depend on the input.  Base spans take no part in
+it: they differ from the wider forms, so a labeler's rates among them say nothing about those.  The
+probabilities it gives train a span classifier over votes and binned form features, a log-linear
+model, which decides about the candidates.  All work on documents is done by DataFrame functions.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ BASE = {
 }
 #: Wider forms: written-out signs, IPv6, digit groups of any checksum, numbers without country code.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?+(?:@|\[at\]|\(at\))\x20?+[A-Za-z0-9-]++(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]++)*+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?+(?:@|\[at\]|\(at\))\x20?+[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]++)*+",
     "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{1,7}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}[\x20./-]{0,2}[0-9]{4}[\x20./-]{0,2}[0-9]{4}[\x20./-]{0,2}[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
 #: What a text must hold for a pattern to be tried.
@@ -56,6 +57,8 @@ CONTEXT = {
     "phone": r"phone|telefon|t[ée]l[ée]phon|tel[ée]fono|\btel\b|tel[.:]|t[ée]l[.:]|call|ruf|appel|llam|mobil|m[óo]vil|portable|handy|fax|cell|contact|kontakt",
 }
 BEFORE = 30
+#: SQL of a candidate's text with written-out signs in place, which gazetteer and pattern look at.
+_PLAIN = r"regexp_replace(regexp_replace(m.s, r'\x20?(?:@|[\[(]at[\])])\x20?', '@'), r'\x20?[\[(]dot[\])]\x20?', '.')"
 EMPTY = "cast(array() as array<struct<start:int,end:int,s:string,before:string,after:string>>)"
 
 
@@ -74,37 +77,60 @@ VALID = {
 }
 
 
+#: Which candidates have the well-formed wider form of their kind: the vote of the pattern labeler.
+FORMED = {
+    "email": f"rlike({_PLAIN}, r'^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}$')",
+    "ip": "rlike(m.s, '^([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$') or (size(split(m.s, '::', -1)) = 2 and not contains(m.s, ':::') and rlike(m.s, '[0-9A-Fa-f]$'))",
+    "card": f"length({_DIGITS}) between 13 and 19 and luhn_check({_DIGITS})",
+    "phone": f"length({_DIGITS}) between 9 and 12 and rlike(m.s, r'^(\\([0-9]+\\).*|[0-9]+([\x20.-])[0-9]+\\2[0-9]+)$')",
+}
+
+
 def _tagged(source: str, kind: str) -> str:
     return f"transform({source}, m -> named_struct('start', m.start, 'rank', {KINDS.index(kind)}, 'end', m.end, 'kind', '{kind}', 's', m.s, 'before', m.before, 'after', m.after))"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, more): base spans, and further candidates with their votes and features."""
+    """(doc_id, base, votes): base spans, and further candidates with their votes and features."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *(F.expr(_matches(BASE[k], NEEDS[k])).alias(f"b_{k}") for k in KINDS), *(F.expr(_matches(WIDE[k], NEEDS[k])).alias(f"w_{k}") for k in KINDS))
     rows = rows.select("doc_id", "text", *(F.expr(_tagged(f"filter(b_{k}, m -> {VALID[k]})", k)).alias(f"b_{k}") for k in KINDS), *(F.expr(_tagged(f"w_{k}", k)).alias(f"w_{k}") for k in KINDS))
     rows = rows.select("doc_id", F.expr("array_sort(concat(" + ", ".join(f"b_{k}" for k in KINDS) + "))").alias("base"), F.expr("concat(" + ", ".join(f"w_{k}" for k in KINDS) + ")").alias("wide"))
     vote = lambda table: "case m.kind " + " ".join(f"when '{k}' then {table(k)}" for k in KINDS) + " end"
-    gazetteer = vote(lambda k: f"rlike(lower(m.s), {literal(GAZETTEER[k])})")
-    context = vote(lambda k: f"rlike(lower(m.before), {literal(CONTEXT[k])})")
-    features = {
+    facts = {
+        "pattern": vote(lambda k: FORMED[k]),
+        "gazetteer": vote(lambda k: f"rlike(lower({_PLAIN if k == 'email' else 'm.s'}), {literal(GAZETTEER[k])})"),
+        "context": vote(lambda k: f"rlike(lower(m.before), {literal(CONTEXT[k])})"),
         "size": f"cast(least(9, length({_DIGITS}) div 2) as string)",
         "form": "case when rlike(m.s, r'[\\[(]') then 'bracket' when rlike(m.s, r'[0-9][ -][0-9]') then 'grouped' when rlike(m.s, ' ') then 'spaced' else 'solid' end",
         "before": "case when m.start = 0 then 'none' when m.before = '' then 'match' when rlike(m.before, r'\\s$') then 'space' when rlike(m.before, '[A-Za-z0-9]$') then 'word' else 'mark' end",
         "after": "case when m.after = '' then 'none' when rlike(m.after, r'\\s') then 'space' when rlike(m.after, '[A-Za-z0-9]') then 'word' else 'mark' end",
     }
-    facts = lambda strict: f"named_struct('start', m.start, 'rank', m.rank, 'end', m.end, 'kind', m.kind, 'strict', {strict}, 'gazetteer', {gazetteer}, 'context', {context}, " + ", ".join(f"'{k}', {v}" for k, v in features.items()) + ")"
+    place = "'start', m.start, 'rank', m.rank, 'end', m.end, 'kind', m.kind"
     rows = rows.select("doc_id", "base", F.expr(apart("wide", "base")).alias("more"))
-    return rows.select("doc_id", F.expr("transform(base, m -> named_struct('start', m.start, 'rank', m.rank, 'end', m.end, 'kind', m.kind))").alias("base"), F.expr(f"concat(transform(base, m -> {facts('true')}), transform(more, m -> {facts('false')}))").alias("votes"))
+    return rows.select("doc_id", F.expr(f"transform(base, m -> named_struct({place}))").alias("base"), F.expr(f"transform(more, m -> named_struct({place}, " + ", ".join(f"'{k}', {v}" for k, v in facts.items()) + "))").alias("votes"))
 
 
-FEATURES = ("size", "form", "before", "after", "context", "gazetteer")
+#: The labelers, whose votes come first among the features of the classifier.
+LABELERS = ("pattern", "gazetteer", "context")
+FEATURES = (*LABELERS, "size", "form", "before", "after")
+#: What is taken for granted of a wider form before any is seen: the share of personal data, and how often
+#: each labeler votes for it and for anything else; and how much that weighs, in candidates and as a share
+#: of those found.
+PRIOR, RATES = 0.3, ((0.9, 0.3), (0.7, 0.2), (0.6, 0.1))
+WEIGHT, SHARE = 50.0, 0.1
 
 
 def reliabilities(counts: list[tuple[tuple, int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]], dict[tuple, float]]:
     """Expectation-maximisation for one kind: prior, (hit, false) rates of each labeler, and the
-    probability of each vote combination.  counts: (votes, number).  Rates are smoothed by one."""
-    prior, rates = 0.5, [(0.9, 0.1), (0.7, 0.3), (0.6, 0.2)]
+    probability of each vote combination.  counts: (votes, number).
+
+    PRIOR and RATES count as WEIGHT candidates or SHARE of those found, so the two classes keep their
+    meaning however the votes are spread, and few candidates move the rates little.
+    """
+    prior, rates = PRIOR, list(RATES)
+    total = sum(n for _, n in counts)
+    weight = max(WEIGHT, SHARE * total)
     belief: dict[tuple, float] = {}
     for _ in range(rounds):
         for votes, _n in counts:
@@ -112,13 +138,12 @@ def reliabilities(counts: list[tuple[tuple, int]], rounds: int = 50) -> tuple[fl
             for v, (hit, false) in zip(votes, rates, strict=True):
                 yes, no = yes * (hit if v else 1 - hit), no * (false if v else 1 - false)
             belief[votes] = yes / (yes + no)
-        total = sum(n for _, n in counts)
         positive = sum(n * belief[v] for v, n in counts)
-        prior = (positive + 1) / (total + 2)
-        for k in range(len(rates)):
+        prior = (positive + weight * PRIOR) / (total + weight)
+        for k, (at_first, else_) in enumerate(RATES):
             hit = sum(n * belief[v] for v, n in counts if v[k])
             false = sum(n * (1 - belief[v]) for v, n in counts if v[k])
-            hit, false = (hit + 1) / (positive + 2), (false + 1) / (total - positive + 2)
+            hit, false = (hit + weight * at_first) / (positive + weight), (false + weight * else_) / (total - positive + weight)
             rates[k] = (hit, min(false, hit))  # a labeler votes for its kind rather than against it
     return prior, rates, belief
 
@@ -126,21 +151,21 @@ def reliabilities(counts: list[tuple[tuple, int]], rounds: int = 50) -> tuple[fl
 def train(counts: list) -> dict[str, dict]:
     """The span classifier of each kind: an intercept and a weight for each feature value.
 
-    counts: rows of kind, the three votes, the features and n.  The soft labels come from the votes of
-    all labelers; the classifier sees form and context, and is fitted by gradient steps.
+    counts: rows of kind, the features (the three votes among them) and n.  The soft labels come from the
+    votes; the classifier sees the form too, and is fitted by gradient steps.
     """
     models = {}
     for kind in KINDS:
         rows = [r for r in counts if r["kind"] == kind]
         votes: dict[tuple, int] = defaultdict(int)
         for r in rows:
-            votes[(r["strict"], r["gazetteer"], r["context"])] += r["n"]
+            votes[tuple(bool(r[name]) for name in LABELERS)] += r["n"]
         if not votes:
             models[kind] = {"intercept": -1.0, "weights": {}}
             continue
         _, _, belief = reliabilities(sorted(votes.items()))
         total = sum(r["n"] for r in rows)
-        data = [([(f, str(r[f])) for f in FEATURES], belief[(r["strict"], r["gazetteer"], r["context"])], r["n"] / total) for r in rows]
+        data = [([(f, str(r[f]).lower() if f in LABELERS else str(r[f])) for f in FEATURES], belief[tuple(bool(r[name]) for name in LABELERS)], r["n"] / total) for r in rows]
         intercept, weights = 0.0, defaultdict(float)
         for _ in range(300):
             grad0, grad = 0.0, defaultdict(float)
@@ -178,9 +203,9 @@ def find(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     found = materialize(candidates(docs), "candidates")
     votes = found.select(F.explode("votes").alias("m")).select("m.*")
-    counts = votes.groupBy("kind", "strict", *FEATURES).agg(F.count("*").alias("n")).orderBy("kind", "strict", *FEATURES).collect()  # a few thousand combinations at most
+    counts = votes.groupBy("kind", *FEATURES).agg(F.count("*").alias("n")).orderBy("kind", *FEATURES).collect()  # a few thousand combinations at most
     logit = math.log(threshold / (1 - threshold))
-    added = f"filter(votes, m -> not m.strict and {_logit(train(counts))} >= {logit!r}D)"
+    added = f"filter(votes, m -> {_logit(train(counts))} >= {logit!r}D)"
     plain = f"transform({added}, m -> named_struct('start', m.start, 'rank', m.rank, 'end', m.end, 'kind', m.kind))"
     return found.select("doc_id", "base", F.expr(f"array_sort(concat(base, {plain}))").alias("spans"))
 
