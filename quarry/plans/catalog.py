@@ -1232,3 +1232,72 @@ def ask_by_indexes(spark, sf_dir):
     index.build(asked)
     plan = AS.planned(spark, "Which requirement applies to NBFC lending?")
     return AS.ask(asked, plan, first_vector(spark, sf_dir), keywords=words, vectors=index).select("rank", "id", "score")
+
+
+# ---- layouts of legislation, directions and markdown ----------------------------------------------
+
+_EDGE = "chr(10) || chr(9) || chr(13) || ' '"
+
+
+def _layout(docs: DataFrame, layout: str, kind: str) -> DataFrame:
+    parts = C.split_parts(docs.select("doc_id", F.expr(layout).alias("text")), kind)
+    return parts.select("doc_id", "part", "title", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+
+
+_RULES = "concat('Rules of ', source, '.\n', " + ", ".join(f"'Rule {i}. Matter {i} —\n', text, '\n'" for i in range(1, 5)) + ", 'Rule 5A. Last matter —\nNothing more.\n ANNEXURE ', source)"
+
+
+@query(
+    f"select doc_id, part, title, sha256(trim(content, {_EDGE})) as content from ("
+    + " union all ".join(f"select doc_id, '{i}' as part, 'Matter {i}' as title, 'Rule {i}. Matter {i} —' || chr(10) || text as content from documents" for i in range(1, 5))
+    + " union all select doc_id, '5A', 'Last matter', 'Rule 5A. Last matter —' || chr(10) || 'Nothing more.' from documents union all select doc_id, 'FORMS', 'Forms and Annexures', 'ANNEXURE ' || source from documents)"
+)
+def rules_parts(spark, sf_dir):
+    return _layout(table(spark, sf_dir, "documents"), _RULES, "rules")
+
+
+_DIRECTION = "concat(text, '\nChapter I - First matters\n', text, '\nCHAPTER II: Others\nA. First lettered part\n', lower(text), '\nB. Second lettered part\n', lower(text))"
+
+
+@query(
+    f"""with p as (select doc_id, trim(text, {_EDGE}) as head, 'Chapter I - First matters' || chr(10) || text as one, 'A. First lettered part' || chr(10) || lower(text) as a, 'B. Second lettered part' || chr(10) || lower(text) as b from documents),
+q as (select *, trim('CHAPTER II: Others' || chr(10) || a || chr(10) || b, {_EDGE}) as two from p)
+select doc_id, part, title, sha256(trim(content, {_EDGE})) as content from (select doc_id, 'PREAMBLE' as part, 'Preamble and Definitions' as title, head as content from q where length(head) > 200
+union all select doc_id, 'Chapter I', 'First matters', one from q union all select doc_id, 'CHAPTER II', 'Others', two from q where length(two) <= 8000
+union all select doc_id, 'CHAPTER II (A)', 'First lettered part', a from q where length(two) > 8000 union all select doc_id, 'CHAPTER II (B)', 'Second lettered part', b from q where length(two) > 8000)"""
+)
+def direction_parts(spark, sf_dir):
+    return _layout(table(spark, sf_dir, "documents"), _DIRECTION, "direction")
+
+
+_NOTE = "concat('---\nname: ', source, '\n---\n', 'Intro ', text, '\n## First \n', text, '\n##  Second\n', text)"
+
+
+@query(
+    f"""with p as (select doc_id, 'Intro ' || text as head, '## First ' || chr(10) || text as one, '##  Second' || chr(10) || text as two from documents), q as (select *, head || chr(10) || one || chr(10) || two as body from p)
+select doc_id, part, title, sha256(content) as content from (select doc_id, '0' as part, 'Full Document' as title, body as content from q where length(body) < 2000
+union all select doc_id, '0', 'Overview', trim(head, {_EDGE}) from q where length(body) >= 2000 and length(trim(head, {_EDGE})) > 50
+union all select doc_id, '1', 'First', trim(one, {_EDGE}) from q where length(body) >= 2000 union all select doc_id, '2', 'Second', trim(two, {_EDGE}) from q where length(body) >= 2000)"""
+)
+def markdown_parts(spark, sf_dir):
+    return _layout(table(spark, sf_dir, "documents"), _NOTE, "markdown")
+
+
+#: A heading of each form, or none, made of the lines of all texts.
+_FORMED_LINE = r"case n % 7 when 0 then '2.1.3 ' || line when 1 then '12. ' || line when 2 then 'iv. ' || line when 3 then '(7) ' || line when 4 then '  ' || upper(regexp_replace(substr(line, 1, 14), '[^a-z ]', '')) || ':  ' when 5 then 'X. ' || line else line end"
+
+
+@query(
+    r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as n from documents),
+f as (select doc_id, n, trim(""" + _FORMED_LINE.replace("'[^a-z ]', '')", "'[^a-z ]', '', 'g')") + r""") as line from l),
+h as (select doc_id, n, line, case when line = '' then 0 when regexp_matches(line, '^\d+\.\d+[\.\d]*\s+') then 1 when regexp_matches(line, '^\d+\.\s+\S') then 2 when regexp_matches(line, '(?i)^(X{0,3})(IX|IV|V?I{0,3})\.\s+') then 3
+when regexp_matches(line, '^\(\d+\)\s+') then 4 when regexp_matches(line, '^[A-Z][A-Z\s]{3,}:?\s*$') then 5 else 0 end as form from f),
+t as (select *, case form when 5 then regexp_extract(line, '^([A-Z][A-Z\s]{3,}):?\s*$', 1) when 4 then regexp_extract(line, '^\((\d+)\)\s+(.*)', 2) when 3 then regexp_extract(line, '(?i)^((X{0,3})(IX|IV|V?I{0,3}))\.\s+(.*)', 4) when 2 then regexp_extract(line, '^(\d+)\.\s+(\S.*)', 2) else regexp_extract(line, '^(\d+\.\d+[\.\d]*)\s+(.*)', 2) end as name,
+case form when 5 then '' when 4 then regexp_extract(line, '^\((\d+)\)', 1) when 3 then regexp_extract(line, '(?i)^((X{0,3})(IX|IV|V?I{0,3}))\.', 1) when 2 then regexp_extract(line, '^(\d+)\.', 1) else regexp_extract(line, '^(\d+\.\d+[\.\d]*)', 1) end as number from h where form > 0)
+select doc_id, n, case when form in (1, 4) then 2 else 1 end as level, number, case when trim(name) <> '' then trim(name) else number end as heading from t"""
+)
+def heading_forms(spark, sf_dir):
+    formed = F.expr(rf"transform(split(text, '\n'), (line, n) -> {_FORMED_LINE})")
+    made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(formed).alias("n", "line"))
+    made = made.select("doc_id", F.col("n").cast("long").alias("n"), C.heading_of(F.col("line")).alias("h"))
+    return made.where("h is not null").select("doc_id", "n", "h.level", "h.number", "h.heading")
