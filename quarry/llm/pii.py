@@ -91,7 +91,10 @@ def _tagged(source: str, kind: str) -> str:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, votes): base spans, and further candidates with their votes and features."""
+    """(doc_id, base, votes): base spans, and further candidates with their votes and features.
+
+    None of the candidates is ``strict``, which only base spans are.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *(F.expr(_matches(BASE[k], NEEDS[k])).alias(f"b_{k}") for k in KINDS), *(F.expr(_matches(WIDE[k], NEEDS[k])).alias(f"w_{k}") for k in KINDS))
     rows = rows.select("doc_id", "text", *(F.expr(_tagged(f"filter(b_{k}, m -> {VALID[k]})", k)).alias(f"b_{k}") for k in KINDS), *(F.expr(_tagged(f"w_{k}", k)).alias(f"w_{k}") for k in KINDS))
@@ -108,7 +111,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     }
     place = "'start', m.start, 'rank', m.rank, 'end', m.end, 'kind', m.kind"
     rows = rows.select("doc_id", "base", F.expr(apart("wide", "base")).alias("more"))
-    return rows.select("doc_id", F.expr(f"transform(base, m -> named_struct({place}))").alias("base"), F.expr(f"transform(more, m -> named_struct({place}, " + ", ".join(f"'{k}', {v}" for k, v in facts.items()) + "))").alias("votes"))
+    return rows.select("doc_id", F.expr(f"transform(base, m -> named_struct({place}))").alias("base"), F.expr(f"transform(more, m -> named_struct({place}, 'strict', false, " + ", ".join(f"'{k}', {v}" for k, v in facts.items()) + "))").alias("votes"))
 
 
 #: The labelers, whose votes come first among the features of the classifier.
