@@ -107,8 +107,8 @@ def in_order(hits: DataFrame, index: str = "chunk_index") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.coalesce(index, F.lit(0)), "id")))  # 50 rows at most
 
 
-def context_blocks(hits: DataFrame, scores: bool = False) -> DataFrame:
-    """(rank, block): a numbered block for each hit, with a header of the parts that it has.
+def context_blocks(hits: DataFrame, scores: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, rank, block): a numbered block for each hit, with a header of the parts that it has.
 
     hits: rank, source, number, title, date, link, kind, chunk_index, total_chunks, text, and score.
     """
@@ -116,12 +116,12 @@ def context_blocks(hits: DataFrame, scores: bool = False) -> DataFrame:
     place = F.when(F.col("total_chunks") > 1, F.format_string("Part %d of %d", F.col("chunk_index") + 1, "total_chunks"))
     header = [F.concat(F.lit("Source: "), F.col("source")), part("Circular No", "number"), F.concat(F.lit("Title: "), F.col("title")), part("Date", "date"), part("Link", "link"), F.when(F.col("kind") != "general", F.concat(F.lit("Type: "), F.col("kind"))), place]
     header += [F.format_string("Relevance: %.2f", "score")] if scores else []
-    return hits.select("rank", F.concat(F.format_string("[%d] ", "rank"), F.concat_ws(" | ", *header), F.lit("\n"), F.col("text")).alias("block"))
+    return hits.select(*keys, "rank", F.concat(F.format_string("[%d] ", "rank"), F.concat_ws(" | ", *header), F.lit("\n"), F.col("text")).alias("block"))
 
 
-def judge_sources(hits: DataFrame, most: int = 12, width: int = 1200) -> DataFrame:
-    """(rank, block) of the first hits with the beginnings of their texts, for a judge."""
-    return hits.where(F.col("rank") <= most).select("rank", F.concat(F.format_string("[Source %d] ", "rank"), F.concat_ws(" — ", "source", "title"), F.format_string(" (Circular: %s, Relevance: %s)\nContent: ", F.coalesce("number", F.lit("")), F.col("score").cast("string")), F.substring("text", 1, width)).alias("block"))
+def judge_sources(hits: DataFrame, most: int = 12, width: int = 1200, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, rank, block) of the first hits with the beginnings of their texts, for a judge."""
+    return hits.where(F.col("rank") <= most).select(*keys, "rank", F.concat(F.format_string("[Source %d] ", "rank"), F.concat_ws(" — ", "source", "title"), F.format_string(" (Circular: %s, Relevance: %s)\nContent: ", F.coalesce("number", F.lit("")), F.col("score").cast("string")), F.substring("text", 1, width)).alias("block"))
 
 
 def zipped(one: DataFrame, other: DataFrame, pos: str = "pos") -> DataFrame:
@@ -281,6 +281,12 @@ def chat_events(document: str, turns: list[tuple[str, str]], question: str, mode
     yield event("done", None)
 
 
+#: What a judge is told: of every answer, of one with sources, of one without.
+JUDGE = "Score the answer from 1 to 5 by each criterion. Return JSON: scores, a list of criterion, score, reasoning."
+SOURCED = "Hold its claims against the sources."
+UNSOURCED = "It was written without sources: distrust exact numbers and dates, and do not reward vagueness."
+
+
 def judged(answers: DataFrame, model: TextModel) -> DataFrame:
     """(question_id, baseline, criterion, score, reasoning, error) of a judge's JSON; scores are 1 to 5.
 
@@ -292,7 +298,7 @@ def judged(answers: DataFrame, model: TextModel) -> DataFrame:
         for batch in batches:
             rows = []
             for i, baseline, question, answer, truth, sources in batch.itertuples(index=False):
-                blocks = {"Question": question, "Answer": answer, "Expected": truth, "Sources": sources}
+                blocks = {"Task": f"{JUDGE} {SOURCED if sources else UNSOURCED}", "Question": question, "Answer": answer, "Expected": truth, "Sources": sources}
                 try:
                     found = json.loads(unfenced(model.generate("\n\n".join(f"{k}:\n{v}" for k, v in blocks.items() if v))))
                     rows += [(i, baseline, s["criterion"], max(1, min(5, int(s["score"]))), s.get("reasoning", ""), None) for s in found.get("scores", [])]

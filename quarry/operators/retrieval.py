@@ -47,7 +47,7 @@ def search_many(chunks: DataFrame, questions: DataFrame, k: int, block: int = 20
     for b in range(blocks):
         rows = questions.where(F.pmod(F.xxhash64("question"), F.lit(blocks)) == b).orderBy("question").collect()
         ids = np.array([r["question"] for r in rows], dtype=np.int64)
-        q = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        q = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, ids: np.ndarray = ids) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,8 @@ entities, pages for crawled HTML, events for failures and progress.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +21,7 @@ from quarry.functions import text as T
 from quarry.operators import answers as AN
 from quarry.operators import assistant as AS
 from quarry.operators import audit as A
+from quarry.operators import batch_evaluation as BE
 from quarry.operators import evaluation as E
 from quarry.operators import graph as G
 from quarry.operators import keywords as K
@@ -1301,3 +1304,70 @@ def heading_forms(spark, sf_dir):
     made = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(formed).alias("n", "line"))
     made = made.select("doc_id", F.col("n").cast("long").alias("n"), C.heading_of(F.col("line")).alias("h"))
     return made.where("h is not null").select("doc_id", "n", "h.level", "h.number", "h.heading")
+
+
+# ---- evaluation of a batch ------------------------------------------------------------------------
+
+
+class Echo:
+    """Stands for a model: its name and the digest of its prompt, so that an equal answer means an equal prompt."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def generate(self, prompt: str, temperature: float = 0.0) -> str:
+        return f"{self.name} {hashlib.sha256(prompt.encode()).hexdigest()[:12]}"
+
+
+class DigestJudge:
+    """Stands for a judge: scores from the digest of its prompt, before they are clamped."""
+
+    def generate(self, prompt: str, temperature: float = 0.0) -> str:
+        digest = hashlib.sha256(prompt.encode()).hexdigest()
+        return json.dumps({"scores": [{"criterion": c, "score": int(digest[i], 16) % 7} for i, c in enumerate(("accuracy", "depth", "nuance"))]})
+
+
+def _quoted(text: str) -> str:
+    """A text as SQL; its newlines are written by number."""
+    return "(" + " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in text.split("\n")) + ")"
+
+
+_EVALUATED = f"""with v as (select vec_id as id, label, embedding::double[] as e, case vec_id % 3 when 0 then 'rbi' when 1 then 'sebi' else 'cbic' end as source from embeddings),
+q as (select id as question_id, e, 'What follows from topic ' || label || ' for number ' || id || '?' as question, case when id % 100 = 0 then null else source end as of, case when id % 4 = 0 then 'label ' || label end as truth, case when id % 150 = 0 then 'brought ' || id else '' end as custom from v where id % 50 = 0),
+s as (select question_id, id, label, v.source, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)), 6) as score from q, v where of is null or of = v.source),
+h as (select *, row_number() over (partition by question_id order by score desc, id) as rank from (select * from s qualify row_number() over (partition by question_id order by score desc, id) <= 12) where score >= 0.35),
+b as (select question_id, string_agg('[' || rank || '] Source: ' || source || ' | Circular No: C' || label || ' | Title: T' || label || ' | Relevance: ' || cast(round(cast(score as decimal(9, 6)), 2) as varchar) || chr(10) || 'text ' || id, chr(10) || chr(10) order by rank) as context,
+string_agg('[Source ' || rank || '] ' || source || ' — T' || label || ' (Circular: C' || label || ', Relevance: ' || score || ')' || chr(10) || 'Content: text ' || id, chr(10) || chr(10) order by rank) as sources from h group by 1),
+a as (select q.question_id, 'rag' as baseline, case when context is null then {_quoted(BE.NOTHING)} else 'rag ' || substr(sha256({_quoted(AN.system_prompt(None))} || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question), 1, 12) end as answer, coalesce(sources, 'No sources were retrieved.') as sources from q left join b using (question_id)
+union all select question_id, n, n || ' ' || substr(sha256({_quoted(BE.UNAIDED)} || chr(10) || chr(10) || question), 1, 12), null from q, (values ('gpt'), ('gemini')) as names(n)
+union all select question_id, 'custom', custom, null from q where custom <> ''),
+p as (select question_id, baseline, answer, sha256('Task:' || chr(10) || case when sources is null then {_quoted(f"{AN.JUDGE} {AN.UNSOURCED}")} else {_quoted(f"{AN.JUDGE} {AN.SOURCED}")} end || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || 'Answer:' || chr(10) || answer
+|| case when truth is null then '' else chr(10) || chr(10) || 'Expected:' || chr(10) || truth end || case when sources is null then '' else chr(10) || chr(10) || 'Sources:' || chr(10) || sources end) as d from a join q using (question_id)),
+scores as (select question_id, baseline, criterion, greatest(1, least(5, (instr('0123456789abcdef', substr(d, i, 1)) - 1) % 7)) as score from p, (values (1, 'accuracy'), (2, 'depth'), (3, 'nuance')) as c(i, criterion)),
+m as (select question_id, baseline, cast(sum(score) as bigint) as total, round(avg(score), 2) as average from scores group by 1, 2),
+r as (select question_id, baseline, answer, total, average, case when baseline <> 'rag' then round(max(case when baseline = 'rag' then average end) over (partition by question_id) - average, 2) end as advantage from p join m using (question_id, baseline))"""
+
+
+def evaluated(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").withColumn("source", F.expr("case vec_id % 3 when 0 then 'rbi' when 1 then 'sebi' else 'cbic' end"))
+    none = F.lit(None).cast("string")
+    held = e.select(F.col("vec_id").alias("id"), "source", F.expr("concat('C', label)").alias("number"), F.expr("concat('T', label)").alias("title"), none.alias("date"), none.alias("link"), F.lit("general").alias("kind"), F.lit(0).alias("chunk_index"), F.lit(1).alias("total_chunks"), F.expr("concat('text ', vec_id)").alias("text"), "embedding")
+    asked = e.where("vec_id % 50 = 0").selectExpr("vec_id as question_id", "embedding", "concat('What follows from topic ', label, ' for number ', vec_id, '?') as question", "case when vec_id % 100 <> 0 then source end as source", "case when vec_id % 4 = 0 then concat('label ', label) end as truth", "case when vec_id % 150 = 0 then concat('brought ', vec_id) else '' end as custom")
+    return BE.evaluate(asked, BE.retrieved(asked, held), Echo("rag"), {n: Echo(n) for n in ("gpt", "gemini")}, DigestJudge())
+
+
+@query(_EVALUATED + " select question_id, baseline, answer, total, average, advantage from r")
+def evaluation_answers(spark, sf_dir):
+    return evaluated(spark, sf_dir)[0].drop("error")
+
+
+@query(
+    _EVALUATED
+    + """, g as (select baseline, count(*) as questions, round(avg(average), 2) as mean, count(*) filter (where advantage > 0) as wins, count(*) filter (where advantage < 0) as losses, count(*) filter (where advantage = 0) as ties from r group by 1),
+c as (select baseline, string_agg(criterion || '=' || m, ',' order by criterion) as criteria from (select baseline, criterion, round(avg(score), 2) as m from scores group by 1, 2) group by 1)
+select baseline, questions, cast(0 as bigint) as failed, mean, case when baseline <> 'rag' then round((select mean from g where baseline = 'rag') - mean, 2) end as advantage,
+case when baseline <> 'rag' then wins end as wins, case when baseline <> 'rag' then losses end as losses, case when baseline <> 'rag' then ties end as ties, criteria from g join c using (baseline)"""
+)
+def evaluation_report(spark, sf_dir):
+    pairs = F.transform(F.map_entries("criteria"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return evaluated(spark, sf_dir)[2].withColumn("criteria", F.array_join(pairs, ","))
