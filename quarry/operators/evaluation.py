@@ -12,15 +12,15 @@ def clamped(score: Column) -> Column:
 
 
 def averages(scores: DataFrame) -> DataFrame:
-    """Total and average of each answer."""
-    return scores.groupBy("question", "baseline").agg(F.sum("score").cast("long").alias("total"), F.round(F.avg("score"), 6).alias("average"))
+    """Total and average, of two digits, of each answer."""
+    return scores.groupBy("question", "baseline").agg(F.sum("score").cast("long").alias("total"), F.round(F.avg("score"), 2).alias("average"))
 
 
 def summary(scores: DataFrame, own: str) -> DataFrame:
-    """Mean of averages by baseline, and our advantage over each: our mean over all our questions less theirs."""
-    means = averages(scores).groupBy("baseline").agg(F.count("*").alias("questions"), F.avg("average").alias("_m"))
+    """Mean of averages by baseline, and our advantage over each: our mean over all our questions less theirs, both of two digits."""
+    means = averages(scores).groupBy("baseline").agg(F.count("*").alias("questions"), F.round(F.avg("average"), 2).alias("_m"))
     ours = means.where(F.col("baseline") == own).select(F.col("_m").alias("_own"))  # one row
-    return means.crossJoin(F.broadcast(ours)).select("baseline", "questions", F.round("_m", 2).alias("mean"), F.round(F.col("_own") - F.col("_m"), 2).alias("advantage"))
+    return means.crossJoin(F.broadcast(ours)).select("baseline", "questions", F.col("_m").alias("mean"), F.round(F.col("_own") - F.col("_m"), 2).alias("advantage"))
 
 
 def compared(scores: DataFrame, own: str) -> DataFrame:

@@ -131,6 +131,35 @@ def update_content(stored: DataFrame, updates: DataFrame, key: str) -> DataFrame
     return out.withColumns(changed).drop("_content", "_number")
 
 
+def reextracted(stored: DataFrame, tried: DataFrame, key: str, position: str, now: Column) -> DataFrame:
+    """Stored rows after further extractions: content and all that is known of how it came about.
+
+    stored: content, extraction_status, extraction_method, extraction_error, extraction_attempts,
+    extraction_timestamp, content_length, content_hash, updated_at, and any others; tried: key, content,
+    method, error, position.  Of several tries of a key the last by position counts, of equal positions the
+    one of the greatest content; each is an attempt.  Empty content is a failed extraction, with length 0 and
+    no hash.  Keys that are not stored, and tries without a key, change nothing.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    value = F.struct(position, text("content").alias("content"), text("method").alias("method"), text("error").alias("error"))
+    last = tried.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias("_t"), F.count("*").alias("_n"))
+    content = F.col("_t.content")
+    new = {
+        "content": content,
+        "extraction_status": F.when(content != "", "success").otherwise("failed"),
+        "extraction_method": F.col("_t.method"),
+        "extraction_error": F.col("_t.error"),
+        "extraction_attempts": F.coalesce("extraction_attempts", F.lit(0)) + F.col("_n"),
+        "extraction_timestamp": now,
+        "content_length": F.length(content).cast("long"),
+        "content_hash": F.when(content != "", F.sha2(content.cast("binary"), 256)).otherwise(""),
+        "updated_at": now,
+    }
+    out = stored.join(last, key, "left")
+    hit = F.col("_n").isNotNull()
+    return out.select(*(F.when(hit, new[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in new else F.col(f"`{c}`") for c in stored.columns))
+
+
 def resolved(failures: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Failures with ``resolved`` set for the keys that are done, and one attempt more for the others tried."""
     flag = done.select(key, "ok").groupBy(key).agg(F.max("ok").alias("_ok"))

@@ -434,6 +434,25 @@ def extraction_outcome(spark, sf_dir):
     return docs.select("doc_id", R.outcome(F.col("text"), F.col("e")).alias("outcome"))
 
 
+_TRIED = "select doc_id as id, case when doc_id % 5 = 0 then '' else text || ' again' end as content, case when doc_id % 2 = 0 then 'tables' else 'plain' end as method, case when doc_id % 5 = 0 then 'no text' else '' end as error, doc_id % 7 as pos from documents where doc_id % 3 = 0"
+
+
+@query(
+    f"""with n as ({_TRIED} union all select doc_id, 'again', 'ocr', null, 9 from documents where doc_id % 12 = 0), t as (select id, count(*) as tries, arg_max(content, pos) as c, arg_max(method, pos) as m, arg_max(coalesce(error, ''), pos) as e from n group by 1)
+select doc_id as id, sha256(case when t.id is null then text else c end) as content, case when t.id is null then 'success' when c = '' then 'failed' else 'success' end as extraction_status, coalesce(m, 'plain') as extraction_method, coalesce(e, '') as extraction_error,
+1 + coalesce(tries, 0) as extraction_attempts, case when t.id is null then '2024-01-01' else '2025-06-30' end as extraction_timestamp, cast(case when t.id is null then n_chars else length(c) end as bigint) as content_length, case when t.id is null then 'old' when c = '' then '' else sha256(c) end as content_hash,
+case when t.id is null then '2024-01-01' else '2025-06-30' end as updated_at from documents left join t on t.id = doc_id"""
+)
+def reextracted_records(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    old = "'success' as extraction_status", "'plain' as extraction_method", "'' as extraction_error", "1L as extraction_attempts", "'2024-01-01' as extraction_timestamp", "cast(n_chars as long) as content_length", "'old' as content_hash", "'2024-01-01' as updated_at"
+    stored = docs.selectExpr("doc_id as id", "text as content", *old)
+    tried = docs.where("doc_id % 3 = 0").selectExpr(*_items(_TRIED[7:].split(" from ")[0]))
+    again = docs.where("doc_id % 12 = 0").selectExpr("doc_id as id", "'again' as content", "'ocr' as method", "cast(null as string) as error", "9L as pos")
+    out = R.reextracted(stored, tried.unionByName(again), "id", "pos", F.lit("2025-06-30"))
+    return out.withColumn("content", F.sha2(F.col("content").cast("binary"), 256))
+
+
 @query("select event_type, event_id, ts from (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events) where rn = 1")
 def last_wins(spark, sf_dir):
     return R.last_wins(table(spark, sf_dir, "events"), ["event_type"], F.col("ts"), F.col("event_id")).select("event_type", "event_id", "ts")
@@ -744,7 +763,7 @@ def html_listing(spark, sf_dir):
 
 # ---- evaluation and streams -------------------------------------------------------------------
 
-_SCORES = "scores as (select doc_id as question, b.baseline, c.criterion, greatest(1, least(5, cast((doc_id * (c.criterion + 2) + ascii(b.baseline)) % 7 as integer))) as score from labels, (values ('rag'), ('gpt'), ('custom')) as b(baseline), (values (0), (1), (2), (3), (4)) as c(criterion) where baseline <> 'custom' or doc_id % 2 = 0), av as (select question, baseline, round(avg(score), 6) as average from scores group by 1, 2)"
+_SCORES = "scores as (select doc_id as question, b.baseline, c.criterion, greatest(1, least(5, cast((doc_id * (c.criterion + 2) + ascii(b.baseline)) % 7 as integer))) as score from labels, (values ('rag'), ('gpt'), ('custom')) as b(baseline), (values (0), (1), (2), (3), (4)) as c(criterion) where baseline <> 'custom' or doc_id % 2 = 0), av as (select question, baseline, round(avg(score), 2) as average from scores group by 1, 2)"
 
 
 def scores(spark, sf_dir):
@@ -753,7 +772,7 @@ def scores(spark, sf_dir):
     return long.withColumn("score", E.clamped(((F.col("question") * (F.col("criterion") + 2) + F.ascii("baseline")) % 7).cast("int")))
 
 
-@query(f"with {_SCORES}, m as (select baseline, count(*) as questions, avg(average) as m from av group by 1) select baseline, questions, round(m, 2) as mean, round((select m from m where baseline = 'rag') - m, 2) as advantage from m")
+@query(f"with {_SCORES}, m as (select baseline, count(*) as questions, round(avg(average), 2) as m from av group by 1) select baseline, questions, m as mean, round((select m from m where baseline = 'rag') - m, 2) as advantage from m")
 def eval_summary(spark, sf_dir):
     return E.summary(scores(spark, sf_dir), "rag")
 

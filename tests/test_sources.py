@@ -1,5 +1,6 @@
 """Sources, sinks, connectors, streams and what surrounds an answer, on small fixtures."""
 
+import hashlib
 import json
 
 import pytest
@@ -443,3 +444,21 @@ def test_sentences_are_packed_as_a_plain_loop_would(seed):
         now, fresh = [*now, i], True
     want += [(now[0], now[-1] + 1)] if fresh else []
     assert sections.pack_sentences(sizes, 50, least, most, overlap) == want
+
+
+# ---- further extractions --------------------------------------------------------------------------
+
+
+def test_reextraction_sets_every_column(spark):
+    columns = "extraction_status string, extraction_method string, extraction_error string, extraction_attempts long, extraction_timestamp string, content_length long, content_hash string, updated_at string"
+    old = ("failed", "a", "e", None, "t0", 0, "", "t0")
+    stored = spark.createDataFrame([(1, "x", *old, "kept"), (2, "y", *old, "kept"), (3, "z", *old, "kept"), (None, "n", *old, "kept")], f"id long, content string, {columns}, `other.column` string")
+    tried = [(1, "first", "m1", None, 1), (1, "last é", "m2", None, 2), (2, None, None, "broke", 1), (None, "lost", "m", None, 1), (9, "new", "m", None, 1)]
+    out = records.reextracted(stored, spark.createDataFrame(tried, "id long, content string, method string, error string, pos int"), "id", "pos", F.lit("t1"))
+    assert out.columns == stored.columns
+    digest = hashlib.sha256("last é".encode()).hexdigest()
+    assert {r["id"]: tuple(r)[1:] for r in out.collect()} == {
+        1: ("last é", "success", "m2", "", 2, "t1", 6, digest, "t1", "kept"), 2: ("", "failed", "", "broke", 1, "t1", 0, "", "t1", "kept"),
+        3: ("z", *old, "kept"), None: ("n", *old, "kept"),
+    }
+    assert records.reextracted(stored, spark.createDataFrame([], "id long, content string, method string, error string, pos int"), "id", "pos", F.lit("t1")).collect() == stored.collect()
