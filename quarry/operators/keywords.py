@@ -11,12 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.retrieval import has_keywords
+from quarry.operators.retrieval import LONGEST, SHORTEST, has_keywords, searched_words
 from quarry.sources.buckets import BUCKET, Table, bucket_of
 
-# The shortest and longest words of the index.
-SHORTEST, LONGEST = 2, 20
-
 
 def tokens(text: Column, between: str = "[^a-z0-9]+") -> Column:
     """Distinct lower-case words that the index holds."""
@@ -56,9 +53,8 @@ class KeywordIndex:
     def matching(self, keywords: list[str]) -> DataFrame:
         """Ids of chunks that hold all words of any keyword; words that are too short or long do not count,
         and a keyword of no others finds nothing."""
-        held = [" ".join(w for w in k.lower().split() if SHORTEST <= len(w) <= LONGEST) for k in keywords]
-        held = [k for k in held if k]
-        rows = self.found(sorted({w for k in held for w in k.split()}))
+        held = [k for k in keywords if searched_words(k)]
+        rows = self.found(sorted({w for k in held for w in searched_words(k)}))
         if not held:
             return rows.select("id")
         return rows.groupBy("id").agg(F.collect_set("term").alias("terms")).where(has_keywords(F.col("terms"), held)).select("id")

@@ -67,9 +67,19 @@ def search_many(chunks: DataFrame, questions: DataFrame, k: int, block: int = 20
     return out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
+# The shortest and longest words that count in a keyword search.
+SHORTEST, LONGEST = 2, 20
+
+
+def searched_words(keyword: str) -> list[str]:
+    """The lower-case words of a keyword that count."""
+    return [w for w in keyword.lower().split() if SHORTEST <= len(w) <= LONGEST]
+
+
 def has_keywords(tokens: Column, keywords: list[str]) -> Column:
-    """Any keyword whose words are all among the tokens."""
-    return reduce(lambda a, b: a | b, (F.size(F.array_except(F.array(*map(F.lit, kw.lower().split())), tokens)) == 0 for kw in keywords))
+    """Any keyword whose words that count are all among the tokens; a keyword of no others is not found."""
+    held = [words for k in keywords if (words := searched_words(k))]
+    return reduce(lambda a, b: a | b, (F.size(F.array_except(F.array(*map(F.lit, words)), tokens)) == 0 for words in held), F.lit(False))
 
 
 def boosted(hits: DataFrame, kind: str, preferred: list[str], k: int, boost: float = 0.1) -> DataFrame:
