@@ -45,8 +45,11 @@ def insolvency(rows: DataFrame, label: str, base: str) -> DataFrame:
 
 
 def trade_number(number: Column, year: Column) -> Column:
-    """Number with its year, unless it has it."""
-    return F.when((year != "") & ~F.contains(number, year), F.when(number != "", F.concat(number, F.lit("/"), year)).otherwise(year)).otherwise(number)
+    """Number with its year, unless it has it: the year's digits within others, or a bare number that
+    happens to be equal to it, are not its year."""
+    own = F.concat(F.lit("(?<![0-9])"), F.regexp_replace(year, "[^0-9A-Za-z]", r"\\$0"), F.lit("(?![0-9])"))
+    held = F.rlike(number, own) & ~number.rlike("^[0-9]+$")
+    return F.when((year != "") & ~held, F.when(number != "", F.concat(number, F.lit("/"), year)).otherwise(year)).otherwise(number)
 
 
 def trade(rows: DataFrame, label: str, base: str) -> DataFrame:

@@ -462,3 +462,13 @@ def test_reextraction_sets_every_column(spark):
         3: ("z", *old, "kept"), None: ("n", *old, "kept"),
     }
     assert records.reextracted(stored, spark.createDataFrame([], "id long, content string, method string, error string, pos int"), "id", "pos", F.lit("t1")).collect() == stored.collect()
+
+
+# ---- numbers and letters that only look like it ---------------------------------------------------
+
+
+def test_a_number_that_holds_the_years_digits_gets_its_year(spark):
+    pairs = [("2024", "2024"), ("12024", "2024"), ("20240/24", "2024"), ("7/2023-24", "2023-24"), ("7/2024", "2024"), ("5", "2.24"), ("5/2024", "2.24"), ("", "2024"), ("5", ""), (None, "2024"), ("5", None)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, number string, year string")
+    got = [r[0] for r in rows.orderBy("i").select(N.trade_number(F.col("number"), F.col("year"))).collect()]
+    assert got == ["2024/2024", "12024/2024", "20240/24/2024", "7/2023-24", "7/2024", "5/2.24", "5/2024/2.24", "2024", "5", None, "5"]
