@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.samples import least_hashed
 from quarry.llm.common import by_column, discard, materialize
 
 #: Vectors that the centroids are fitted on: a bound.  They decide about speed, not results.
@@ -210,7 +211,7 @@ def _meet(blocks: DataFrame, n_blocks: int, groups: DataFrame, n_groups: int, ca
 
 def _mined(rows: DataFrame, wanted: DataFrame, dim: int, size: int, most: int, positives: int, negatives: int, percent: tuple[int, int]) -> DataFrame:
     """The result for the rows of one length; ``most``: the greatest component."""
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect()
+    sample = least_hashed(rows, ["id", "v"], SAMPLE, size).select("v").collect()
     centroids = fit(np.array([r["v"] for r in sample], dtype=np.int64))
     kind = "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
     n_blocks = -(-size // min(BLOCK, max(LEAST, -(-size // BLOCKS))))

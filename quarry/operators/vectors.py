@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.samples import least_hashed
 from quarry.operators.retrieval import best
 from quarry.sources.buckets import BUCKET, Table
 
@@ -40,7 +41,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def centroids(vectors: DataFrame, clusters: int) -> np.ndarray:
     """Unit centroids by k-means over a sample drawn by hash."""
-    rows = vectors.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()
+    some = vectors.where("embedding is not null")
+    rows = least_hashed(some, ["id"], SAMPLE, some.count()).select("embedding").collect()
     x = _unit(np.array([r[0] for r in rows], dtype=np.float64))
     centres = x[np.linspace(0, len(x) - 1, min(clusters, len(x))).astype(int)]
     for _ in range(STEPS):
