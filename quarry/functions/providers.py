@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.batches import small_batches
+
 
 class TextModel(Protocol):
     def generate(self, prompt: str, temperature: float = 0.0) -> str: ...
@@ -77,6 +79,8 @@ def in_batches(texts: list[str], call: Callable[[list[str]], list[list[float]]],
 def embed(df: DataFrame, text_col: str, dim: int = 64, call: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:
     """Adds ``embedding`` in Arrow batches: by hashed words, or by a remote model's call."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("array<float>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
@@ -118,6 +122,7 @@ def extracted(docs: DataFrame, model: TextModel, text_col: str = "text", key: st
                     rows.append((k, None, str(e)[:500]))
             yield pd.DataFrame(rows, columns=["key", "raw", "error"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text_col).mapInPandas(run, f"key {kind}, raw string, error string").withColumnRenamed("key", key)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed_values as V
 from quarry.functions import text as T
+from quarry.functions.batches import small_batches
 from quarry.functions.providers import TextModel
 from quarry.operators import graph as G
 from quarry.operators import retrieval as S
@@ -306,5 +307,6 @@ def judged(answers: DataFrame, model: TextModel) -> DataFrame:
                     rows.append((i, baseline, None, None, None, str(e)[:500]))
             yield pd.DataFrame(rows, columns=["question_id", "baseline", "criterion", "score", "reasoning", "error"]).astype({"score": "Int64"})
 
+    small_batches(answers.sparkSession)
     kind = answers.schema["question_id"].dataType.simpleString()
     return answers.select("question_id", "baseline", "question", "answer", "truth", "sources").mapInPandas(run, f"question_id {kind}, baseline string, criterion string, score long, reasoning string, error string")

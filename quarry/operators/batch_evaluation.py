@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import fixed_values as V
 from quarry.functions import text as T
+from quarry.functions.batches import small_batches
 from quarry.functions.providers import TextModel
 from quarry.operators import answers as AN
 from quarry.operators import retrieval as S
@@ -76,6 +77,7 @@ def own_answers(questions: DataFrame, hits: DataFrame, model: TextModel) -> Data
                     rows.append((i, None, sources, str(e)[:500]))
             yield pd.DataFrame(rows, columns=["question_id", "answer", "sources", "error"])
 
+    small_batches(questions.sparkSession)
     kind = questions.schema["question_id"].dataType.simpleString()
     return asked.mapInPandas(run, f"question_id {kind}, answer string, sources string, error string")
 
@@ -94,6 +96,7 @@ def baseline_answers(questions: DataFrame, models: dict[str, TextModel]) -> Data
                         rows.append((i, name, None, str(e)[:500]))
             yield pd.DataFrame(rows, columns=["question_id", "baseline", "answer", "error"])
 
+    small_batches(questions.sparkSession)
     kind = questions.schema["question_id"].dataType.simpleString()
     return questions.select("question_id", "question").mapInPandas(run, f"question_id {kind}, baseline string, answer string, error string")
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import dictionary as D
+from quarry.functions.batches import small_batches
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -36,12 +37,27 @@ def search(chunks: DataFrame, query: list[float], k: int = 12, threshold: float
     return best(rows.withColumn("score", F.round(cosine(F.col("embedding"), query), 6)).drop("embedding").where(F.col("score") >= threshold), k)
 
 
+#: Scores that a task holds at once in a search for many questions.
+CELLS = 1 << 20
+
+
+def _best_of(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The first k of each question of (question, id, score): higher scores first, ties by smaller id."""
+    question, own, score = found
+    order = np.lexsort((own, -score, question))
+    question = question[order]
+    first = np.flatnonzero(np.concatenate([[True], question[1:] != question[:-1]]) if len(question) else [])
+    kept = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k
+    return question[kept], own[order][kept], score[order][kept]
+
+
 def search_many(chunks: DataFrame, questions: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(question, id, score): the k best chunks of each question, exact.
 
-    Questions go in blocks of a bounded number, one pass over the chunks each: a pass multiplies
-    matrices in Arrow batches and keeps k rows of a batch for each question.
+    Questions go in blocks of a bounded number, one pass over the chunks each: a pass multiplies matrices
+    of at most CELLS scores, and a task returns k rows for each question, whatever it has read.
     """
+    small_batches(chunks.sparkSession)
     blocks = max(1, -(-questions.count() // block))
     out = None
     for b in range(blocks):
@@ -51,15 +67,25 @@ def search_many(chunks: DataFrame, questions: DataFrame, k: int, block: int = 20
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, ids: np.ndarray = ids) -> Iterator[pa.RecordBatch]:
+            step = max(k, CELLS // max(1, len(ids)))
+            least = np.full(len(ids), -np.inf)  # the k-th score of each question so far
+            held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
             for batch in batches:
-                for i in range(0, batch.num_rows if len(ids) else 0, 4096):
-                    part = batch.slice(i, 4096)
+                for i in range(0, batch.num_rows if len(ids) else 0, step):
+                    part = batch.slice(i, step)
                     own = np.asarray(part.column(0))
                     x = np.array(part.column(1).to_pylist(), dtype=np.float64).reshape(len(own), -1)
                     norm = np.linalg.norm(x, axis=1, keepdims=True)
                     s = np.where(norm > 0, x @ q.T / np.maximum(norm, 1e-300), 0.0).round(6).T
-                    order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["question", "id", "score"])
+                    if len(own) >= k:
+                        least = np.fmax(least, np.partition(s, len(own) - k, axis=1)[:, len(own) - k])
+                    at, column = np.nonzero(~(s < least[:, None]))
+                    held = _best_of(tuple(np.concatenate(two) for two in zip(held, (at, own[column], s[at, column]), strict=True)), k)
+                    full = np.flatnonzero(np.diff(held[0], append=-1)) if len(held[0]) else np.zeros(0, dtype=np.int64)  # the last row of each question
+                    full = full[np.bincount(held[0], minlength=len(ids))[held[0][full]] == k]
+                    least[held[0][full]] = np.fmax(least[held[0][full]], held[2][full])
+            if len(held[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["question", "id", "score"])
 
         found = chunks.where("embedding is not null").select(F.col("id").cast("long"), "embedding").mapInArrow(run, "question long, id long, score double")
         out = found if out is None else out.unionByName(found)
