@@ -21,6 +21,7 @@ from quarry.functions.batches import small_batches
 from quarry.functions.providers import TextModel
 from quarry.operators import graph as G
 from quarry.operators import retrieval as S
+from quarry.streaming.progress import written
 
 
 def annotated(hits: DataFrame, number: str, supersedes: DataFrame) -> DataFrame:
@@ -34,12 +35,12 @@ def _line(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts))
 
 
-def graph_lines(intent: str, nodes: DataFrame, edges: dict[str, DataFrame], number=None, source: str | None = None, topic: str | None = None) -> DataFrame:
+def graph_lines(intent: str, nodes: DataFrame, edges: dict[str, DataFrame], number=None, source: str | None = None, topic: str | None = None, walk: DataFrame | None = None) -> DataFrame:
     """(pos, line) of the graph context that a question's intent asks for; no rows where it finds nothing.
 
     nodes: (node, date, source, title); edges: supersedes, applies_to, amends, about as (src, dst).  The
     intents are chain, latest, impact and related (of a circular), summary (of a source) and
-    cross_reference (of a topic).
+    cross_reference (of a topic).  walk: of graph.walked() from the circular, for a caller with several intents.
     """
     spark = nodes.sparkSession
     nothing = spark.createDataFrame([], "pos int, line string")
@@ -50,14 +51,15 @@ def graph_lines(intent: str, nodes: DataFrame, edges: dict[str, DataFrame], numb
     first = lambda text: spark.range(1).select(F.lit(0).alias("pos"), F.lit(text).alias("line"))
     numbered = lambda rows, *order: rows.select(F.row_number().over(Window.orderBy(*order)).alias("pos"), "line")  # noqa: E731  a few rows
     if intent == "chain":
-        found = G.chain(edges["supersedes"], one).select("node").join(nodes, "node")
-        newest = found.join(edges["supersedes"].select(F.col("dst").alias("node")), "node", "left_anti")
+        found = G.chain(edges["supersedes"], one, walk).select("node").join(nodes, "node")
+        old = edges["supersedes"].select(F.col("dst").alias("node")).join(found.select("node"), "node", "left_semi")
+        newest = found.join(old, "node", "left_anti")
         steps = found.agg(F.array_sort(F.collect_list(F.struct("date", "node"))).alias("c")).where("size(c) > 0")
         joined = F.array_join(F.transform("c", lambda c: _line(c["node"], " (", F.coalesce(c["date"], F.lit("?")), ")")), " → ")
         last = newest.agg(F.max(F.struct("date", "node", "title")).alias("b")).where("b is not null")
         return steps.select(F.lit(1).alias("pos"), _line("[AMENDMENT CHAIN: ", joined, "]").alias("line")).unionByName(last.select(F.lit(2).alias("pos"), _line("[LATEST VERSION: ", F.col("b.node"), " — ", F.col("b.title"), "]").alias("line")))
     if intent == "latest":
-        best = G.latest(edges["supersedes"], one, nodes.select("node", "date")).where("latest <> start").join(nodes.select(F.col("node").alias("latest"), "title"), "latest")
+        best = G.latest(edges["supersedes"], one, nodes.select("node", "date"), walk).where("latest <> start").join(nodes.select(F.col("node").alias("latest"), "title"), "latest")
         return best.select(F.lit(1).alias("pos"), _line("[NOTE: ", F.col("start"), " has been superseded. Latest version: ", F.col("latest"), " — ", F.col("title"), "]").alias("line"))
     if intent == "impact":
         hit = G.impact(one, edges["applies_to"], edges["amends"])
@@ -72,12 +74,13 @@ def graph_lines(intent: str, nodes: DataFrame, edges: dict[str, DataFrame], numb
         lines = numbered(rows.withColumn("line", each), F.desc_nulls_first("date"), "node")
         head = first(f"[CIRCULARS FROM {source.upper()}]")
     elif intent == "cross_reference" and topic:
-        rows = G.by_topic(nodes, edges["about"], topic, 5)
+        rows = written(G.by_topic(nodes, edges["about"], topic, 5))
         under = rows.select("source", "rn", _line("  ", each).alias("line")).unionByName(rows.select("source").distinct().select("source", F.lit(0).alias("rn"), _line("\n  ", F.col("source"), ":").alias("line")))
         lines = numbered(under, "source", "rn")
         head = first(f"[CROSS-REGULATOR VIEW: {topic}]")
     else:
         return nothing
+    lines = written(lines)  # a few rows, which are read twice
     some = lines.limit(1).select(F.lit(True).alias("_some"))  # the head stands over rows only
     return head.crossJoin(F.broadcast(some)).drop("_some").unionByName(lines)
 

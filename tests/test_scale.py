@@ -94,3 +94,42 @@ def test_random_graphs(spark, seed, n, degree):
     starts = rng.sample(range(n), 6) + [10_000]
     got = sorted(tuple(r) for r in graph.reachable(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(s,) for s in starts], "node long")).collect())
     assert got == sorted(_reachable([e for e in edges if None not in e], starts))
+
+
+@pytest.mark.parametrize("few, plain", [(0, 32), (1000, 2), (1000, 32), (3, 32)])
+def test_a_walk_of_few_nodes_equals_that_of_many(spark, monkeypatch, few, plain):
+    monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "PLAIN", plain)
+    pairs = [(i + 1, i) for i in range(40)] + [(100, 7), (101, 100), (7, 101), (200, 200), (3, 20), *((300 + i, 5) for i in range(9))]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    starts = spark.createDataFrame([(5,), (100,), (999,)], "node long")
+    want = set()
+    for s in (5, 100, 999):
+        for both in (pairs, [(b, a) for a, b in pairs]):
+            found, new = {s}, {s}
+            while new := {b for a, b in both if a in new} - found:
+                found |= new
+            want |= {(s, x) for x in found}
+    rows = [tuple(r) for r in graph.chain(edges, starts).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_a_walk_from_one_node_makes_no_tables_of_runs(spark, monkeypatch):
+    def runs(single):
+        raise AssertionError("a table of all nodes")
+
+    monkeypatch.setattr(graph, "_runs", runs)
+    edges = spark.range(1000).selectExpr("id as src", "id + 1 as dst").where("src % 10 <> 9")
+    assert graph.chain(edges, spark.createDataFrame([(14,)], "node long")).count() == 10
+
+
+def test_walks_have_small_partitions_unless_the_session_chose(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        for value, want in (("64MB", str(16 << 20)), ("8m", "8m")):
+            spark.conf.set(key, value)
+            graph.latest(spark.createDataFrame([(2, 1)], "src long, dst long"), spark.createDataFrame([(1,)], "node long"), spark.createDataFrame([(1, "a"), (2, "b")], "node long, date string"))
+            assert spark.conf.get(key) == want or int(spark.conf.get(key).rstrip("b")) == 8 << 20
+    finally:
+        spark.conf.set(key, before)
