@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -108,15 +109,34 @@ def sentences(text: Column) -> Column:
     return F.flatten(marked)
 
 
+def _needed(pattern: str) -> str | None:
+    """The longest word that every match of a pattern holds, if that can be told: outside of groups, classes
+    and escapes, and not optional."""
+    bare = re.sub(r"\\.[?*]?|\[[^\]]*\][?*+]?|\((?:[^()\\]|\\.)*\)[?*+]?", " ", pattern)
+    return None if "|" in bare or "(" in bare or "(?" in pattern.replace("(?:", "") else max(re.findall(r"[A-Za-z]{2,}(?![?*{A-Za-z])", bare), key=len, default=None)
+
+
 def section_type(heading: Column, body: Column) -> Column:
-    """The first type whose words are in the heading or whose patterns are in the lower-case body."""
-    heading, body = F.lower(heading), F.lower(body)
-    out = None
-    for name, words, patterns, least in V.SECTION_TYPES:
-        count = reduce(lambda a, b: a + b, (body.rlike(p).cast("int") for p in patterns))
-        hit = _or([F.contains(heading, F.lit(w)) for w in words]) | (count >= least)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise("general")
+    """The first type whose words are in the heading or whose patterns are in the lower-case body.
+
+    A pattern is tried only on a body that holds the word which each of its matches has; the body is put in
+    lower case once.
+    """
+
+    def of(heading: Column, body: Column) -> Column:
+        def held(p: str) -> Column:
+            found = body.rlike(p)
+            return F.contains(body, F.lit(w)) & found if (w := _needed(p)) else found
+
+        out = None
+        for name, words, patterns, least in V.SECTION_TYPES:
+            count = reduce(lambda a, b: a + b, (held(p).cast("int") for p in patterns))
+            hit = _or([F.contains(heading, F.lit(w)) for w in words]) | (count >= least)
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise("general")
+
+    both = F.array(F.struct(F.lower(heading).alias("h"), F.lower(body).alias("b")))
+    return F.transform(both, lambda x: of(x["h"], x["b"]))[0]
 
 
 def topic_label(heading: Column, body: Column) -> Column:

@@ -1,8 +1,11 @@
 """Exact expectations for text, date and importance functions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import fixed_values as V
 from quarry.functions import text as T
 
 YEARS = [
@@ -47,3 +50,17 @@ def test_sentences_and_tables(spark):
     row = df.select(T.sentences(F.col("t")).alias("s"), T.table_markdown(F.col("r")).alias("m")).first()
     assert row["s"] == ["One.", "Two went.", "\n\nThree! four"]
     assert row["m"] == "| A |  |\n| --- | --- |\n| 1 | x y |"
+
+
+def test_a_pattern_is_tried_only_where_its_word_is_and_finds_the_same(spark):
+    assert [T._needed(p) for p in (r"shall\s+(?:file|submit)", r"\d+\s*%", r'"[^"]+"\s+means', r"a|bcd", r"(?i)word", r"words?x", r"\bmust\b")] == ["shall", None, "means", None, None, None, "must"]
+    bodies = ["It shall FILE; shall not", "5 % and 7 crore", "Rs 5 lakh", '"A" means b; "C" shall mean d', "applies  to all", "notwithstanding", "within 7 days", "must be mandatory", "step 4", "Step x", "marshall musty", "", None]
+    rows = spark.createDataFrame([(i, h, b) for i, b in enumerate(bodies) for h in ("x", "Scope")], "i int, h string, b string")
+    got = {(r["i"], r["h"]): r["k"] for r in rows.select("i", "h", T.section_type(F.col("h"), F.col("b")).alias("k")).collect()}
+    for (i, h), kind in got.items():
+        body, want = bodies[i], "general"
+        for name, words, patterns, least in V.SECTION_TYPES:
+            if any(w in h.lower() for w in words) or (body is not None and sum(bool(re.search(p, body.lower())) for p in patterns) >= least):
+                want = name
+                break
+        assert kind == want, (h, body)
