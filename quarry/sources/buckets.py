@@ -46,18 +46,22 @@ class Table:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def _written(self, rows: DataFrame, path: str, mode: str) -> None:
+    def _written(self, rows: DataFrame, path: str, mode: str, dealt_already: bool = False) -> None:
         """In the table's own folder the written buckets replace the old ones; elsewhere a folder is written
         whole, and has Spark's mark of success only then."""
         dealt = rows.select(*(f.split()[0] for f in self.schema.split(", ")))
         salt = F.pmod(F.xxhash64(*self.sort_by, F.lit("salt")), F.lit(self.files))
-        dealt = dealt.repartition(BUCKET, salt) if self.files > 1 else dealt.repartition(BUCKET)
+        if not dealt_already:
+            dealt = dealt.repartition(BUCKET, salt) if self.files > 1 else dealt.repartition(BUCKET)
         replace = "dynamic" if path == self.path else "static"
         dealt.sortWithinPartitions(BUCKET, *self.sort_by).write.mode(mode).option("partitionOverwriteMode", replace).partitionBy(BUCKET).parquet(path)
 
-    def append(self, rows: DataFrame) -> None:
-        """More files for the buckets of these rows, which have the bucket's number."""
-        self._written(rows, self.path, "append")
+    def append(self, rows: DataFrame, dealt: bool = False) -> None:
+        """More files for the buckets of these rows, which have the bucket's number.
+
+        dealt: the rows of a bucket lie in few tasks already.
+        """
+        self._written(rows, self.path, "append", dealt)
 
     def merge(self, name: str, batch: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], also: list[int] | None = None) -> list[int]:
         """Replace the touched buckets by change(their rows, batch); returns their numbers.
